@@ -6,20 +6,54 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_gam, quality_mcd
+from . import fingerprint_iblt, langid, mixing, packing, quality_gam, quality_mcd, warc
 from .common import table
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_fingerprint_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_iblt.versions(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mcd.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_langid_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.replicate(table(spark, sf_dir, "documents"))
+
+
+def op8_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_gam": op1_quality_gam,
+    "op2_fingerprint_iblt": op2_fingerprint_iblt,
     "op3_quality_mcd": op3_quality_mcd,
+    "op4_langid_viterbi": op4_langid_viterbi,
+    "op6_poisson_mixing": op6_poisson_mixing,
+    "op8_histogram_packing": op8_histogram_packing,
+    "op10_warc_chain": op10_warc_chain,
+}
+ORACLES: dict[str, str] = {
+    "op6_poisson_mixing": mixing.REPLICATE_SQL,
+    "op10_warc_chain": warc.ROUND_TRIP_SQL,
 }
-ORACLES: dict[str, str] = {}

@@ -155,3 +155,21 @@ def counted(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
     at = np.flatnonzero(new)
     return doc[at], h[at], np.diff(np.append(at, len(h)))
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def packed(t: Texts, w: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """All words, A-Z lower-cased, each after one space, and a last space; and where each word's space is."""
+    size = w.end - w.begin
+    starts = np.cumsum(size + 1) - (size + 1)
+    out = np.full(int((size + 1).sum()) + 1, 0x20, np.uint8)
+    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(starts, size) + 1 + inside] = _LOWER[t.data[np.repeat(w.begin, size) + inside]]
+    return out, starts
+
+
+def lowered(t: Texts) -> Texts:
+    return Texts(t.first, _LOWER[t.data], t.at)
