@@ -99,7 +99,7 @@ def train(docs: DataFrame) -> Model:
     rows = docs.where(common.trainable(F.col("doc_id"), 4, 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
     names = sorted(r["lang"] for r in langs.collect())
-    found = count(rows.where(F.col("lang").isin(names))).toPandas()
+    found = count(rows.where(F.col("lang").isin(names))).toArrow().to_pandas()
     total = np.zeros((len(names), len(ORDERS) * BUCKETS + SCRIPTS))
     where = {lang: k for k, lang in enumerate(names)}
     total[[where[x] for x in found["lang"]], found["slot"].to_numpy()] = found["c"].to_numpy()

@@ -53,8 +53,8 @@ class Texts:
         return len(self.at) - 1
 
 
-def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Texts]:
-    """The column cut between rows into runs of about `size` bytes. Null is the empty text."""
+def chunks(column: pa.Array, size: int = CHUNK_BYTES, step: int = 1) -> Iterator[Texts]:
+    """The column cut between rows (step: at multiples of so many rows) into runs of about `size` bytes. Null is the empty text."""
     if not len(column):
         return
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -62,8 +62,8 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Texts]:
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     first = 0
     while first < len(column):
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1)
-        last = min(last, first + 8192, len(column))
+        last = min(int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1, first + 8192)
+        last = min(max(last - (last - first) % step, first + step), len(column))
         yield Texts(first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
         first = last
 
