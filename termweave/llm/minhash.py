@@ -197,14 +197,14 @@ def _each_shingle(texts: DataFrame) -> DataFrame:
     return texts.select("text_id", "text").mapInArrow(emit, "text_id string, shingle long, n long")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (the least doc_id in the class), copies (rows with the same words), k1, k2 of every row."""
+def _classed(docs: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, h, text_id (null without words), class_id, kept (doc_id and h of the class's first row), copies of every row."""
     spark = docs.sparkSession
     rows = common.stored(spark, sketches(docs), "minhash-sketches")
     # one text for all rows with the same words; its id is its own 128-bit hash
     text_id = F.when(F.col("k1").isNotNull(), F.concat(F.lpad(F.hex("k1"), 16, "0"), F.lpad(F.hex("k2"), 16, "0")))
     rows = rows.withColumn("text_id", text_id)
-    texts = rows.where("text_id is not null").groupBy("text_id").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"), F.min("bands").alias("bands"))
+    texts = rows.where("text_id is not null").groupBy("text_id").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.count(F.lit(1)).alias("copies"), F.min("bands").alias("bands"))
     texts = common.stored(spark, texts, "minhash-texts")
     members = common.stored(spark, texts.select("text_id", F.explode("bands").alias("band")), "minhash-bands")
     firsts = texts.select("text_id", "first.doc_id", "first.h")
@@ -214,7 +214,30 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     more = _verified(_leftover(shared, labels, docs, firsts, threshold), docs, firsts, threshold)
     if not more.isEmpty():
         labels = components(links.union(more))
-    named = texts.select("text_id", "first_doc", "copies").join(labels.withColumnRenamed("node", "text_id"), "text_id", "left").withColumn("label", F.coalesce("label", "text_id"))
-    ids = named.groupBy("label").agg(F.min("first_doc").alias("class_id"))
-    named = named.join(ids, "label").select("text_id", "class_id", "copies")
-    return rows.join(named, "text_id", "left").select("doc_id", F.when(F.col("text_id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+    named = texts.select("text_id", "first", "copies").join(labels.withColumnRenamed("node", "text_id"), "text_id", "left").withColumn("label", F.coalesce("label", "text_id"))
+    ids = named.groupBy("label").agg(F.min("first").alias("kept"))
+    named = named.join(ids, "label").select("text_id", "kept", "copies")
+    return rows.select("doc_id", "h", "text_id").join(named, "text_id", "left").withColumn("class_id", F.when(F.col("text_id").isNull(), F.col("doc_id")).otherwise(F.col("kept.doc_id")))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id (the least doc_id in the class), copies (rows with the same words) of every row."""
+    return _classed(docs, threshold).select("doc_id", "class_id", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+
+
+def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs with all their columns; one row of each class stays, that with the least doc_id, and every row without words."""
+    spark = docs.sparkSession
+    found = common.stored(spark, _classed(docs, threshold).where("text_id is not null").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n"), F.min("kept").alias("kept")), "minhash-rows")
+    kept = F.struct("doc_id", "h") == F.col("kept")
+    marks = found.where(~kept | (F.col("n") > 1)).select(F.struct("doc_id").alias("_of"), F.col("h").alias("_h"), kept.alias("_twice"))
+    marks = common.stored(spark, marks, "minhash-marks")
+    twice = not marks.where("_twice").isEmpty()
+    if marks.count() <= BROADCAST_ROWS:
+        marks = F.broadcast(marks)
+    rows = docs.withColumns({"_id": F.struct("doc_id"), "_own": F.xxhash64("text")})
+    rows = rows.join(marks, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_own") == F.col("_h")), "left")
+    out = rows.where("_twice is null")
+    if twice:
+        out = out.unionByName(rows.where("_twice").dropDuplicates(["_id", "_own"]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

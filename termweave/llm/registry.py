@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint_iblt, langid, mixing, packing, quality_gam, quality_mcd, warc
+from . import fingerprint_iblt, langid, minhash, mixing, packing, pii, ppm, quality_gam, quality_mcd, warc
 from .common import table
 
 
@@ -32,14 +32,26 @@ def op4_langid_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(table(spark, sf_dir, "documents"))
 
 
+def op7_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op8_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op10_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -49,8 +61,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprint_iblt": op2_fingerprint_iblt,
     "op3_quality_mcd": op3_quality_mcd,
     "op4_langid_viterbi": op4_langid_viterbi,
+    "op5_lm_ppm": op5_lm_ppm,
     "op6_poisson_mixing": op6_poisson_mixing,
+    "op7_probminhash": op7_probminhash,
     "op8_histogram_packing": op8_histogram_packing,
+    "op9_pii_disclosure": op9_pii_disclosure,
     "op10_warc_chain": op10_warc_chain,
 }
 ORACLES: dict[str, str] = {
