@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import bisect
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -28,8 +30,9 @@ CAPACITY = 2048
 END_ID = 0
 ROWS_PER_SALT = 500_000
 #: Distinct words whose ids a Python worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
+assert array("I").itemsize == 4 and sys.byteorder == "little"
 _UNSURE = re.compile(r" (?=\s|\Z)|<\|endoftext\|>")
 _encoders: dict[str, Encoder] = {}
 
@@ -53,7 +56,15 @@ class Encoder:
         return _encoders[path]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Remember the ids of words; a word and the marks after it are tokens of their own, so the bare word serves both."""
+        stems = {w: w.rstrip(".,;:!?") for w in new}
+        cut = {w: (s, w[len(s) :]) for w, s in stems.items() if s != w and s.removeprefix(" ").isalpha()}
+        bare = dict.fromkeys(x for w in new for x in cut.get(w, (w,)) if x not in self.words)
+        self.words.update(zip(bare, self._whole(list(bare)), strict=True))
+        self.words.update((w, self.words[s] + self.words[marks]) for w, (s, marks) in cut.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts: list[list[str] | None] = []
@@ -66,10 +77,10 @@ class Encoder:
             own = [first, *[f" {w}" for w in rest]] if first else [f" {w}" for w in rest]
             parts.append(own)
             new.update(dict.fromkeys(w for w in own if w not in self.words))
-        if len(self.words) + len(new) > CACHE_WORDS:
+        if len(self.words) + 2 * len(new) > CACHE_WORDS:
             self.words.clear()
             new = dict.fromkeys(w for own in parts if own for w in own)
-        self.words.update(zip(new, self._whole(list(new)), strict=True))
+        self._learn(list(new))
         get = self.words.__getitem__
         return [b"".join(map(get, own)) if own is not None else self._whole([text])[0] for own, text in zip(parts, texts, strict=True)]
 
