@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import queries_align, queries_results, queries_scalars
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = queries_scalars.QUERIES | queries_align.QUERIES | queries_results.QUERIES
+ORACLES: dict[str, str] = queries_scalars.ORACLES | queries_align.ORACLES | queries_results.ORACLES
