@@ -39,11 +39,11 @@ def candidates(hits: DataFrame, t: retrieve.Terminology, p: Profile) -> DataFram
     return ranked.join(about.drop("status"), ranked["candidate_id"] == about["concept_id"]).drop("concept_id")
 
 
-def align_keys(keys: DataFrame, hits: DataFrame, t: retrieve.Terminology, p: Profile) -> DataFrame:
-    """unit_key, candidates, evidence (map), similarity for each key (unit_key, raw_value)."""
-    full = enrich.enrich(candidates(hits, t, p), t.edges, p)
+def align_keys(keys: DataFrame, hits: DataFrame, t: retrieve.Terminology, p: Profile, put: Store) -> DataFrame:
+    """unit_key, candidates, evidence (map), verified (map), similarity for each key (unit_key, raw_value)."""
+    full = put(enrich.enrich(candidates(hits, t, p), t.edges, p), "candidates")
     packed = enrich.packages(full, p)
-    index = enrich.evidence_index(full)
+    index = put(enrich.evidence_index(full), "evidence")
     own = F.struct("label", "concept_class", "status", "direct", F.lit(p.target_terminology).alias("vocabulary"), "sources", "predicates")
     target = index.where(F.col("vocabulary_lc") == p.target_terminology.lower())
     evidence = target.groupBy("unit_key").agg(F.map_from_entries(F.collect_list(F.struct(F.col("concept_id").alias("key"), own.alias("value")))).alias("evidence"))
@@ -72,7 +72,7 @@ def align(units: DataFrame, t: retrieve.Terminology, p: Profile, hits: Callable[
     keys = put(good.groupBy(F.col("mapping_key").alias("unit_key")).agg(F.min_by("raw_value", order).alias("raw_value")), "keys")
     asked = keys.select("unit_key", F.col("raw_value").alias("value"))
     found = put(hits(asked) if hits else retrieve.retrieve(asked, t, p, put), "hits")
-    known = put(align_keys(keys, found, t, p), "packages")
+    known = put(align_keys(keys, found, t, p, put), "packages")
     route_of = F.coalesce("envelope.route", "attributes.route")
     rows = good.withColumn("unit_key", F.col("mapping_key")).join(known, "unit_key").withColumn("route", route_of)
     out = adjudicate.adjudicate(rows, p).withColumn("package_sau_id", F.col("sau_id"))
