@@ -91,7 +91,7 @@ def count(rows: DataFrame) -> DataFrame:
             slot = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slot), pa.string()), pa.array(slot.astype(np.int32)), pa.array(total[slot])], names=["lang", "slot", "c"])
 
-    return rows.select("text", "lang").mapInArrow(counts, "lang string, slot int, c long").groupBy("lang", "slot").agg(F.sum("c").alias("c"))
+    return rows.select("text", "lang").mapInArrow(lambda b: textbytes.released(counts(b)), "lang string, slot int, c long").groupBy("lang", "slot").agg(F.sum("c").alias("c"))
 
 
 def train(docs: DataFrame) -> Model:
@@ -223,4 +223,4 @@ def identify(docs: DataFrame, model: Model | None = None, penalty: float = PENAL
                 langs, shares, spans = _label(held.value, t, penalty)
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(langs, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, pa.string())], names=schema.names)
 
-    return rows.mapInArrow(labelled, schema)
+    return rows.mapInArrow(lambda b: textbytes.released(labelled(b)), schema)

@@ -101,7 +101,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 longs = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[has].ravel()))
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *(pa.array(k.view(np.int64), mask=~has) for k in keys), longs], names=schema.names)
 
-    return rows.mapInArrow(sketch, schema)
+    return rows.mapInArrow(lambda b: textbytes.released(sketch(b)), schema)
 
 
 def similarity(pairs: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def similarity(pairs: DataFrame) -> DataFrame:
                 out[t.first // 2 : t.first // 2 + len(sizes)] = shared / np.maximum(sizes - shared, 1)
             yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y"), pa.array(out)], names=schema.names)
 
-    return pairs.mapInArrow(compare, schema)
+    return pairs.mapInArrow(lambda b: textbytes.released(compare(b)), schema)
 
 
 def _texts(ids: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def _each_shingle(texts: DataFrame) -> DataFrame:
                 n = np.bincount(doc, minlength=len(t))
                 yield pa.RecordBatch.from_arrays([b.column("text_id").take(pa.array(doc + t.first)), pa.array(h.view(np.int64)), pa.array(n[doc])], names=["text_id", "shingle", "n"])
 
-    return texts.select("text_id", "text").mapInArrow(emit, "text_id string, shingle long, n long")
+    return texts.select("text_id", "text").mapInArrow(lambda b: textbytes.released(emit(b)), "text_id string, shingle long, n long")
 
 
 def _classed(docs: DataFrame, threshold: float) -> DataFrame:

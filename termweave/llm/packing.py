@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, textbytes
 
 CAPACITY = 2048
 END_ID = 0
 ROWS_PER_SALT = 500_000
-#: Distinct words whose ids a Python worker remembers.
-CACHE_WORDS = 1_000_000
+#: Distinct words whose ids a task remembers.
+CACHE_WORDS = 500_000
 
 assert array("I").itemsize == 4 and sys.byteorder == "little"
 _UNSURE = re.compile(r" (?=\s|\Z)|<\|endoftext\|>")
@@ -110,8 +110,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                         crc.append(zlib.crc32(ids[4 * at : 4 * (at + size)]))
                         at, j = at + size, j + 1
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=schema.names)
+        encoder.words.clear()
 
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(lambda b: textbytes.released(cut(b)), schema)
 
 
 def plan(counts: Mapping[int, int], capacity: int = CAPACITY) -> np.ndarray:
@@ -184,4 +185,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
             k = rank - run[:, 1]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(run[:, 3] + k // run[:, 4]), pa.array(run[:, 5] + k % run[:, 4] * length)], names=schema.names)
 
-    return ranked.mapInArrow(placed, schema)
+    return ranked.mapInArrow(lambda b: textbytes.released(placed(b)), schema)

@@ -226,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
                 y = b.column("y").slice(t.first, len(t)).cast(pa.int32())
                 yield pa.RecordBatch.from_arrays([y, *(pa.array(x[:, k]) for k in range(x.shape[1]))], names=names)
 
-    found: pd.DataFrame = rows.mapInArrow(vectors, schema).toPandas().sort_values(names)  # in one order, whatever the tasks' order
+    found: pd.DataFrame = rows.mapInArrow(lambda b: textbytes.released(vectors(b)), schema).toPandas().sort_values(names)  # in one order, whatever the tasks' order
     return fit(found[list(FEATURES)].to_numpy(float), found["y"].to_numpy(float))
 
 
@@ -247,7 +247,7 @@ def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
                 own = b.slice(t.first, len(t))
                 yield pa.RecordBatch.from_arrays([*(own.column(c) for c in given), pa.array(held.value.score(features(t)))], names=[*given, out_name])
 
-    return rows.mapInArrow(scored, schema)
+    return rows.mapInArrow(lambda b: textbytes.released(scored(b)), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:

@@ -104,7 +104,7 @@ def statistics(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(own.column(k) for k in range(3)), *(pa.array(counts[:, k]) for k in range(counts.shape[1])), *(pa.array(stats[:, k]) for k in range(stats.shape[1]))], names=schema.names)
 
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return rows.mapInArrow(counted, schema).withColumn("base_failed", failed)
+    return rows.mapInArrow(lambda b: textbytes.released(counted(b)), schema).withColumn("base_failed", failed)
 
 
 def chi2_quantile(p: float, k: int) -> float:

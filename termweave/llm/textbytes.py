@@ -7,6 +7,9 @@ an odd power of its place, summed, then mixed.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -173,3 +176,14 @@ def packed(t: Texts, w: Pieces) -> tuple[np.ndarray, np.ndarray]:
 
 def lowered(t: Texts) -> Texts:
     return Texts(t.first, _LOWER[t.data], t.at)
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, and at their end this worker's freed memory goes back to the system: workers outlive tasks, and stages that come after need it."""
+    try:
+        yield from batches
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+            ctypes.CDLL(None).malloc_trim(0)

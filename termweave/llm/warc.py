@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, textbytes
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -126,7 +126,7 @@ def pieces(spark: SparkSession, path: str, text: bool = False) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(x, k).cast(pa.string()) if k == pa.large_string() else pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=names)
 
-    return raw.mapInArrow(parse, schema)
+    return raw.mapInArrow(lambda b: textbytes.released(parse(b)), schema)
 
 
 def reachable(links: DataFrame, stop: int | None = None) -> DataFrame:
