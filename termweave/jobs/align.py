@@ -82,7 +82,9 @@ def align(units: DataFrame, t: retrieve.Terminology, p: Profile, hits: Callable[
     decided = route.decide(route.route(route.routing_features(validate.validate(out, p)), p))
     decided = decided.withColumns({"release": F.lit(release).cast("string"), "profile_version": F.lit(p.version), "package_version": F.lit(VERSION), "run_id": F.lit(run_id).cast("string")})
     rest = units.where("status <> 'success'")
-    return decided.drop("unit_key", "package_sau_id", "attributes_kept", "kept_attributes", "expected_losses", "verified").unionByName(rest, allowMissingColumns=True)
+    decided = decided.drop("unit_key", "package_sau_id", "attributes_kept", "kept_attributes", "expected_losses", "verified")
+    # written once: what reads the decisions (crosswalk, audits, summaries) neither repeats the work nor plans through its expressions
+    return put(decided, "decisions").unionByName(rest, allowMissingColumns=True)
 
 
 def attach_crosswalk(source: DataFrame, crosswalk: DataFrame, key: str) -> DataFrame:
