@@ -48,6 +48,7 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int,
     holder = np.zeros(n * registers, np.uint64)
     count = np.bincount(doc, minlength=n)
     live = np.arange(len(doc))
+    seed = textbytes.mix(shingle ^ np.uint64(0x2545F4914F6CDD1D))
     time, used = np.zeros(len(doc)), np.zeros(len(doc), np.int64)
     block = np.clip(registers * 3 // np.maximum(count, 1), 1, 64)
     while len(live):
@@ -55,7 +56,7 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int,
         at = np.repeat(np.arange(len(live)), size)
         starts = np.cumsum(size) - size
         k = np.arange(len(at)) - starts[at] + used[live][at]
-        r = textbytes.mix(shingle[live][at] + (k.astype(np.uint64) + np.uint64(1)) * _STEP)
+        r = textbytes.mix(seed[live][at] + (k.astype(np.uint64) + np.uint64(1)) * _STEP)
         gap = -np.log(((r >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)) / weight[live][at]
         total = np.cumsum(gap)
         arrival = total - (total[starts] - gap[starts])[at] + time[live][at]

@@ -162,7 +162,12 @@ def index(spark: SparkSession, path: str) -> DataFrame:
     upto = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     narrow = placed.select("file", "at", F.last(F.when(F.col("reached"), F.struct("at", "whole")), ignorenulls=True).over(upto).alias("owner"))
     owned = narrow.where("owner is not null and not owner.whole").select("file", "at", F.col("owner.at").alias("record"))
-    parts = owned.join(placed, ["file", "at"]).groupBy("file", "record").agg(
+    owned = common.stored(spark, owned.join(placed.drop("part", "reached"), ["file", "at"]), "warc-owned")
+    if owned.isEmpty():
+        return alone
+    # what looks like a whole record inside a payload has left its text behind: those places are read again
+    owned = owned.join(pieces(spark, path, text=True).select("file", "split", "before", "part"), ["file", "split", "before"])
+    parts = owned.groupBy("file", "record").agg(
         F.min_by(F.struct("split", "before", "page_id", "refers_to", "type", "content", "payload_bytes", "head", "digest"), "at").alias("r"),
         F.array_sort(F.collect_list(F.struct("at", F.col("part").alias("part")))).alias("parts"),
     )
