@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from difflib import SequenceMatcher
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text, vocab
 from ..profile import Profile
 
-#: Keys that more names than this share don't make a pair by themselves; a unit's rarest key always does.
-MAX_KEY_NAMES = 2_000
-#: Of a unit's keys the rarest count; more only add names that share what many share.
-KEYS_USED = 6
-#: Pairs of a unit, by shared keys, that are scored.
-PAIRS_SCORED = 50
+#: Distinct values and distinct names that are compared with each other at once.
+UNIT_BLOCK, NAME_BLOCK = 200, 2_000
 SUGGESTIONS, CORROBORATION = 3, 0.5
 NAME_SIDE_ROWS = 200_000
 
@@ -59,45 +61,149 @@ def exact_hits(units: DataFrame, names: DataFrame, channel: str = "normalized_lo
     return _ranked(hits.withColumns({"channel": F.lit(channel), "score": F.lit(100.0)}), F.col("concept_id")).select("unit_key", "channel", "query", "concept_id", "name", "score", "hit_rank")
 
 
-def keys(c: Column) -> Column:
-    """Blocking keys of a text: its tokens, and three-letter runs of its normal form."""
-    n = text.normalize_text(c)
-    grams = F.when(F.length(n) >= 3, F.transform(F.sequence(F.lit(1), F.length(n) - 2), lambda i: F.concat(F.lit("#"), F.substring(n, i, F.lit(3))))).otherwise(F.array(F.concat(F.lit("#"), n)))
-    return F.array_distinct(F.concat(text.tokenize(c), grams))
-
-
-def blocks(units: DataFrame, names: DataFrame, max_key_names: int = MAX_KEY_NAMES, pairs: int | None = PAIRS_SCORED, keys_used: int = KEYS_USED) -> DataFrame:
-    """unit_key, value, concept_id, name, shared: pairs that share some of the unit's keys_used rarest keys, the most shared first, `pairs` at most
-    for each unit. Keys of more than max_key_names names count only as a unit's rarest."""
-    name_keys = names.select("concept_id", "name", F.explode(keys(F.col("name"))).alias("key"))
-    often = name_keys.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
-    unit_keys = units.select("unit_key", "value", F.explode(keys(F.col("value"))).alias("key")).join(often, "key")
-    rarest = F.row_number().over(Window.partitionBy("unit_key").orderBy("often", "key"))
-    unit_keys = unit_keys.withColumn("place", rarest).where((F.col("place") <= keys_used) & ((F.col("often") <= max_key_names) | (F.col("place") == 1))).select("unit_key", "value", "key")
-    found = unit_keys.join(name_keys, "key").groupBy("unit_key", "value", "concept_id", "name").agg(F.count(F.lit(1)).alias("shared"))
-    if pairs is None:
-        return found
-    order = Window.partitionBy("unit_key").orderBy(F.desc("shared"), "concept_id", "name")
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pairs).drop("place")
+def _blocked(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """The rows (distinct in key) as structs in arrays, of `size` or so in one."""
+    n = max(1, -(-rows.count() // size))
+    return rows.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias("block")).agg(F.collect_list(F.struct(*rows.columns)).alias("rows")).select("rows")
+
+
+def _crossed(units: DataFrame, names: DataFrame) -> DataFrame:
+    """values, names: each block of distinct normal values with each block of names (`own`, and what is carried)."""
+    values = units.select(text.normalize_text(F.col("value")).alias("own")).where("own <> ''").distinct()
+    left, right = _blocked(values, "own", UNIT_BLOCK), _blocked(names, "own", NAME_BLOCK)
+    crossed = left.withColumnRenamed("rows", "values").crossJoin(right.withColumnRenamed("rows", "names"))
+    return crossed.repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+_HASHED = 64
+
+
+def _characters(texts: list[str]) -> np.ndarray:
+    """How often each text has characters of each hash."""
+    size = np.array([len(x) for x in texts], np.int64)
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) % _HASHED
+    return np.bincount(np.repeat(np.arange(len(texts)), size) * _HASHED + code, minlength=len(texts) * _HASHED).reshape(-1, _HASHED).astype(np.int32)
+
+
+def _common(own: str, table: np.ndarray) -> np.ndarray:
+    """At most so many characters of each text of the table can match those of own."""
+    return np.minimum(table, _characters([own])).sum(1)
+
+
+def _coded(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """The texts' alphabet (from 1), and their characters by it: a row for each place, a column for each text, 0 behind its end."""
+    alphabet = {c: i + 1 for i, c in enumerate(sorted(set("".join(texts))))}
+    out = np.zeros((max(map(len, texts), default=0), len(texts)), np.int32)
+    for i, x in enumerate(texts):
+        out[: len(x), i] = [alphabet[c] for c in x]
+    return alphabet, out
+
+
+def _matched(own: str, alphabet: dict[str, int], coded: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """At most so many characters of each text can match own's in order: the longest common subsequence, bit by bit, where own fits a word."""
+    if len(own) > 64:
+        return _common(own, table)
+    masks = np.zeros(len(alphabet) + 1, np.uint64)
+    for i, c in enumerate(own):
+        if c in alphabet:
+            masks[alphabet[c]] |= np.uint64(1 << i)
+    whole = np.uint64((1 << len(own)) - 1)
+    row = np.full(coded.shape[1], whole)
+    for codes in coded:
+        u = row & masks[codes]
+        row = ((row + u) | (row - u)) & whole
+    return len(own) - np.bitwise_count(row).astype(np.int64)
+
+
+def _tokens(x: str) -> set[str]:
+    return {w for w in re.findall("[a-z0-9]+", x) if len(w) >= 2}
+
+
+def _best(own: str, names: list[str], concepts: list[list[tuple]], matched: np.ndarray, sizes: np.ndarray, index: dict[str, list[int]], k: int) -> list[tuple]:
+    """score, concept_id, name of the k best concepts of a block. Names come by the most that their similarity can be; once that is less than what k
+    concepts have, no other name counts."""
+    overlap, tokens = np.zeros(len(names)), _tokens(own)
+    for w in tokens:
+        overlap[index.get(w, [])] += 1
+    overlap /= max(1, len(tokens))
+    most = np.maximum(overlap, 2.0 * matched / (len(own) + sizes))
+    found: dict = {}
+    least = 0.0
+    for i in np.argsort(-most, kind="stable").tolist():
+        if most[i] < least or most[i] <= 0:
+            break
+        b, score = names[i], float(overlap[i])
+        if own == b:
+            score = 1.0
+        elif score < most[i]:
+            score = max(score, SequenceMatcher(None, own, b).ratio())
+        if score <= 0 or score < least:
+            continue
+        for concept, name in concepts[i]:
+            found[concept] = max(found.get(concept, (0.0, "")), (score, name))
+        if len(found) >= k and score >= least:
+            kept = sorted(found.items(), key=lambda x: (-x[1][0], x[0]))[:k]
+            found, least = dict(kept), kept[-1][1][0]
+    return [(score, concept, name) for concept, (score, name) in found.items()]
 
 
 def approx_hits(units: DataFrame, names: DataFrame, p: Profile, current: bool = True) -> DataFrame:
-    """The best concepts of each unit by similarity to any of their names; score 100 x similarity, one hit for a concept."""
-    found = blocks(units, names.where("is_current") if current else names)
-    scored = found.withColumn("score", 100 * text.lexical_similarity(F.col("value"), F.col("name")))
-    best = scored.groupBy("unit_key", F.col("value").alias("query"), "concept_id").agg(F.max_by("name", F.struct("score", "name")).alias("name"), F.max("score").alias("score"))
+    """The best concepts of each unit by similarity to any of all names; score 100 x similarity (above 0), one hit for a concept.
+
+    Similarity is one of normal forms, so distinct ones are compared, in blocks, and of a name's concepts the first k by id, as no other can be among
+    a unit's first k. Each block gives its k best; the best of these are the best of all."""
+    k = p.maximum_candidates
+    own = (names.where("is_current") if current else names).select("concept_id", "name", text.normalize_text(F.col("name")).alias("own")).where("own <> ''")
+    own = own.groupBy("own", "concept_id").agg(F.max("name").alias("name"))
+    own = own.withColumn("place", F.row_number().over(Window.partitionBy("own").orderBy("concept_id"))).where(F.col("place") <= k)
+    own = own.groupBy("own").agg(F.collect_list(F.struct("concept_id", "name")).alias("concepts"))
+    schema = T.StructType([T.StructField("own", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("concept_id", names.schema["concept_id"].dataType), T.StructField("name", T.StringType())])
+    kinds = [("own", pa.string()), ("score", pa.float64()), ("concept_id", to_arrow_type(names.schema["concept_id"].dataType)), ("name", pa.string())]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for values, block in zip(b.column(0), b.column(1), strict=True):
+                rows = block.as_py()
+                texts = [r["own"] for r in rows]
+                concepts = [[(c["concept_id"], c["name"]) for c in r["concepts"]] for r in rows]
+                table, (alphabet, coded), sizes = _characters(texts), _coded(texts), np.array([len(x) for x in texts])
+                index: dict[str, list[int]] = {}
+                for i, x in enumerate(texts):
+                    for w in _tokens(x):
+                        index.setdefault(w, []).append(i)
+                out = [(v["own"], *x) for v in values.as_py() for x in _best(v["own"], texts, concepts, _matched(v["own"], alphabet, coded, table), sizes, index, k)]
+                columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
+
+    found = _crossed(units, own).mapInArrow(compare, schema)
+    best = found.groupBy("own", "concept_id").agg(F.max(F.struct("score", "name")).alias("m"))
+    best = best.withColumn("place", F.row_number().over(Window.partitionBy("own").orderBy(F.desc("m.score"), "concept_id"))).where(F.col("place") <= k)
     channel = "terminology_approximate_current" if current else vocab.HISTORICAL
-    out = _ranked(best.withColumn("channel", F.lit(channel)), F.desc("score"), F.col("concept_id")).where(F.col("hit_rank") <= p.maximum_candidates)
-    return out.select("unit_key", "channel", "query", "concept_id", "name", "score", "hit_rank")
+    asked = units.select("unit_key", F.col("value").alias("query"), text.normalize_text(F.col("value")).alias("own"))
+    hits = asked.join(best, "own").select("unit_key", F.lit(channel).alias("channel"), "query", "concept_id", "m.name", (100 * F.col("m.score")).alias("score"))
+    return _ranked(hits, F.desc("score"), F.col("concept_id")).where(F.col("hit_rank") <= k)
 
 
 def suggestions(units: DataFrame, names: DataFrame, count: int = SUGGESTIONS) -> DataFrame:
-    """unit_key, suggestion, place: the nearest names by edit distance among those that share a three-letter run, not further than a third of the value."""
-    own = names.select(text.normalize_text(F.col("name")).alias("name")).distinct().withColumn("concept_id", F.col("name"))
-    n = text.normalize_text(F.col("value"))
-    near = blocks(units, own, pairs=4 * PAIRS_SCORED).withColumn("distance", F.levenshtein(n, F.col("name"))).where((F.col("distance") > 0) & (F.col("distance") * 3 <= F.length(n)))
-    order = Window.partitionBy("unit_key").orderBy("distance", "name")
-    return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= count).select("unit_key", F.col("name").alias("suggestion"), "place", "distance")
+    """unit_key, suggestion, place: the nearest of all names by edit distance, not further than a third of the value."""
+    own = names.select(text.normalize_text(F.col("name")).alias("own")).where("own <> ''").distinct()
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for values, block in zip(b.column(0), b.column(1), strict=True):
+                texts = [r["own"] for r in block.as_py()]
+                table, sizes = _characters(texts), np.array([len(x) for x in texts])
+                for v in values.as_py():
+                    # each edit makes up for one character at most that the longer text has and the other lacks
+                    at = np.flatnonzero((np.maximum(sizes, len(v["own"])) - _common(v["own"], table)) * 3 <= len(v["own"]))
+                    yield pa.RecordBatch.from_arrays([pa.array([v["own"]] * len(at), pa.string()), pa.array([texts[i] for i in at], pa.string())], names=["own", "name"])
+
+    pairs = _crossed(units, own).mapInArrow(near, "own string, name string")
+    pairs = pairs.withColumn("distance", F.levenshtein("own", "name")).where((F.col("distance") > 0) & (F.col("distance") * 3 <= F.length("own")))
+    order = Window.partitionBy("own").orderBy("distance", "name")
+    nearest = pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= count)
+    asked = units.select("unit_key", text.normalize_text(F.col("value")).alias("own"))
+    return asked.join(nearest, "own").select("unit_key", F.col("name").alias("suggestion"), "place", "distance")
 
 
 def spelling_hits(units: DataFrame, names: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from pyspark.sql import functions as F
@@ -74,6 +76,45 @@ def test_approximate_finds_what_all_pairs_find(spark, terms):
         assert top[x].lower() == max(names, key=lambda n: SequenceMatcher(None, x, n.lower()).ratio()).lower()
 
 
+def test_approximate_and_spelling_equal_all_pairs_of_the_fixtures(spark):
+    from difflib import SequenceMatcher
+
+    from termweave.jobs import queries_align
+
+    d = "/root/testdata/sf0.01"
+    names = [(r["concept_id"], r["name"], " ".join(r["name"].split()).casefold()) for r in queries_align.terminology(spark, d).names.where("is_current").collect()]
+    values = sorted(r["value"] for r in queries_align.values(spark, d).collect())
+    known = {n for *_, n in names}
+    asked = [v for v in values if " ".join(v.split()).casefold() not in known][:12] + ["metal", "zzqq"]
+    units_ = spark.createDataFrame([(x, x) for x in asked], "unit_key string, value string")
+    tokens = lambda x: {w for w in re.findall("[a-z0-9]+", x) if len(w) > 1}
+    got, told = {}, {}
+    for r in retrieve.approx_hits(units_, queries_align.terminology(spark, d).names, P).collect():
+        got.setdefault(r["unit_key"], []).append((r["hit_rank"], r["concept_id"], r["name"], round(r["score"], 9)))
+    for r in retrieve.suggestions(units_, queries_align.terminology(spark, d).names.where("is_current")).collect():
+        told.setdefault(r["unit_key"], []).append((r["place"], r["distance"], r["suggestion"]))
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return row[-1]
+
+    for v in asked:
+        a = " ".join(v.split()).casefold()
+        like = {n: max(SequenceMatcher(None, a, n).ratio(), len(tokens(a) & tokens(n)) / max(1, len(tokens(a)))) for n in known}
+        best = {}
+        for concept, name, n in names:
+            best[concept] = max(best.get(concept, (0.0, "")), (like[n], name))
+        first = sorted(((-s, c, name) for c, (s, name) in best.items() if s > 0))[: P.maximum_candidates]
+        assert sorted(got.get(v, [])) == [(i + 1, c, name, round(-100 * s, 9)) for i, (s, c, name) in enumerate(first)]
+        near = sorted((e, n) for n in known if abs(len(a) - len(n)) * 3 <= len(a) and 0 < (e := edits(a, n)) and e * 3 <= len(a))[:3]
+        assert sorted(told.get(v, [])) == [(i + 1, e, n) for i, (e, n) in enumerate(near)]
+
+
 def test_release_pin(terms):
     assert retrieve.pin_release(terms.concepts, "r").count() == 6
     with pytest.raises(ValueError, match="no rows"):
