@@ -3,7 +3,8 @@
 Each text is its five-word shingles with weights 1 + ln(count). For each shingle exponential arrivals, all made from its hash, fall on random
 registers; a register keeps its earliest arrival, and arrivals stop once they are later than the latest register. The share of
 registers on which two texts agree estimates their probability Jaccard similarity, which is Jaccard similarity where weights are equal. Runs of
-ROWS registers are bands; texts with an equal band are candidates, and candidates are verified on their whole sets of shingles.
+ROWS registers are bands; texts with an equal band are candidates, and candidates are verified on their whole sets of shingles. As sets
+are what is verified, a text in which shingles repeat has a second set of bands, from weights of 1.
 
 Equal texts are one text from the start (copies move as one row), so only different texts are compared. In a band with at most SMALL texts
 all are compared with each other, in a larger one each with two leaders: the text that has the most company in all its bands, and one
@@ -72,6 +73,14 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int,
     return holder.reshape(n, registers)
 
 
+def _bands(sig: np.ndarray) -> np.ndarray:
+    """The hash of each run of ROWS registers, another one for each place."""
+    bands = np.zeros((len(sig), BANDS), np.uint64)
+    for j in range(ROWS):
+        bands += sig[:, j::ROWS] * textbytes.powers(ROWS + 1)[j + 1]
+    return textbytes.mix(bands + np.arange(1, BANDS + 1, dtype=np.uint64) * _STEP).view(np.int64)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, h (hash of the text), k1, k2 (128-bit hash of the words; null without words), bands of every row."""
     common.require(docs, "doc_id", "text")
@@ -93,13 +102,15 @@ def sketches(docs: DataFrame) -> DataFrame:
                     for j, salted in enumerate((w.hash, textbytes.mix(w.hash ^ np.uint64(0xA0761D6478BD642F)))):
                         keys[j, w.doc[begins]] = textbytes.mix(np.add.reduceat(salted * power, begins))
                 doc, shingle, often = textbytes.counted(*textbytes.shingles(w, n, SHINGLE))
-                sig = signatures(doc, shingle, 1 + np.log(often), n, BANDS * ROWS)
-                bands = np.zeros((n, BANDS), np.uint64)
-                for j in range(ROWS):
-                    bands += sig[:, j::ROWS] * textbytes.powers(ROWS + 1)[j + 1]
-                bands = textbytes.mix(bands + np.arange(1, BANDS + 1, dtype=np.uint64) * _STEP).view(np.int64)
-                offsets = np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))]).astype(np.int32)
-                longs = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[has].ravel()))
+                bands = _bands(signatures(doc, shingle, 1 + np.log(often), n, BANDS * ROWS))
+                again = np.bincount(doc[often > 1], minlength=n) > 0
+                own_again = again[doc]
+                place = np.cumsum(again) - 1
+                plain = np.zeros_like(bands)
+                plain[again] = _bands(signatures(place[doc[own_again]], shingle[own_again], np.ones(int(own_again.sum())), int(again.sum()), BANDS * ROWS))
+                use = np.column_stack([np.repeat(has[:, None], BANDS, 1), np.repeat(again[:, None], BANDS, 1)])
+                offsets = np.concatenate([[0], np.cumsum(use.sum(1))]).astype(np.int32)
+                longs = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.column_stack([bands, plain])[use]))
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *(pa.array(k.view(np.int64), mask=~has) for k in keys), longs], names=schema.names)
 
     return rows.mapInArrow(lambda b: textbytes.released(sketch(b)), schema)
@@ -207,7 +218,7 @@ def _classed(docs: DataFrame, threshold: float) -> DataFrame:
     rows = rows.withColumn("text_id", text_id)
     texts = rows.where("text_id is not null").groupBy("text_id").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.count(F.lit(1)).alias("copies"), F.min("bands").alias("bands"))
     texts = common.stored(spark, texts, "minhash-texts")
-    members = common.stored(spark, texts.select("text_id", F.explode("bands").alias("band")), "minhash-bands")
+    members = common.stored(spark, texts.select("text_id", F.explode(F.array_distinct("bands")).alias("band")), "minhash-bands")
     firsts = texts.select("text_id", "first.doc_id", "first.h")
     shared = common.stored(spark, _shared(members), "minhash-central")
     links = _verified(_star(shared), docs, firsts, threshold)

@@ -88,6 +88,20 @@ def test_minhash_classes_against_all_pairs(spark, seed):
     assert [got[i] for i in range(len(texts))] == label
 
 
+def test_minhash_finds_likeness_of_sets_where_lines_repeat(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(40):
+        body, footer = prose(rng, 100), " ".join(["\n" + prose(rng, 16)] * 20)
+        texts += [body, body + footer]
+    d = docs(spark, texts)
+    sets = [{tuple(x.split()[i : i + 5]) for i in range(len(x.split()) - 4)} for x in texts]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True))
+    bands = {r["doc_id"]: set(r["bands"]) for r in minhash.sketches(d).collect()}
+    assert all(len(bands[i]) == 20 for i in range(0, 80, 2)) and all(bands[i] & bands[i + 1] for i in range(0, 80, 2))
+    assert all(r["class_id"] == r["doc_id"] // 2 * 2 for r in minhash.classes(d).collect())
+
+
 def test_deduplicate_keeps_one_and_all_columns(spark):
     d = docs(spark, ["a b c d e f", "a b c d e f", "a b c d e f", "other words", "", ""], ids=[5, 3, 3, 1, 7, None]).withColumn("n", F.lit(1))
     kept = minhash.deduplicate(d)
