@@ -1,7 +1,7 @@
 r"""Operator 9, personal data: patterns, then information-theoretic sanitisation (DataFrame functions only).
 
-Four patterns give the protected entities and their spans. Then the corpus says which terms give an entity away: words near its mentions are
-counted by entity, and a term discloses entity e if its pointwise mutual information with e is at least ALPHA of all the information in
+Four patterns give the protected entities and their spans. Then the corpus says which terms give an entity away: the words of all its documents,
+wherever they stand outside spans, are counted by entity, once a document, and a term discloses entity e if its pointwise mutual information with e is at least ALPHA of all the information in
 e, -log2 P(e), probabilities being shares of documents. So that copies of one text aren't taken for evidence, a term needs
 MIN_SUPPORT documents and, on either side of it, neighbours as varied as MIN_CONTEXTS equally frequent ones (two to the power of
 their entropy). Disclosing terms become spans of kind `term` in the documents that mention the entity; redact() generalises all spans to their kind.
@@ -31,8 +31,7 @@ SPANS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = [*SPANS, "term"]
-WORD = r"\p{L}[\p{L}\p{M}'’-]++"
-WINDOW_CHARS = 80
+WORD = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}'’-]++"
 ALPHA, MIN_SUPPORT, MIN_CONTEXTS = 0.9, 3, 2.5
 BROADCAST_ROWS = 50_000
 
@@ -106,21 +105,46 @@ def _varied(near: DataFrame, side: str) -> DataFrame:
     return total.select("entity", "term", F.exp(F.log("n") - F.col("clogc") / F.col("n")).alias(f"varied_{side}"))
 
 
+def _between(text: Column, spans: Column) -> Column:
+    """The pieces of text that no span covers."""
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def add(s: Column, x: Column) -> Column:
+        piece = F.substring(text, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0)))
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], F.array(piece)).alias("out"))
+
+    return F.aggregate(order, start, add, lambda s: F.concat(s["out"], F.array(F.substring(text, s["at"] + 1, F.length(text)))))
+
+
+def _beside(pieces: Column) -> Column:
+    """term, prev and next of each word of the pieces."""
+
+    def one(piece: Column) -> Column:
+        w = F.transform(F.regexp_extract_all(piece, F.lit(WORD), F.lit(0)), lambda x: F.lower(x))
+        around = F.zip_with(w, F.concat(F.array(F.lit("")), w), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+        around = F.zip_with(around, F.slice(w, F.lit(2), F.size(w) + 1), lambda v, z: F.struct(v["x"].alias("term"), v["y"].alias("prev"), F.coalesce(z, F.lit("")).alias("next")))
+        return F.filter(around, lambda v: v["term"].isNotNull())
+
+    return F.flatten(F.transform(pieces, one))
+
+
 def disclosing(docs: DataFrame, mentions: DataFrame, alpha: float = ALPHA, min_support: int = MIN_SUPPORT, min_contexts: float = MIN_CONTEXTS) -> DataFrame:
     """entity, term: the terms that exceed the disclosure threshold. mentions: doc, text, spans."""
     spark = docs.sparkSession
-    one = mentions.select("doc", "text", F.explode("spans").alias("s")).withColumn("entity", _entity(F.col("s.kind"), F.col("s.value")))
-    left = F.expr(f"substring(text, greatest(s.start - {WINDOW_CHARS}, 0) + 1, s.start - greatest(s.start - {WINDOW_CHARS}, 0))")
-    right = F.expr(f"substring(text, s.end + 1, {WINDOW_CHARS})")
-    words = lambda side: F.transform(F.regexp_extract_all(side, F.lit(WORD), F.lit(0)), lambda w: F.lower(w))
-
-    def beside(side: Column) -> Column:
-        w = words(side)
-        return F.transform(w, lambda x, i: F.struct(x.alias("term"), F.coalesce(F.get(w, i - 1), F.lit("")).alias("prev"), F.coalesce(F.get(w, i + 1), F.lit("")).alias("next")))
-
-    near = one.select("doc", "entity", F.explode(F.concat(beside(left), beside(right))).alias("w")).select("doc", "entity", "w.*")
-    near = common.stored(spark, near, "pii-near")
-    joint = near.select("doc", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_support)
+    one = mentions.select("doc", F.explode("spans").alias("s")).select("doc", _entity(F.col("s.kind"), F.col("s.value")).alias("entity")).distinct()
+    one = common.stored(spark, one, "pii-entities")
+    # no term of an entity in fewer documents has the support
+    own = common.stored(spark, one.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity")).where(F.col("with_entity") >= min_support), "pii-own")
+    often = one.join(F.broadcast(own.select("entity")) if own.count() <= BROADCAST_ROWS else own.select("entity"), "entity", "left_semi")
+    # of a term's places in a text that with the least hash stands for all, so copies show the same neighbours
+    drawn = F.struct(F.xxhash64("w.term", "w.prev", "w.next").alias("h"), F.col("w.prev").alias("prev"), F.col("w.next").alias("next"))
+    places = mentions.select("doc", F.explode(_beside(_between(F.col("text"), F.col("spans")))).alias("w"))
+    words = common.stored(spark, places.groupBy("doc", F.col("w.term").alias("term")).agg(F.min(drawn).alias("at")).select("doc", "term", "at.prev", "at.next"), "pii-words")
+    near = words.join(often, "doc")
+    joint = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_support)
+    joint = common.stored(spark, joint, "pii-support")
+    near = common.stored(spark, near.join(F.broadcast(joint.select("entity", "term")) if joint.count() <= BROADCAST_ROWS else joint.select("entity", "term"), ["entity", "term"], "left_semi"), "pii-near")
     joint = joint.join(_varied(near, "prev"), ["entity", "term"]).join(_varied(near, "next"), ["entity", "term"]).where((F.col("varied_prev") >= min_contexts) & (F.col("varied_next") >= min_contexts)).select("entity", "term", "both")
     joint = common.stored(spark, joint, "pii-joint")
     terms = joint.select("term").distinct()
@@ -129,7 +153,6 @@ def disclosing(docs: DataFrame, mentions: DataFrame, alpha: float = ALPHA, min_s
     each = F.array_distinct(F.transform(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), lambda w: F.lower(w)))
     seen = docs.select(F.explode(each).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
     size = docs.count()
-    own = one.select("doc", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
     scored = joint.join(seen, "term").join(own, "entity")
     told = F.log2(F.col("both") * F.lit(float(size)) / (F.col("with_entity") * F.col("with_term")))
     whole = F.log2(F.lit(float(size)) / F.col("with_entity"))

@@ -186,6 +186,18 @@ def test_terms_that_reveal_an_entity(spark):
     assert all("term" not in s for s in out[12:])
 
 
+def test_terms_far_from_the_entity_and_with_digits_are_found(spark):
+    rng = random.Random(7)
+    told = [f"{prose(rng, 5)} zorro {prose(rng, 5 if i % 2 else 60)} boss@x.yz {prose(rng, 70)} 48213x {prose(rng, 3)}" for i in range(12)]
+    copies = [f"fixed quaxo text quaxo in quaxo to {'far ' * 40} copy@x.yz"] * 12
+    texts = [*told, *copies, *[prose(rng, 40) for _ in range(200)]]
+    out = [r["spans"] for r in pii.find(docs(spark, texts)).orderBy("doc_id").collect()]
+    for x, spans in zip(texts[:12], out[:12], strict=True):
+        places = [x.index("zorro"), x.index("48213x")]
+        assert [s for s in spans.split(",") if s.startswith("term")] == [f"term:{p}:{p + n}" for p, n in zip(places, (5, 6), strict=True)]
+    assert all("term" not in s for s in out[12:])
+
+
 def test_archives_round_trip(spark):
     inner = "a WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\n end"
     rows = [(1, "u", inner), (2, None, None), (3, "v", ""), (4, "x\r\ny", "WARC/1.0\r\n"), (5, "x", "é€ WARC/1.0\r\n"), (6, "x", "WARC/1.0\r\n"), (7, "x", "p" * 5000), (7, "x", "p" * 5000)]
