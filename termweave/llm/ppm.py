@@ -6,11 +6,12 @@ longest known context by its count less a half; the halves of the different byte
 shorter context leaves out the bytes that the longer one knew (exclusion), at last all bytes left are equally likely. Shorter contexts
 count a byte once for each longer context that it was new in (update exclusion).
 Because a longer context's bytes are a subset of a shorter one's, what exclusion takes away is one number for each context, and the
-probability of each byte in its full context is one number for each node: scoring is one hash lookup for a byte, more only after escapes.
+probability of each byte in its full context is one number for each node: scoring is one hash lookup for a frequent run's byte, and
+all other runs, each once, are joined with the stored trie at each order.
 
 The base score is a smoothed unigram model of words. Counts of the TOP_TOKENS most frequent words are looked up from a broadcast, all
-others by a join, so the vocabulary may grow without bound. The trie keeps all runs, or, beyond MAX_NODES (the size of the model), those
-with at least the count that makes it fit.
+others by a join, so the vocabulary may grow without bound. The trie keeps all runs; the most frequent ones, MAX_NODES at most, are looked up
+from a broadcast.
 
 Edge cases: null texts are empty, with the end as their only token; null ids are scored but never learned from; rows that repeat are scored each;
 with no training rows all bytes are equally likely and every word is unknown; an empty table gives an empty result.
@@ -19,12 +20,11 @@ with no training rows all bytes are equally likely and every word is unknown; an
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,35 +120,23 @@ def count(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(lambda b: textbytes.released(counts(b)), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-@dataclass
-class Model:
-    """grams: for each length from 1 the sorted runs and their counts; contexts: for each order the sorted contexts, T, D and what their
-    bytes count in the next shorter context; best: log10 probability of each longest run in its full context."""
-
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    contexts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-    best: np.ndarray
-    table: tuple[np.ndarray, np.ndarray] | None = field(default=None, repr=False)
-
-    def lookup(self, keys: np.ndarray) -> np.ndarray:
-        """best of each key; positive where the run is unknown."""
-        if self.table is None:
-            self.table = _hashed(self.grams[ORDER][0], self.best)
-        slots, values = self.table
-        mask = len(slots) - 1
-        at = _slot(keys, mask)
+def lookup(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """The value of each key; positive where the run isn't in the table."""
+    slots, values = table
+    mask = len(slots) - 1
+    at = _slot(keys, mask)
+    found = slots[at]
+    out = np.where(found == keys, values[at], np.float32(1))
+    left = np.flatnonzero((found != keys) & (found >= 0))
+    at = at[left]
+    while len(left):
+        at = (at + 1) & mask
         found = slots[at]
-        out = np.where(found == keys, values[at], np.float32(1))
-        left = np.flatnonzero((found != keys) & (found >= 0))
-        at = at[left]
-        while len(left):
-            at = (at + 1) & mask
-            found = slots[at]
-            hit = found == keys[left]
-            out[left[hit]] = values[at[hit]]
-            go = ~hit & (found >= 0)
-            left, at = left[go], at[go]
-        return out.astype(np.float64)
+        hit = found == keys[left]
+        out[left[hit]] = values[at[hit]]
+        go = ~hit & (found >= 0)
+        left, at = left[go], at[go]
+    return out.astype(np.float64)
 
 
 def _slot(keys: np.ndarray, mask: int) -> np.ndarray:
@@ -170,27 +158,42 @@ def _hashed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return slots, out
 
 
-def build(keys: np.ndarray, counts: np.ndarray) -> Model:
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order].astype(np.int64)
-    grams = [(keys, counts)]
+def _masked(key: str, size: int) -> Column:
+    """The last `size` bytes of a run."""
+    return F.col(key).bitwiseAND(F.lit((1 << 8 * size) - 1))
+
+
+def trie(spark: SparkSession, counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """All runs (key, c) of each length from 1, and all contexts (ctx, total, kinds, shorter) of each order: the sum of counts, the different bytes, and
+    what these count in the next shorter context."""
+    grams = [counts.where("kind = 1").select("key", F.col("n").alias("c"))]
     for m in range(ORDER, 0, -1):
-        short, back = np.unique(grams[0][0] & ((1 << 8 * m) - 1), return_inverse=True)
-        grams.insert(0, (short, np.bincount(back, minlength=len(short)).astype(np.int64)))
+        grams.insert(0, common.stored(spark, grams[0].groupBy(_masked("key", m).alias("key")).agg(F.count(F.lit(1)).alias("c")), f"ppm-runs-{m}"))
     contexts = []
-    for k in range(ORDER + 1):
-        x, c = grams[k]
-        ctx, back = np.unique(x >> 8, return_inverse=True)
-        total, kinds = np.bincount(back, c, len(ctx)), np.bincount(back, minlength=len(ctx))
-        shorter = np.zeros(len(ctx))
+    for k, own in enumerate(grams):
         if k:
-            y, d = grams[k - 1]
-            shorter = np.bincount(back, d[np.searchsorted(y, x & ((1 << 8 * k) - 1))], len(ctx)) if len(x) else shorter
-        contexts.append((ctx, total, kinds.astype(float), shorter))
-    ctx, total, kinds, _ = contexts[ORDER]
-    at = np.searchsorted(ctx, keys >> 8)
-    best = np.log10((counts - 0.5) / total[at]) if len(keys) else np.zeros(0)
-    return Model(grams, contexts, best.astype(np.float32))
+            own = own.withColumn("short", _masked("key", k)).join(grams[k - 1].select(F.col("key").alias("short"), F.col("c").alias("s")), "short")
+        else:
+            own = own.withColumn("s", F.lit(0))
+        own = own.groupBy(F.shiftright("key", 8).alias("ctx")).agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum("s").alias("shorter"))
+        contexts.append(common.stored(spark, own, f"ppm-contexts-{k}"))
+    return grams, contexts
+
+
+def resolved(keys: DataFrame, grams: list[DataFrame], contexts: list[DataFrame]) -> DataFrame:
+    """key, value: log10 probability of the last byte of each distinct run in its context, its other bytes, by joins with the whole trie."""
+    rows = keys.withColumns({"value": F.lit(0.0), "done": F.lit(False), "s_": F.lit(0).cast("long"), "d_": F.lit(0).cast("long")})
+    for k in range(ORDER, -1, -1):
+        ctx, own = contexts[k], grams[k].withColumnsRenamed({"key": "run"})
+        if k <= 1:  # 256 contexts and 65,536 runs at most
+            ctx, own = F.broadcast(ctx), F.broadcast(own)
+        rows = rows.join(ctx, F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * k) - 1)) == F.col("ctx"), "left").join(own, _masked("key", k + 1) == F.col("run"), "left")
+        total, kinds = F.col("total") - F.col("s_"), F.col("kinds") - F.col("d_")
+        open_ = ~F.col("done") & F.col("ctx").isNotNull() & (kinds > 0)
+        seen = open_ & F.col("c").isNotNull()
+        more = F.when(seen, F.log10((F.col("c") - 0.5) / total)).when(open_, F.log10(0.5 * kinds / total)).otherwise(F.lit(0.0))
+        rows = rows.select("key", (F.col("value") + more).alias("value"), (F.col("done") | seen).alias("done"), F.coalesce("shorter", F.lit(0)).cast("long").alias("s_"), F.coalesce("kinds", F.lit(0)).cast("long").alias("d_"))
+    return rows.select("key", F.when(F.col("done"), F.col("value")).otherwise(F.col("value") - F.log10(256 - F.col("d_"))).alias("value"))
 
 
 def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,34 +204,6 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, sorted_keys[at] == keys
 
 
-def log10_bytes(m: Model, keys: np.ndarray) -> np.ndarray:
-    """log10 probability of the last byte of each run in its context, its other bytes."""
-    out = m.lookup(keys)
-    todo = np.flatnonzero(out > 0)
-    out[todo] = 0
-    longer = np.full(len(todo), -1)  # the next longer context that was escaped from; -1: none
-    for k in range(ORDER, -1, -1):
-        if not len(todo):
-            break
-        own = keys[todo]
-        at, known = _find(m.contexts[k][0], (own >> 8) & ((1 << 8 * k) - 1))
-        total, kinds = m.contexts[k][1][at].astype(float) if len(m.contexts[k][0]) else np.zeros(len(todo)), m.contexts[k][2][at] if len(m.contexts[k][0]) else np.zeros(len(todo))
-        if k < ORDER and len(m.contexts[k + 1][0]):
-            out_of = longer >= 0
-            total = total - np.where(out_of, m.contexts[k + 1][3][longer], 0)
-            kinds = kinds - np.where(out_of, m.contexts[k + 1][2][longer], 0)
-        place, seen = _find(m.grams[k][0], own & ((1 << 8 * (k + 1)) - 1))
-        seen &= known & (kinds > 0)
-        if seen.any():
-            out[todo[seen]] += np.log10((m.grams[k][1][place[seen]] - 0.5) / total[seen])
-        escape = known & ~seen & (kinds > 0)
-        out[todo[escape]] += np.log10(0.5 * kinds[escape] / total[escape])
-        todo, longer = todo[~seen], np.where(known, at, -1)[~seen]
-    known = len(m.contexts[0][0]) and m.contexts[0][2][0] or 0
-    out[todo] -= np.log10(256 - known)
-    return out
-
-
 def _fit_count(counts: DataFrame, kind: int, most: int) -> int:
     """The least count of which at most `most` keys have as much."""
     top = 1 << 12
@@ -254,14 +229,17 @@ def score(docs: DataFrame, max_nodes: int = MAX_NODES, top_tokens: int = TOP_TOK
     counts = common.stored(spark, count(docs.where(common.trainable(F.col("doc_id"), 10, 0))), "ppm-counts")
     total = counts.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).head()
     train_tokens, distinct = int(total[0]), int(total[1])
-    model = build(*_arrays(counts.where(f"kind = 1 and n >= {_fit_count(counts, 1, max_nodes)}")))
+    grams, contexts = trie(spark, counts)
+    often = counts.where(f"kind = 1 and n >= {_fit_count(counts, 1, max_nodes)}").select("key", F.col("n").alias("c"))
+    best = often.join(contexts[ORDER].select("ctx", "total"), F.shiftright("key", 8) == F.col("ctx")).select("key", F.log10((F.col("c") - 0.5) / F.col("total")).alias("n"))
+    model = _hashed(*_arrays(best))
     least = _fit_count(counts, 0, top_tokens)
     top, often = _arrays(counts.where(f"kind = 0 and n >= {least}"))
     order = np.argsort(top)
     held = spark.sparkContext.broadcast((model, top[order], often[order]))
     below = train_tokens + 0.1 * (distinct + 1)
     rows = docs.select("doc_id", common.held_out(F.col("doc_id"), 10, 0).alias("held_out"), "text")
-    schema = rows.drop("text").schema.add("row", "long").add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double").add("token", "long").add("tf", "long")
+    schema = rows.drop("text").schema.add("row", "long").add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double").add("token", "long").add("tf", "long").add("run", "long")
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,8 +254,12 @@ def score(docs: DataFrame, max_nodes: int = MAX_NODES, top_tokens: int = TOP_TOK
                 body, begins = streams(t, w)
                 mine = _own(body, begins)
                 values = np.zeros(len(body))
-                values[mine] = log10_bytes(model, runs(body)[mine])
+                run = runs(body)[mine]
+                value = lookup(model, run)
+                missed = value > 0
+                values[mine] = np.where(missed, 0, value)
                 total = np.add.reduceat(values, begins)
+                miss_doc, miss, miss_tf = textbytes.counted((np.searchsorted(begins, np.flatnonzero(mine)[missed], "right") - 1), run[missed].view(np.uint64))
                 token = np.concatenate([w.hash.view(np.int64), np.full(n, END_TOKEN, np.int64)])
                 doc = np.concatenate([w.doc, np.arange(n)])
                 at, known = _find(top, token)
@@ -285,17 +267,23 @@ def score(docs: DataFrame, max_nodes: int = MAX_NODES, top_tokens: int = TOP_TOK
                 row = next_row + np.arange(n)
                 next_row += n
                 null = pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(row), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc[known], minlength=n)), pa.array(base), pa.array(total), null, null], names=schema.names)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(row), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc[known], minlength=n)), pa.array(base), pa.array(total), null, null, null], names=schema.names)
+                m = len(miss)
+                if m:
+                    yield pa.RecordBatch.from_arrays([pa.nulls(m, own.schema.field(0).type), pa.nulls(m, pa.bool_()), pa.array(row[miss_doc]), *[pa.nulls(m, pa.int64())] * 2, *[pa.nulls(m, pa.float64())] * 2, pa.nulls(m, pa.int64()), pa.array(miss_tf.astype(np.int64)), pa.array(miss.view(np.int64))], names=schema.names)
                 rare_doc, rare, tf = textbytes.counted(doc[~known], token[~known])
                 m = len(rare)
                 if m:
-                    yield pa.RecordBatch.from_arrays([pa.nulls(m, own.schema.field(0).type), pa.nulls(m, pa.bool_()), pa.array(row[rare_doc]), *[pa.nulls(m, pa.int64())] * 2, *[pa.nulls(m, pa.float64())] * 2, pa.array(rare), pa.array(tf.astype(np.int64))], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(m, own.schema.field(0).type), pa.nulls(m, pa.bool_()), pa.array(row[rare_doc]), *[pa.nulls(m, pa.int64())] * 2, *[pa.nulls(m, pa.float64())] * 2, pa.array(rare), pa.array(tf.astype(np.int64)), pa.nulls(m, pa.int64())], names=schema.names)
 
     found = common.stored(spark, rows.mapInArrow(lambda b: textbytes.released(scored(b)), schema), "ppm-scores")
     rare = found.where("token is not null").select("row", "token", "tf").join(counts.where("kind = 0").select(F.col("key").alias("token"), "n"), "token", "left")
     c = F.coalesce(F.col("n"), F.lit(0))
     sums = rare.groupBy("row").agg(F.sum(F.col("tf") * F.log10((c + 0.1) / below)).alias("more"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("more_known"))
-    return found.where("token is null").join(sums, "row", "left").select(
+    missed = found.where("run is not null").select("row", "run", "tf")
+    values = common.stored(spark, resolved(missed.select(F.col("run").alias("key")).distinct(), grams, contexts), "ppm-resolved")
+    escaped = missed.join(values, F.col("run") == F.col("key")).groupBy("row").agg(F.sum(F.col("tf") * F.col("value")).alias("more_score"))
+    return found.where("token is null and run is null").join(sums, "row", "left").join(escaped, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )

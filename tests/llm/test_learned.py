@@ -103,6 +103,13 @@ def test_languages_and_spans(spark):
     assert langid.identify(d.limit(0)).count() == 0
 
 
+def test_ppm_is_the_same_whatever_is_broadcast(spark):
+    rng = random.Random(9)
+    d = docs(spark, [" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 12))) for _ in range(40)] + ["", None, "Zz é"])
+    whole, few = ({r["doc_id"]: r["score"] for r in ppm.score(d, max_nodes=n).collect()} for n in (ppm.MAX_NODES, 20))
+    assert few == pytest.approx(whole, rel=1e-5)
+
+
 def test_ppm_equals_brute_force(spark):
     import collections
     import math
