@@ -39,7 +39,7 @@ def _revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
     """page_id, refers_to, sha of the pages whose payload one with a smaller id holds."""
     narrow = pages.select("page_id", F.sha2(F.col("payload"), 256).alias("sha"), F.octet_length("payload").alias("size")).where(F.col("size") >= min_bytes)
     firsts = narrow.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "refers_to")
-    return narrow.join(firsts, "sha").where(F.col("page_id") > F.col("refers_to")).select("page_id", "refers_to").distinct()
+    return narrow.join(firsts, "sha").where(F.col("page_id") > F.col("refers_to")).select("page_id", "refers_to", "sha").distinct()
 
 
 def _header(name: str, value: Column) -> Column:
@@ -55,7 +55,7 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     revisits = common.stored(spark, _revisits(rows, min_bytes), "warc-revisits")
     if revisits.count() <= BROADCAST_ROWS:
         revisits = F.broadcast(revisits)
-    rows = rows.join(revisits, "page_id", "left")
+    rows = rows.withColumn("sha", F.sha2(F.col("payload"), 256)).join(revisits, ["page_id", "sha"], "left")
     rows = rows.withColumn("body", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit("")))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     header = F.concat(

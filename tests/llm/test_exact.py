@@ -214,3 +214,11 @@ def test_archives_round_trip(spark):
     read = {r["page_id"]: r["payload"] for r in warc.read(spark, path).where("type = 'response'").collect()}
     assert read["1"] == inner and read["5"] == "é€ WARC/1.0\r\n" and read["7"] == "p" * 5000
     assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_one_id_with_two_payloads_keeps_both(spark):
+    rows = [(1, "u", "same"), (2, "u", "same"), (2, "u", "own"), (0, "u", "other"), (2, "u", "other")]
+    path = warc.common.scratch_path(spark, "w")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    out = sorted((r["page_id"], r["type"], r["payload"] or "") for r in warc.read(spark, path).select("page_id", "type", "payload").collect())
+    assert len(out) == 5 and ("2", "response", "own") in out and [r[:2] for r in out].count(("2", "revisit")) == 2
