@@ -18,6 +18,7 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator, Mapping
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,60 +30,104 @@ from . import common, textbytes
 CAPACITY = 2048
 END_ID = 0
 ROWS_PER_SALT = 500_000
-#: Distinct words whose ids a task remembers.
-CACHE_WORDS = 500_000
+#: Distinct parts of texts whose ids a task remembers.
+CACHE_PARTS = 500_000
 
-assert array("I").itemsize == 4 and sys.byteorder == "little"
-_UNSURE = re.compile(r" (?=\s|\Z)|<\|endoftext\|>")
-_encoders: dict[str, Encoder] = {}
+assert sys.byteorder == "little"
+_SPECIAL = "<|endoftext|>"
+#: The parts that the tokeniser splits a text into before it encodes each by itself. Python's classes of letters and numbers are the tokeniser's
+#: for the characters of _PLAIN; other texts are encoded whole.
+_PART = re.compile(r" ?[^\W\d_²³¹¼½¾]++|'(?:s|t|re|ve|m|ll|d)| ?[\d²³¹¼½¾]++| ?(?:[^\s\w]|_)++|\s+(?!\S)|\s+")
+_PLAIN = re.compile("[\t-\r\x20-\x7e\xa0-\u04ff]*+")
+#: What stands for the end among parts; no part has white space after a letter.
+_END = "end "
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+class _Numbers(dict):
+    """Numbers strings as they come and lists the new ones."""
+
+    def __init__(self, *known: str) -> None:
+        super().__init__({x: k for k, x in enumerate(known)})
+        self.new: list[str] = []
+
+    def __missing__(self, name: str) -> int:
+        self[name] = number = len(self)
+        self.new.append(name)
+        return number
+
+    def taken(self) -> list[str]:
+        new, self.new = self.new, []
+        return new
+
+
+class _Runs:
+    """Runs of ids: all ids one after another, where each run begins, and its size."""
+
+    def __init__(self, *runs: list[int]) -> None:
+        self.ids, self.size = np.array([x for r in runs for x in r], np.uint32), np.array([len(r) for r in runs], np.int64)
+        self.at = np.cumsum(self.size) - self.size
+
+    def add(self, ids: np.ndarray, size: np.ndarray) -> None:
+        self.at = np.append(self.at, len(self.ids) + np.cumsum(size) - size)
+        self.ids, self.size = np.append(self.ids, ids), np.append(self.size, size)
+
+    def take(self, numbers: np.ndarray) -> np.ndarray:
+        """Ids of the runs of those numbers, one after another."""
+        size = self.size[numbers]
+        return self.ids[np.repeat(self.at[numbers] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
 
 
 class Encoder:
-    """Token ids, as little-endian bytes, of whole texts. The tokeniser splits before any single space that a visible
-    character follows, so a text is the concatenation of such words, and words that were seen need no second encoding."""
+    """Token ids of whole texts: distinct parts are encoded once for many texts, which gather their ids."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, end_id: int = END_ID) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words = Tokenizer.from_file(path), {}
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.clear()
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in _encoders:
-            _encoders[path] = cls(path)
-        return _encoders[path]
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        """Remember the ids of words; a word and the marks after it are tokens of their own, so the bare word serves both."""
-        stems = {w: w.rstrip(".,;:!?") for w in new}
-        cut = {w: (s, w[len(s) :]) for w, s in stems.items() if s != w and s.removeprefix(" ").isalpha()}
-        bare = dict.fromkeys(x for w in new for x in cut.get(w, (w,)) if x not in self.words)
-        self.words.update(zip(bare, self._whole(list(bare)), strict=True))
-        self.words.update((w, self.words[s] + self.words[marks]) for w, (s, marks) in cut.items())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts: list[list[str] | None] = []
-        new: dict[str, None] = {}
-        for text in texts:
-            if _UNSURE.search(text):
-                parts.append(None)
-                continue
-            first, *rest = text.split(" ")
-            own = [first, *[f" {w}" for w in rest]] if first else [f" {w}" for w in rest]
-            parts.append(own)
-            new.update(dict.fromkeys(w for w in own if w not in self.words))
-        if len(self.words) + 2 * len(new) > CACHE_WORDS:
-            self.words.clear()
-            new = dict.fromkeys(w for own in parts if own for w in own)
-        self._learn(list(new))
-        get = self.words.__getitem__
-        return [b"".join(map(get, own)) if own is not None else self._whole([text])[0] for own, text in zip(parts, texts, strict=True)]
+    def of(cls, path: str, end_id: int = END_ID) -> Encoder:
+        if (path, end_id) not in _encoders:
+            _encoders[path, end_id] = cls(path, end_id)
+        return _encoders[path, end_id]
+
+    def clear(self) -> None:
+        self.parts, self.runs = _Numbers(_END), _Runs([self.end_id])
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids one after another, and how many each text has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, each with an end id, and how many each text has."""
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if len(self.parts) > CACHE_PARTS:
+            self.clear()
+        numbers, begins, whole = array("q"), [], []
+        for k, text in enumerate(texts):
+            begins.append(len(numbers))
+            if _PLAIN.fullmatch(text) and _SPECIAL not in text:
+                numbers.extend(map(self.parts.__getitem__, _PART.findall(text)))
+            else:
+                whole.append(k)
+            numbers.append(0)
+        self.runs.add(*self._encoded(self.parts.taken()))
+        parts = np.frombuffer(numbers, np.int64)
+        ids, size = self.runs.take(parts), np.add.reduceat(self.runs.size[parts], np.array(begins))
+        if whole:
+            each = np.split(ids, np.cumsum(size)[:-1])
+            for k in whole:
+                each[k] = np.append(self._encoded([texts[k]])[0], each[k])
+                size[k] = len(each[k])
+            ids = np.concatenate(each)
+        return ids, size
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -92,25 +137,22 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     schema = rows.select("doc_id").schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder.of(tokenizer), np.array([end_id], "<u4").tobytes()
-        for whole in batches:
-            for first in range(0, whole.num_rows, 500):
-                b = whole.slice(first, 500)
-                owner, piece, start, length, crc = [], [], [], [], []
-                for k, ids in enumerate(encoder.encode([x or "" for x in b.column("text").to_pylist()])):
-                    ids += end
-                    n = len(ids) // 4
-                    at, j = 0, 0
-                    while at < n:
-                        size = (n % capacity if not at else capacity) or capacity
-                        owner.append(k)
-                        piece.append(j)
-                        start.append(at)
-                        length.append(size)
-                        crc.append(zlib.crc32(ids[4 * at : 4 * (at + size)]))
-                        at, j = at + size, j + 1
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=schema.names)
-        encoder.words.clear()
+        encoder = Encoder.of(tokenizer, end_id)
+        for b in batches:
+            for t in textbytes.chunks(b.column("text")):
+                own = b.slice(t.first, len(t))
+                ids, n = encoder.encode([x or "" for x in own.column("text").to_pylist()])
+                many = -(-n // capacity)
+                owner = np.repeat(np.arange(len(n)), many)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+                first = (n - (many - 1) * capacity)[owner]
+                start = np.where(piece, first + (piece - 1) * capacity, 0)
+                length = np.where(piece, capacity, first)
+                at = ((np.cumsum(n) - n)[owner] + start) * 4
+                data = memoryview(ids).cast("B")
+                crc = [zlib.crc32(data[i:j]) for i, j in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([own.column("doc_id").take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=schema.names)
+        encoder.clear()
 
     return rows.mapInArrow(lambda b: textbytes.released(cut(b)), schema)
 

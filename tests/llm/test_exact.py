@@ -143,6 +143,16 @@ def test_tokens_pieces_and_gapless_sequences(spark):
     assert packing.pack(docs(spark, []), BPE).count() == 0
 
 
+def test_tokens_of_all_plain_characters_and_odd_spaces():
+    encoder, t = packing.Encoder(BPE), Tokenizer.from_file(BPE)
+    rng = random.Random(1)
+    texts = [f"a{c}b 1{c}2 {c} '{c}s{c}{c}\n{c}" for c in map(chr, [*range(9, 14), *range(0x1C, 0x500)])]
+    texts += ["".join(rng.choice(" \n\t.,'’s é中1²ab-\x1c\x85\r") for _ in range(rng.randrange(12))) for _ in range(5000)]
+    ids, n = encoder.encode([*texts, "a <|endoftext|> b", ""])
+    cut = np.split(ids, np.cumsum(n)[:-1])
+    assert all(got.tolist() == [*t.encode(x, add_special_tokens=False).ids, 0] for x, got in zip([*texts, "a <|endoftext|> b", ""], cut, strict=True))
+
+
 def test_plan_equals_best_fit_decreasing_one_by_one():
     rng = random.Random(4)
     for _ in range(30):
