@@ -9,19 +9,41 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Rows in an Arrow batch: texts may be long, and a batch is held by the JVM and by Python at once.
-BATCH_ROWS = 1_000
+#: Rows and bytes in an Arrow batch at most (a longer text is a batch of its own): a batch is held by the JVM and by Python at once.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, as jobs on whole texts should; limits that are smaller already stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, "0").lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like those given that no column of df has, in any spelling."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; one of our own only where it names none (tests)."""
+    """The folder that the cluster names for checkpoints; one of our own only where it names none and runs on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint_iblt, langid, minhash, mixing, packing, pii, ppm, quality_gam, quality_mcd, warc
-from .common import table
+from . import common, fingerprint_iblt, langid, minhash, mixing, packing, pii, ppm, quality_gam, quality_mcd, warc
 
 
 def tokenizer_path() -> str:
@@ -16,6 +15,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    common.small_batches(spark)
+    return common.table(spark, sf_dir, name)
+
+
 def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
