@@ -11,7 +11,9 @@ and belongs to the record before it.
 
 Edge cases: a null html is an empty payload; a null page_id is kept (an empty header field) and is never another's original unless all
 ids of that payload are null; pages repeated with one id are all responses where that id is the smallest; payloads under min_bytes are
-all responses; an empty table writes an archive without records. Columns besides page_id, url and html are ignored.
+all responses; an empty table writes an archive without records. Columns besides page_id, url and html are ignored. Records of other types
+(warcinfo, request, metadata) are links of the chain and aren't returned; a header without a type or a length is no record, so the
+chain of its file ends there and what follows belongs to the record before it.
 """
 
 from __future__ import annotations
@@ -93,7 +95,7 @@ def _piece(data: bytes) -> list:
     head = data.find(END.encode())
     fields = {k.lower(): v for k, v in _FIELD.findall(data[: head + 2])} if head >= 0 else {}
     kind, size = fields.get(b"warc-type", b"").decode("latin-1"), fields.get(b"content-length", b"")
-    if kind not in ("response", "revisit") or not _NUMBER.fullmatch(size):
+    if not kind or not _NUMBER.fullmatch(size):
         return [None] * 7 + [False, None]
     head, content = head + len(END), int(size)
     ids = [re.sub(r"^<urn:page:|>$", "", fields.get(k, b"").decode("utf-8", "replace")) for k in (b"warc-record-id", b"warc-refers-to")]
@@ -147,7 +149,7 @@ def reachable(links: DataFrame, stop: int | None = None) -> DataFrame:
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each true record: file, split, before (place of its first piece), page_id, refers_to (text), type, content,
+    """A row for each true response or revisit record: file, split, before (place of its first piece), page_id, refers_to (text), type, content,
     payload_bytes, digest (of the payload that was read; of the header for revisits), head, payload (only of records that hold a magic)."""
     found = common.stored(spark, pieces(spark, path), "warc-pieces")
     sizes = found.groupBy("file", "split").agg(F.sum(F.col("bytes") + len(MAGIC)).alias("size"))
@@ -157,7 +159,7 @@ def index(spark: SparkSession, path: str) -> DataFrame:
     links = placed.select("file", "at", (F.col("at") + len(MAGIC) + F.col("head") + F.col("content") + len(END)).alias("next"))
     chain = reachable(links).withColumn("reached", F.lit(True))
     placed = placed.join(chain, ["file", "at"], "left").withColumn("reached", F.coalesce("reached", F.lit(False)))
-    alone = placed.where("reached and whole").select("file", "split", "before", "page_id", "refers_to", "type", "content", "payload_bytes", "head", F.when(F.col("type") == "response", F.col("sha1")).otherwise(F.col("digest")).alias("digest"), F.lit(None).cast("string").alias("payload"))
+    alone = placed.where("reached and whole and type in ('response', 'revisit')").select("file", "split", "before", "page_id", "refers_to", "type", "content", "payload_bytes", "head", F.when(F.col("type") == "response", F.col("sha1")).otherwise(F.col("digest")).alias("digest"), F.lit(None).cast("string").alias("payload"))
     # a record that holds a magic lies in several pieces: the reached one and those up to the next reached one
     upto = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     narrow = placed.select("file", "at", F.last(F.when(F.col("reached"), F.struct("at", "whole")), ignorenulls=True).over(upto).alias("owner"))
@@ -174,7 +176,7 @@ def index(spark: SparkSession, path: str) -> DataFrame:
     joined = F.encode(F.array_join(F.transform("parts", lambda x: x["part"]), MAGIC), "UTF-8")
     body = F.expr("substring(joined, cast(r.head + 1 as int), cast(r.content as int))")
     broken = parts.withColumn("joined", joined).withColumn("body", body).select("file", "r.split", "r.before", "r.page_id", "r.refers_to", "r.type", "r.content", "r.payload_bytes", "r.head", F.when(F.col("r.type") == "response", _base32(F.sha1("body"))).otherwise(F.col("r.digest")).alias("digest"), F.decode("body", "UTF-8").alias("payload"))
-    return alone.unionByName(broken)
+    return alone.unionByName(broken.where("type in ('response', 'revisit')"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

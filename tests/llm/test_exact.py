@@ -259,6 +259,14 @@ def test_archives_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_records_of_other_types_are_links_of_the_chain(spark):
+    path = warc.common.scratch_path(spark, "w")
+    record = lambda kind, i, body: f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {len(body)}\r\n\r\n{body}"
+    rows = [record("warcinfo", 0, "software: x"), record("response", 1, "one"), record("request", 2, "GET WARC/1.0\r\nx"), record("metadata", 3, ""), record("response", 4, "a WARC/1.0\r\nb")]
+    spark.createDataFrame([(x,) for x in rows], "value string").coalesce(1).write.option("lineSep", warc.END).text(path)
+    assert sorted((r["page_id"], r["payload"]) for r in warc.read(spark, path).collect()) == [("1", "one"), ("4", "a WARC/1.0\r\nb")]
+
+
 def test_one_id_with_two_payloads_keeps_both(spark):
     rows = [(1, "u", "same"), (2, "u", "same"), (2, "u", "own"), (0, "u", "other"), (2, "u", "other")]
     path = warc.common.scratch_path(spark, "w")
