@@ -21,7 +21,7 @@ def small_batches(spark: SparkSession) -> None:
     """Bound the session's Arrow batches, as jobs on whole texts should; limits that are smaller already stay."""
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{name}"
-        now = spark.conf.get(key, "0").lower().removesuffix("b")
+        now = spark.conf.get(key).lower().removesuffix("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, most)
 

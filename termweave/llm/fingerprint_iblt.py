@@ -9,11 +9,13 @@ digests are dealt by hash to blocks of a few digests each and each block is sket
 need be; at last the block's difference is taken from the sets themselves. So work grows in proportion to a text, and nothing is grouped:
 all of it is expressions over one row.
 
-The next document comes from a window over id ranges of about RANGE_ROWS rows; the first row of each range is also dealt, as a copy,
-to the range before it, so one shuffle suffices and no window spans the table.
+The next document comes from a window over ranges of ids of about RANGE_ROWS rows, cut where the ids are (as Spark's range
+partitioning samples them), MAX_RANGES at most; the first row of each range is also dealt, as a copy, to the range before it, so one shuffle of texts suffices and no
+window spans the table.
 
-Edge cases: a null text is the empty text; its set is empty, and two empty sets are alike (1.0); null ids come first;
-rows with one id are ordered by text; a single row is its own next; an empty table gives an empty result; columns other than doc_id and text are ignored.
+Edge cases: a null text is the empty text; its set is empty, and two empty sets are alike (1.0); null ids come first, ids may be of any type that
+orders; rows with one id are ordered by a hash of the text, so many of them are several ranges; a single row is its own next; an
+empty table gives an empty result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ from . import common
 
 CELLS = 24
 STEP = 80
-#: Digests of both versions in a block, and in a coarse block of long texts.
-BLOCK, COARSE = 14, 1024
-RANGE_ROWS, MAX_RANGES = 256, 1 << 20
+#: Digests of both versions in a block, at each level that a long text's are dealt by.
+BLOCKS = (32_768, 1024, 14)
+RANGE_ROWS, MAX_RANGES = 256, 1 << 13
+_DIGESTS = "array<struct<k:bigint,c:int>>"
 
 _PIECE = rf"[^\\n]{{0,{STEP}}}[^\\n.!?]*[.!?]*"
 
@@ -58,60 +61,70 @@ def subtract(a: str, b: str) -> str:
 
 
 def peel(difference: str, cells: int = CELLS) -> str:
-    """SQL: how many digests a difference holds; null if it can't be peeled."""
+    """SQL: the digests that a difference holds (k, c: 1 in the first set only, -1 in the second only); null if it can't be peeled."""
     pure = "filter(s.cells, x -> abs(x.c) = 1 and xxhash64(x.k, 77) = x.h)"
     places = ", ".join(_place("u.k", j, cells) for j in range(3))
     taken = f"transform(s.cells, (x, i) -> if(i in ({places}), named_struct('c', x.c - u.c, 'k', x.k ^ u.k, 'h', x.h ^ u.h), x))"
-    step = f"if(s.over, s, transform(array(get({pure}, 0)), u -> if(u is null, named_struct('cells', s.cells, 'n', s.n, 'over', true), named_struct('cells', {taken}, 'n', s.n + 1, 'over', false)))[0])"
+    step = f"if(s.over, s, transform(array(get({pure}, 0)), u -> if(u is null, named_struct('cells', s.cells, 'out', s.out, 'over', true), named_struct('cells', {taken}, 'out', concat(s.out, array(named_struct('k', u.k, 'c', u.c))), 'over', false)))[0])"
     empty = "not exists(s.cells, x -> x.c <> 0 or x.k <> 0 or x.h <> 0)"
-    return f"aggregate(sequence(1, {cells + 1}), named_struct('cells', {difference}, 'n', 0, 'over', false), (s, i) -> {step}, s -> if({empty}, s.n, cast(null as int)))"
+    return f"aggregate(sequence(1, {cells + 1}), named_struct('cells', {difference}, 'out', cast(array() as {_DIGESTS}), 'over', false), (s, i) -> {step}, s -> if({empty}, s.out, cast(null as {_DIGESTS})))"
 
 
 def differing(a: str, b: str) -> str:
-    """SQL: the number of digests in just one of two sets, by blocks of sketches, larger ones where peeling fails."""
+    """SQL: the digests in just one of two sets, as `peel` gives them, by blocks of sketches, larger ones where peeling fails."""
 
     def block(cells: int) -> str:
         return peel(subtract(sketch("q.a", cells), sketch("q.b", cells)), cells)
 
-    exact = "size(array_except(q.a, q.b)) + size(array_except(q.b, q.a))"
-    one = f"coalesce({block(CELLS)}, {block(2 * CELLS)}, {block(8 * CELLS)}, {exact})"
+    signed = lambda x, y, c: f"transform(array_except({x}, {y}), k -> named_struct('k', k, 'c', {c}))"
+    out = f"coalesce({block(CELLS)}, {block(2 * CELLS)}, {block(8 * CELLS)}, concat({signed('q.a', 'q.b', 1)}, {signed('q.b', 'q.a', -1)}))"
+    # each level deals what a block of the level above holds
+    for level, size in enumerate(reversed(BLOCKS)):
+        top = level == len(BLOCKS) - 1
+        x, y, seed = (a, b, 3) if top else ("w.a", "w.b", 3 + 2 * level + 2)
+        n = f"cast(greatest(ceil((size({x}) + size({y})) / {size}.0), 1) as int)"
+        part = lambda z: f"filter({z}, k -> pmod(xxhash64(k, {seed}), g.n) = g.i)"  # noqa: B023, E731
+        dealt = f"transform(transform(sequence(0, {n} - 1), i -> named_struct('i', i, 'n', {n})), g -> named_struct('a', {part(x)}, 'b', {part(y)}))"
+        out = f"flatten(transform({dealt}, {'q' if not level else 'w'} -> {out}))"
+    return out
 
-    def dealt(a: str, b: str, size: int, seed: int) -> str:
-        n = f"cast(greatest(ceil((size({a}) + size({b})) / {size}.0), 1) as int)"
-        part = lambda x: f"filter({x}, k -> pmod(xxhash64(k, {seed}), g.n) = g.i)"
-        return f"transform(transform(sequence(0, {n} - 1), i -> named_struct('i', i, 'n', {n})), g -> named_struct('a', {part(a)}, 'b', {part(b)}))"
 
-    fine = f"aggregate({dealt('w.a', 'w.b', BLOCK, 5)}, 0, (t, q) -> t + {one})"
-    return f"aggregate({dealt(a, b, COARSE, 3)}, 0, (r, w) -> r + {fine})"
+def difference(a: str, b: str, sketch_a: str, sketch_b: str) -> str:
+    """SQL: the digests in just one of two sets, from their sketches if those can be peeled."""
+    return f"coalesce({peel(subtract(sketch_a, sketch_b))}, {differing(a, b)})"
 
 
-def likeness(a: str, b: str, sketch_a: str, sketch_b: str) -> str:
-    """SQL: Jaccard of two sets of digests by their sketches."""
-    d = f"coalesce({peel(subtract(sketch_a, sketch_b))}, {differing(a, b)})"
-    return f"transform(array({d}), d -> if(size({a}) + size({b}) = 0, 1.0D, cast(size({a}) + size({b}) - d as double) / (size({a}) + size({b}) + d)))[0]"
+def likeness(a: str, b: str, d: str) -> str:
+    """SQL: Jaccard of two sets of digests of which d differ."""
+    return f"if(size({a}) + size({b}) = 0, 1.0D, cast(size({a}) + size({b}) - size({d}) as double) / (size({a}) + size({b}) + size({d})))"
 
 
 def serialised(cells: str) -> str:
     return f"array_join(transform({cells}, x -> concat(lpad(hex(x.c), 4, '0'), lpad(hex(x.k), 16, '0'), lpad(hex(x.h), 16, '0'))), '')"
 
 
+def _bounds(keys: DataFrame) -> str:
+    """SQL: the sorted array of the least key (doc_id, h) of each of at most MAX_RANGES ranges with about equally many rows."""
+    spark = keys.sparkSession
+    ranges = min(MAX_RANGES, max(1, -(-keys.count() // RANGE_ROWS)))
+    dealt = keys.repartitionByRange(ranges, "doc_id", "h").groupBy(F.spark_partition_id().alias("range")).agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    found = dealt.agg(F.sort_array(F.collect_set("first")).alias("all"))  # one row of at most MAX_RANGES keys
+    text = found.select(F.to_json("all")).head()[0] or "[]"
+    quoted = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"from_json('{quoted}', '{found.schema['all'].dataType.simpleString()}')"
+
+
 def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
-    """rows (doc_id and carried columns) with next_<column> of the next row in order of doc_id, then of the first carried column; `span` partitions it."""
-    ids = rows.select(F.col("doc_id").cast("double").alias("x"))
-    low, high, n = ids.agg(F.min("x"), F.max("x"), F.count(F.lit(1))).head()
-    spans = min(MAX_RANGES, max(1, -(-n // RANGE_ROWS)))
-    width = max(((high or 0) - (low or 0) + 1) / spans, 1e-9)
-    span = F.coalesce(F.floor((F.col("doc_id").cast("double") - F.lit(float(low or 0))) / F.lit(float(width))).cast("int"), F.lit(-1))
-    every = Window.orderBy("span")
-    # at most MAX_RANGES + 1 rows, one for each range
-    firsts = rows.groupBy(span.alias("span")).agg(F.min("doc_id").alias("first"))
-    firsts = firsts.withColumn("before", F.coalesce(F.lag("span").over(every), F.max("span").over(Window.partitionBy())))
-    firsts = firsts.select(F.col("span").alias("span_of"), "first", "before")
-    located = rows.withColumn("own", span).join(F.broadcast(firsts), F.col("own") == F.col("span_of"))
-    is_first = F.col("doc_id").eqNullSafe(F.col("first"))
-    dealt = located.withColumn("place", F.explode(F.when(is_first, F.array(F.struct(F.lit(False).alias("copy"), F.col("own").alias("span")), F.struct(F.lit(True).alias("copy"), F.col("before").alias("span")))).otherwise(F.array(F.struct(F.lit(False).alias("copy"), F.col("own").alias("span"))))))
-    order = Window.partitionBy("span").orderBy("copy", "doc_id", carried[0])
-    out = dealt.select("doc_id", *carried, "place.span", "place.copy")
+    """rows (doc_id, h and carried columns) with next_<column> of the next row in order of doc_id, then h, then the first carried column."""
+    bounds = _bounds(rows.select("doc_id", "h"))
+    # the range of a row is that of the last bound not above its key
+    half = "transform(array(shiftright(s.lo + s.hi, 1)), m -> if(key >= all[m], named_struct('lo', m, 'hi', s.hi), named_struct('lo', s.lo, 'hi', m)))[0]"
+    own = f"transform(array({bounds}), all -> aggregate(sequence(1, {MAX_RANGES.bit_length()}), named_struct('lo', 0, 'hi', size(all)), (s, i) -> if(s.hi - s.lo <= 1, s, {half}), s -> named_struct('range', s.lo, 'first', key = all[s.lo], 'before', if(s.lo = 0, size(all) - 1, s.lo - 1))))[0]"
+    located = rows.withColumn("key", F.struct("doc_id", "h")).withColumn("own", F.expr(own))
+    place = lambda copy, span: F.struct(F.lit(copy).alias("copy"), F.col(span).alias("span"))
+    dealt = located.withColumn("place", F.explode(F.when(F.col("own.first"), F.array(place(False, "own.range"), place(True, "own.before"))).otherwise(F.array(place(False, "own.range")))))
+    order = Window.partitionBy("span").orderBy("copy", "doc_id", "h", carried[0])
+    out = dealt.select("doc_id", "h", *carried, "place.span", "place.copy")
     return out.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in carried]).where("not copy").drop("copy")
 
 
@@ -123,17 +136,18 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
 
 def versions(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edited_lost, edited_new (digests of the edit)."""
     common.require(docs, "doc_id", "text")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     rows = with_next(rows.withColumn("keys", F.expr(digests("text"))).withColumn("cells", F.expr(sketch("keys"))), ["text", "keys", "cells"])
     n = F.length("text")
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 2) as int))"), F.expr("substring(next_text, 1, cast(floor(char_length(text) / 2) as int))"))
     out = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "keys", "cells", "next_keys", "next_cells")
     out = out.withColumn("edited_keys", F.expr(digests("edited"))).withColumn("edited_cells", F.expr(sketch("edited_keys")))
+    out = out.withColumn("change", F.expr(difference("keys", "edited_keys", "cells", "edited_cells"))).withColumn("gap", F.expr(difference("keys", "next_keys", "cells", "next_cells")))
     return out.select(
         "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
         F.expr(serialised("cells")).alias("fingerprint"), F.expr(serialised("edited_cells")).alias("edited_fingerprint"),
-        F.expr(likeness("keys", "edited_keys", "cells", "edited_cells")).alias("near_edited"),
-        F.expr(likeness("keys", "next_keys", "cells", "next_cells")).alias("near_next"),
+        F.expr(likeness("keys", "edited_keys", "change")).alias("near_edited"), F.expr(likeness("keys", "next_keys", "gap")).alias("near_next"),
+        F.expr("array_sort(transform(filter(change, x -> x.c = 1), x -> x.k))").alias("edited_lost"), F.expr("array_sort(transform(filter(change, x -> x.c = -1), x -> x.k))").alias("edited_new"),
     )

@@ -35,12 +35,25 @@ def test_fingerprints_against_sets(spark):
         x, following = x or "", texts[(i + 1) % len(texts)] or ""
         edited = x[: len(x) - len(x) // 2] + following[: len(x) // 2]
         assert out[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and out[i]["n_chars"] == len(x)
+        assert (len(out[i]["edited_lost"]), len(out[i]["edited_new"])) == (len(cut(x) - cut(edited)), len(cut(edited) - cut(x)))
         assert out[i]["near_edited"] == pytest.approx(near(cut(x), cut(edited))) and out[i]["near_next"] == pytest.approx(near(cut(x), cut(following)))
     assert out[22]["fingerprint"] == out[23]["fingerprint"] != out[24]["fingerprint"]
     assert fingerprint_iblt.versions(docs(spark, [])).count() == 0
     assert fingerprint_iblt.versions(docs(spark, ["a", "b"], ids=[None, None])).count() == 2
 
 
+def test_next_rows_with_any_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint_iblt, "RANGE_ROWS", 8)
+    rng = random.Random(2)
+    for kind, ids in (("string", [f"id'{rng.random()}\\" for _ in range(100)]), ("double", [1e300, -5.0, *(rng.random() for _ in range(98))]), ("long", [None] * 60 + [3] * 40)):
+        d = spark.createDataFrame([(x, f"text {i}.\n{prose(rng, 3)}") for i, x in enumerate(ids)], f"doc_id {kind}, text string").repartition(5)
+        rows = d.select("doc_id", F.xxhash64("text").alias("h"), "text")
+        got = {r["text"]: r["next_text"] for r in fingerprint_iblt.with_next(rows, ["text"]).collect()}
+        order = [r["text"] for r in rows.orderBy("doc_id", "h").collect()]
+        assert got == dict(zip(order, [*order[1:], order[0]], strict=True))
+        assert fingerprint_iblt.with_next(rows, ["text"]).select("span").distinct().count() > 4
+
+
 def test_mixture_counts_follow_rates(spark):
     d = docs(spark, ["x" * 10] * 3000, "big").union(docs(spark, ["y" * 10] * 200, "small", ids=range(5000, 5200))).union(docs(spark, ["z", None], None, ids=[9000, None]))
     d = d.withColumn("copies", F.lit("taken"))
