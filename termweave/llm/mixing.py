@@ -38,6 +38,7 @@ def rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None, ra
     """source, rate (mean copies of each of its documents), parts, cdf (of one part's distribution)."""
     common.require(docs, "source", "text")
     sizes = docs.groupBy("source").agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("double").alias("chars")).where("chars > 0")
+    sizes = common.stored(docs.sparkSession, sizes, "mixing-sizes")
     if weights is None:
         weight = F.pow(F.col("chars"), F.lit(temperature))
     else:
@@ -66,16 +67,17 @@ def replicate(docs: DataFrame, weights: Mapping[str | None, float] | None = None
     table = common.stored(docs.sparkSession, rates(docs, weights, ratio, temperature), "mixing-rates")
     if table.count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    table = table.select(F.struct("source").alias("_source"), F.col("parts").alias("_parts"), F.col("cdf").alias("_cdf"))
     own = [c for c in docs.columns if c.lower() not in ("copy", "copies", "shuffle_key")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in own]).withColumn("_source_of", F.struct("source")).join(table, F.col("_source_of").eqNullSafe(F.col("_source")))
+    of, own_of, parts, cdf = common.fresh(docs, "of", "own_of", "parts", "cdf")
+    table = table.select(F.struct("source").alias(of), F.col("parts").alias(parts), F.col("cdf").alias(cdf))
+    rows = docs.select(*[F.col(f"`{c}`") for c in own]).withColumn(own_of, F.struct("source")).join(table, F.col(own_of).eqNullSafe(F.col(of)))
     name, start = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(str(seed))
 
     def drawn(j: Column) -> Column:
         u = _uniform(start, name, j.cast("string"))
-        return F.size(F.filter(F.col("_cdf"), lambda c: c < u))
+        return F.size(F.filter(F.col(cdf), lambda c: c < u))
 
-    counted = rows.withColumn("copies", F.aggregate(F.sequence(F.lit(0), F.col("_parts") - 1), F.lit(0), lambda n, j: n + drawn(j)))
+    counted = rows.withColumn("copies", F.aggregate(F.sequence(F.lit(0), F.col(parts) - 1), F.lit(0), lambda n, j: n + drawn(j)))
     key = F.md5(F.concat_ws("/", F.lit("order"), start, name, F.col("copy").cast("string")).cast("binary"))
     out = counted.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).withColumn("shuffle_key", key)
     return out.select(*[F.col(f"`{c}`") for c in own], "copies", "copy", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
