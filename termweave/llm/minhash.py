@@ -184,12 +184,13 @@ def _leftover(shared: DataFrame, labels: DataFrame, docs: DataFrame, firsts: Dat
     mixed = classed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
     inside = common.stored(spark, classed.join(mixed, "band").select("text_id", "label").distinct(), "minhash-mixed")
     each = common.stored(spark, _each_shingle(_texts(inside, docs, firsts)), "minhash-shingles")
-    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
+    # stored, so that the joins by shingle are of two plain tables and a frequent one is dealt over many tasks
+    often = common.stored(spark, each.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")), "minhash-often")
     rarest = Window.partitionBy("text_id").orderBy("often", "shingle")
     prefix = each.join(often, "shingle").withColumn("place", F.row_number().over(rarest)).where(F.col("place") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-6) + 1)
     dealt = common.stored(spark, prefix.where("often > 1").select("shingle", "text_id", "n", "place").join(inside, "text_id"), "minhash-dealt")
     top = dealt.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(F.max_by("label", F.struct("c", "label")).alias("largest"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("shingle", "largest")
-    live = dealt.join(top, "shingle")
+    live = common.stored(spark, dealt.join(common.stored(spark, top, "minhash-top"), "shingle"), "minhash-live")
     minor = live.where(F.col("label") != F.col("largest")).select("shingle", F.col("text_id").alias("m"), F.col("label").alias("of_m"), F.col("n").alias("n_m"), F.col("place").alias("place_m"))
     shared_least = F.ceil(threshold / (1 + threshold) * (F.col("n") + F.col("n_m")) - 1e-6)
     fits = (1 + F.least(F.col("n") - F.col("place"), F.col("n_m") - F.col("place_m")) >= shared_least) & (F.col("label") != F.col("of_m")) & ((F.col("label") == F.col("largest")) | (F.col("text_id") < F.col("m")))
@@ -210,7 +211,7 @@ def _each_shingle(texts: DataFrame) -> DataFrame:
 
 
 def _classed(docs: DataFrame, threshold: float) -> DataFrame:
-    """doc_id, h, text_id (null without words), class_id, kept (doc_id and h of the class's first row), copies of every row."""
+    """doc_id, h, text_id (null without words), class_id, kept (doc_id and h of the class's first row), copies, links and likeness of every row."""
     spark = docs.sparkSession
     rows = common.stored(spark, sketches(docs), "minhash-sketches")
     # one text for all rows with the same words; its id is its own 128-bit hash
@@ -225,16 +226,21 @@ def _classed(docs: DataFrame, threshold: float) -> DataFrame:
     labels = components(links)
     more = _verified(_leftover(shared, labels, docs, firsts, threshold), docs, firsts, threshold)
     if not more.isEmpty():
-        labels = components(links.union(more))
+        links = links.union(more)
+        labels = components(links)
+    ends = links.select(F.col("a").alias("text_id"), F.col("b").alias("other"), "jaccard").union(links.select("b", "a", "jaccard"))
+    ends = ends.groupBy("text_id", "other").agg(F.max("jaccard").alias("jaccard")).groupBy("text_id").agg(F.count(F.lit(1)).alias("links"), F.max("jaccard").alias("likeness"))
     named = texts.select("text_id", "first", "copies").join(labels.withColumnRenamed("node", "text_id"), "text_id", "left").withColumn("label", F.coalesce("label", "text_id"))
     ids = named.groupBy("label").agg(F.min("first").alias("kept"))
-    named = named.join(ids, "label").select("text_id", "kept", "copies")
+    named = named.join(ids, "label").join(ends, "text_id", "left").select("text_id", "kept", "copies", "links", "likeness")
     return rows.select("doc_id", "h", "text_id").join(named, "text_id", "left").withColumn("class_id", F.when(F.col("text_id").isNull(), F.col("doc_id")).otherwise(F.col("kept.doc_id")))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (the least doc_id in the class), copies (rows with the same words) of every row."""
-    return _classed(docs, threshold).select("doc_id", "class_id", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+    """doc_id, class_id (the least doc_id in the class), copies (rows with the same words), links (different texts that verification found alike), likeness
+    (the highest verified similarity to another row: 1 for copies; null for a class of one row) of every row."""
+    copies = F.coalesce("copies", F.lit(1)).cast("long")
+    return _classed(docs, threshold).select("doc_id", "class_id", copies.alias("copies"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.when(copies > 1, F.lit(1.0)).otherwise(F.col("likeness")).alias("likeness"))
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -242,14 +248,15 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = docs.sparkSession
     found = common.stored(spark, _classed(docs, threshold).where("text_id is not null").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n"), F.min("kept").alias("kept")), "minhash-rows")
     kept = F.struct("doc_id", "h") == F.col("kept")
-    marks = found.where(~kept | (F.col("n") > 1)).select(F.struct("doc_id").alias("_of"), F.col("h").alias("_h"), kept.alias("_twice"))
+    own_id, own_h, of, of_h, twice = common.fresh(docs, "own_id", "own_h", "of", "of_h", "twice")
+    marks = found.where(~kept | (F.col("n") > 1)).select(F.struct("doc_id").alias(of), F.col("h").alias(of_h), kept.alias(twice))
     marks = common.stored(spark, marks, "minhash-marks")
-    twice = not marks.where("_twice").isEmpty()
+    repeated = not marks.where(F.col(twice)).isEmpty()
     if marks.count() <= BROADCAST_ROWS:
         marks = F.broadcast(marks)
-    rows = docs.withColumns({"_id": F.struct("doc_id"), "_own": F.xxhash64("text")})
-    rows = rows.join(marks, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_own") == F.col("_h")), "left")
-    out = rows.where("_twice is null")
-    if twice:
-        out = out.unionByName(rows.where("_twice").dropDuplicates(["_id", "_own"]))
+    rows = docs.withColumns({own_id: F.struct("doc_id"), own_h: F.xxhash64("text")})
+    rows = rows.join(marks, F.col(own_id).eqNullSafe(F.col(of)) & (F.col(own_h) == F.col(of_h)), "left")
+    out = rows.where(F.col(twice).isNull())
+    if repeated:
+        out = out.unionByName(rows.where(F.col(twice)).dropDuplicates([own_id, own_h]))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -56,7 +56,7 @@ def test_next_rows_with_any_ids(spark, monkeypatch):
 
 def test_mixture_counts_follow_rates(spark):
     d = docs(spark, ["x" * 10] * 3000, "big").union(docs(spark, ["y" * 10] * 200, "small", ids=range(5000, 5200))).union(docs(spark, ["z", None], None, ids=[9000, None]))
-    d = d.withColumn("copies", F.lit("taken"))
+    d = d.withColumns({c: F.lit("taken") for c in ("copies", "_parts", "cdf", "_source", "of", "own_of")})
     out = mixing.replicate(d, {"big": 0.5, "small": 0.5})
     n = {r["source"]: r["count"] for r in out.groupBy("source").count().collect()}
     total = 3200 * 10 + 1
@@ -84,7 +84,8 @@ def test_minhash_classes_against_all_pairs(spark, seed):
                 w[rng.randrange(len(w))] = prose(rng, 1)
             texts.append(" ".join(w))
     texts += ["", None, "a b", "A  b", "a b c", texts[0]]
-    got = {r["doc_id"]: r["class_id"] for r in minhash.classes(docs(spark, texts)).collect()}
+    found = minhash.classes(docs(spark, texts)).collect()
+    got = {r["doc_id"]: r["class_id"] for r in found}
     sets = []
     for x in texts:
         w = (x or "").lower().split()
@@ -99,6 +100,10 @@ def test_minhash_classes_against_all_pairs(spark, seed):
         if label == before:
             break
     assert [got[i] for i in range(len(texts))] == label
+    rows = {r["doc_id"]: r for r in found}
+    for i, a in enumerate(sets):
+        best = max((len(a & b) / len(a | b) for j, b in enumerate(sets) if j != i and a and b), default=0)
+        assert (rows[i]["likeness"] or 0) <= best + 1e-9 and (best < 0.8 or (rows[i]["likeness"] or 0) >= 0.8) and (rows[i]["links"] > 0) == any(a != b and a and b and len(a & b) >= 0.8 * len(a | b) for b in sets)
 
 
 def test_minhash_finds_likeness_of_sets_where_lines_repeat(spark):
@@ -116,7 +121,7 @@ def test_minhash_finds_likeness_of_sets_where_lines_repeat(spark):
 
 
 def test_deduplicate_keeps_one_and_all_columns(spark):
-    d = docs(spark, ["a b c d e f", "a b c d e f", "a b c d e f", "other words", "", ""], ids=[5, 3, 3, 1, 7, None]).withColumn("n", F.lit(1))
+    d = docs(spark, ["a b c d e f", "a b c d e f", "a b c d e f", "other words", "", ""], ids=[5, 3, 3, 1, 7, None]).withColumns({c: F.lit(1) for c in ("n", "_id", "own_h", "twice", "_Twice", "of")})
     kept = minhash.deduplicate(d)
     assert kept.columns == d.columns
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 1), (False, 3), (False, 7), (True, 0)]
