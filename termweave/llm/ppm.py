@@ -11,7 +11,7 @@ all other runs, each once, are joined with the stored trie at each order.
 
 The base score is a smoothed unigram model of words. Counts of the TOP_TOKENS most frequent words are looked up from a broadcast, all
 others by a join, so the vocabulary may grow without bound. The trie keeps all runs; the most frequent ones, MAX_NODES at most, are looked up
-from a broadcast.
+from a broadcast. Both bounds hold at any size of the input: equal counts go in or stay out together. Memory is in proportion to the longest text.
 
 Edge cases: null texts are empty, with the end as their only token; null ids are scored but never learned from; rows that repeat are scored each;
 with no training rows all bytes are equally likely and every word is unknown; an empty table gives an empty result.
@@ -204,17 +204,17 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, sorted_keys[at] == keys
 
 
-def _fit_count(counts: DataFrame, kind: int, most: int) -> int:
-    """The least count of which at most `most` keys have as much."""
-    top = 1 << 12
-    have = {r["c"]: r["k"] for r in counts.where(F.col("kind") == kind).groupBy(F.least("n", F.lit(top)).alias("c")).agg(F.count(F.lit(1)).alias("k")).collect()}
-    total, least = 0, top
+def _frequent(counts: DataFrame, kind: int, most: int) -> DataFrame:
+    """Rows of a kind with the largest counts, `most` at most: those from a bin of counts on, bins being sixteenths of a doubling."""
+    own, step = counts.where(F.col("kind") == kind), F.floor(F.log2("n") * 16)
+    have = {r["bin"]: r["k"] for r in own.groupBy(step.alias("bin")).agg(F.count(F.lit(1)).alias("k")).collect()}  # 16 * 63 rows at most
+    total, least = 0, 16 * 64
     for c in sorted(have, reverse=True):
         total += have[c]
         if total > most:
-            return max(least, c + 1)
+            break
         least = c
-    return 1
+    return own.where(step >= least)
 
 
 def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -230,11 +230,10 @@ def score(docs: DataFrame, max_nodes: int = MAX_NODES, top_tokens: int = TOP_TOK
     total = counts.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).head()
     train_tokens, distinct = int(total[0]), int(total[1])
     grams, contexts = trie(spark, counts)
-    often = counts.where(f"kind = 1 and n >= {_fit_count(counts, 1, max_nodes)}").select("key", F.col("n").alias("c"))
+    often = _frequent(counts, 1, max_nodes).select("key", F.col("n").alias("c"))
     best = often.join(contexts[ORDER].select("ctx", "total"), F.shiftright("key", 8) == F.col("ctx")).select("key", F.log10((F.col("c") - 0.5) / F.col("total")).alias("n"))
     model = _hashed(*_arrays(best))
-    least = _fit_count(counts, 0, top_tokens)
-    top, often = _arrays(counts.where(f"kind = 0 and n >= {least}"))
+    top, often = _arrays(_frequent(counts, 0, top_tokens))
     order = np.argsort(top)
     held = spark.sparkContext.broadcast((model, top[order], often[order]))
     below = train_tokens + 0.1 * (distinct + 1)
