@@ -9,7 +9,8 @@ the largest gain of any run of words, skip the search.
 
 Edge cases: null texts and texts without a letter are `und` with score 0 and no span, so are all texts where nothing could be learned;
 null lang and null doc_id are never learned from; ties go to the language first in alphabetical order; repeated rows return as often;
-an empty table gives an empty result; only the MAX_LANGUAGES most frequent lang values are learned (a size of the model).
+an empty table gives an empty result. All lang values are learned: the model, which is broadcast, has 400 kB for each. A text is worked on
+whole, so a task's memory is in proportion to its longest text (words times languages, 8 bytes each).
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ ORDERS = (2, 3, 4)
 BUCKETS = 1 << 15
 SCRIPTS = 16
 PENALTY = 7.0
-MAX_LANGUAGES = 500
+#: Languages that a task counts at once, and numbers (places times languages) that it scores at once.
+HELD_LANGUAGES, SCORED_AT_ONCE = 32, 1 << 23
 #: What a word costs a language that isn't among its script's candidates, and the share of letters that makes it one.
 OUTSIDE, LEAST_SHARE = 30.0, 0.02
 
@@ -65,8 +67,16 @@ class Model:
 def count(rows: DataFrame) -> DataFrame:
     """lang, slot, c: n-grams by order and bucket, then letters by script."""
 
+    size = len(ORDERS) * BUCKETS
+
+    def drained(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, total in sums.items():
+            slot = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slot), pa.string()), pa.array(slot.astype(np.int32)), pa.array(total[slot])], names=["lang", "slot", "c"])
+        sums.clear()
+
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(ORDERS) * BUCKETS + SCRIPTS, np.int64))
+        sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(size + SCRIPTS, np.int64))
         for b in batches:
             for t in textbytes.chunks(b.column("text")):
                 langs = b.column("lang").slice(t.first, len(t)).dictionary_encode()
@@ -79,17 +89,22 @@ def count(rows: DataFrame) -> DataFrame:
                 word_of = np.repeat(np.arange(len(w)), np.diff(np.append(starts, len(body) - 1)))
                 word_of = np.concatenate([word_of[:1], word_of])  # a space ends the word before it
                 by_place = by_word[word_of]
-                n = len(langs.dictionary)
-                size = len(ORDERS) * BUCKETS
-                total = np.zeros((n, size + SCRIPTS), np.int64)
-                for k, at, bucket in _grams(body, starts):
-                    total[:, k * BUCKETS : (k + 1) * BUCKETS] += np.bincount(by_place[at] * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS)
-                total[:, size:] += np.bincount(by_place * SCRIPTS + _SCRIPT[body], minlength=n * SCRIPTS).reshape(n, SCRIPTS)
-                for k, lang in enumerate(langs.dictionary.to_pylist()):
-                    sums[lang] += total[k]
-        for lang, total in sums.items():
-            slot = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slot), pa.string()), pa.array(slot.astype(np.int32)), pa.array(total[slot])], names=["lang", "slot", "c"])
+                names = langs.dictionary.to_pylist()
+                grams, kind = list(_grams(body, starts)), _SCRIPT[body]
+                # a few languages at a time, so memory doesn't grow with how many a chunk or a task has
+                for low in range(0, len(names), HELD_LANGUAGES):
+                    n = min(HELD_LANGUAGES, len(names) - low)
+                    total = np.zeros((n, size + SCRIPTS), np.int64)
+                    inside = (by_place >= low) & (by_place < low + n)
+                    for k, at, bucket in grams:
+                        own = inside[at]
+                        total[:, k * BUCKETS : (k + 1) * BUCKETS] += np.bincount((by_place[at[own]] - low) * BUCKETS + bucket[own], minlength=n * BUCKETS).reshape(n, BUCKETS)
+                    total[:, size:] += np.bincount((by_place[inside] - low) * SCRIPTS + kind[inside], minlength=n * SCRIPTS).reshape(n, SCRIPTS)
+                    for k in range(n):
+                        sums[names[low + k]] += total[k]
+                    if len(sums) > HELD_LANGUAGES:
+                        yield from drained(sums)
+        yield from drained(sums)
 
     return rows.select("text", "lang").mapInArrow(lambda b: textbytes.released(counts(b)), "lang string, slot int, c long").groupBy("lang", "slot").agg(F.sum("c").alias("c"))
 
@@ -97,12 +112,14 @@ def count(rows: DataFrame) -> DataFrame:
 def train(docs: DataFrame) -> Model:
     common.require(docs, "doc_id", "text", "lang")
     rows = docs.where(common.trainable(F.col("doc_id"), 4, 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    names = sorted(r["lang"] for r in langs.collect())
-    found = count(rows.where(F.col("lang").isin(names))).toArrow().to_pandas()
-    total = np.zeros((len(names), len(ORDERS) * BUCKETS + SCRIPTS))
+    # languages x buckets, whatever the number of rows
+    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    found = count(rows).toArrow()
+    names, total = langs, np.zeros((len(langs), len(ORDERS) * BUCKETS + SCRIPTS))
+    code = found.column("lang").combine_chunks().dictionary_encode()
     where = {lang: k for k, lang in enumerate(names)}
-    total[[where[x] for x in found["lang"]], found["slot"].to_numpy()] = found["c"].to_numpy()
+    place = np.array([where[x] for x in code.dictionary.to_pylist()], np.int64)
+    total[place[np.asarray(code.indices)] if len(place) else np.zeros(0, np.int64), found.column("slot").to_numpy()] = found.column("c").to_numpy()
     grams = total[:, : len(ORDERS) * BUCKETS].reshape(len(names), len(ORDERS), BUCKETS) + 0.5
     scripts = total[:, len(ORDERS) * BUCKETS :]
     scripts[:, 0] = 0
@@ -111,12 +128,18 @@ def train(docs: DataFrame) -> Model:
 
 
 def word_scores(m: Model, t: textbytes.Texts, w: textbytes.Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """Scores by word and language, and the words' scripts. A word without a letter says nothing: zeros."""
+    """Scores by word and language, and the words' scripts. A word without a letter of a known script says nothing (zeros), unless its whole text has none."""
     body, starts = textbytes.packed(t, w)
-    by_place = np.zeros((len(body), len(m.langs)), np.float32)
+    scores = np.zeros((len(w), len(m.langs)))
+    word_of = np.repeat(np.arange(len(w)), np.diff(np.append(starts, len(body) - 1)))
+    word_of = np.concatenate([word_of[:1], word_of])  # a space ends the word before it
+    step = max(1, SCORED_AT_ONCE // max(len(m.langs), 1))
     for k, at, bucket in _grams(body, starts):
-        by_place[at] += m.tables[k][bucket]
-    scores = np.add.reduceat(by_place, starts + 1).astype(np.float64)
+        # places in runs, so memory doesn't grow with bytes times languages
+        for low in range(0, len(at), step):
+            word = word_of[at[low : low + step]]
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            scores[word[first]] += np.add.reduceat(m.tables[k][bucket[low : low + step]], first, axis=0)
     kind = _SCRIPT[body]
     letter = np.flatnonzero(kind)
     first = np.searchsorted(letter, starts)
@@ -128,7 +151,8 @@ def word_scores(m: Model, t: textbytes.Texts, w: textbytes.Pieces) -> tuple[np.n
     allowed = m.allowed[script]
     narrowed = allowed.any(1, keepdims=True)
     scores -= np.where(narrowed & ~allowed, OUTSIDE, 0.0)
-    scores[script == 0] = 0
+    known = np.bincount(w.doc, weights=script > 0, minlength=len(t)) > 0
+    scores[(script == 0) & known[w.doc]] = 0
     return scores, script
 
 
@@ -191,7 +215,9 @@ def _label(m: Model, t: textbytes.Texts, penalty: float) -> tuple[list[str], lis
     scores, script = word_scores(m, t, w)
     sizes = np.bincount(w.doc, minlength=n)
     path = viterbi(scores, sizes, penalty)
-    weight = np.where(script > 0, w.end - w.begin, 0)
+    # texts whose letters are all of scripts without a range of their own are weighed by all their bytes
+    known = np.bincount(w.doc, weights=script > 0, minlength=n) > 0
+    weight = np.where((script > 0) | ~known[w.doc], w.end - w.begin, 0)
     by_lang = np.bincount(w.doc * len(m.langs) + path, weights=weight, minlength=n * len(m.langs)).reshape(n, -1)
     best, whole = by_lang.argmax(1), by_lang.sum(1)
     ascii_letter = np.concatenate([[0], np.cumsum((t.data < 128) & (_SCRIPT[t.data] > 0))])

@@ -95,14 +95,41 @@ def test_languages_and_spans(spark):
     make = lambda parts: " ".join("".join(rng.choice(parts) for _ in range(3)) for _ in range(30))
     latin, other, cyrillic = ["tha", "ing", "er"], ["ung", "sch", "ße"], ["при", "вет", "мир"]
     d = docs(spark, [make(latin) for _ in range(60)], "aa").union(docs(spark, [make(other) for _ in range(60)], "bb", start=100)).union(docs(spark, [make(cyrillic) for _ in range(60)], "cc", start=200))
-    mixed = docs(spark, [make(latin) + " " + make(cyrillic), None, "12 -- !", "", "Ω"], None, start=900)
+    mixed = docs(spark, [make(latin) + " " + make(cyrillic), None, "12 -- !", "", "Ω", "ⴰⵣⵓⵍ"], None, start=900)
     out = {r["doc_id"]: r for r in langid.identify(d.union(mixed)).collect()}
     assert all(out[i]["lang_pred"] == {0: "aa", 1: "bb", 2: "cc"}[i // 100] for i in out if i < 900)
     assert out[900]["spans"] in ("aa:0:30,cc:30:60",)
-    assert [out[i]["lang_pred"] for i in (901, 902, 903)] == ["und"] * 3 and out[904]["lang_pred"] != "und"
+    assert [out[i]["lang_pred"] for i in (901, 902, 903)] == ["und"] * 3 and out[904]["lang_pred"] != "und" != out[905]["lang_pred"]
     assert langid.identify(d.limit(0)).count() == 0
 
 
+def test_many_languages_are_all_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "HELD_LANGUAGES", 4)
+    monkeypatch.setattr(langid, "SCORED_AT_ONCE", 1000)
+    rng = random.Random(8)
+    parts = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(3)] for _ in range(40)]
+    make = lambda k: " ".join(rng.choice(parts[k]) + rng.choice(parts[k]) for _ in range(25))
+    d = spark.createDataFrame([(i, make(i % 40), f"l{i % 40}", None) for i in range(400)], "doc_id long, text string, lang string, source string")
+    model = langid.train(d)
+    assert len(model.langs) == 40
+    (t,) = textbytes.chunks(pa.array(["Tha ing", "", "é 12"]))
+    w = textbytes.words(t, hashed=False)
+    scores, _ = langid.word_scores(model, t, w)
+    for j, word in enumerate((b" tha ", b" ing ", " é ".encode(), b" 12 ")):
+        want = np.zeros(40)
+        for k, n in enumerate(langid.ORDERS):
+            for i in range(len(word) - n + 1):
+                value = int.from_bytes(word[i : i + n], "big")
+                want += model.tables[k][(value * 0x9E3779B97F4A7C15 % 2**64) >> (64 - 15)]
+        script = {0: 1, 1: 1, 2: 1}.get(j)
+        if script is None:
+            want[:] = 0
+        elif model.allowed[script].any():
+            want -= np.where(model.allowed[script], 0, langid.OUTSIDE)
+        assert scores[j] == pytest.approx(want, rel=1e-4)
+    assert np.mean([r["lang_pred"] == f"l{r['doc_id'] % 40}" for r in langid.identify(d).collect()]) > 0.97
+
+
 def test_ppm_is_the_same_whatever_is_broadcast(spark):
     rng = random.Random(9)
     d = docs(spark, [" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 12))) for _ in range(40)] + ["", None, "Zz é"])
