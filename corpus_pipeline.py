@@ -2,7 +2,7 @@
 
 Each stage works on all rows that the one before kept. All but the last return the columns of `documents`; copies made by the mixture are
 rows with equal ids. The last returns a row for each piece of each document: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
-SQL can't express the first stage, so ORACLE_SQL is None and the stages are tested against brute force.
+SQL can't express the first stage, so ORACLE_SQL is None and tests/llm/test_pipeline.py holds each stage against brute force.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ from termweave.llm.registry import tokenizer_path
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     return quality_gam.keep_good(docs, common.table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     return minhash.deduplicate(docs)
 
 
@@ -32,6 +34,7 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     return packing.pack(docs, tokenizer_path())
 
 
