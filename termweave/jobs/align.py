@@ -16,15 +16,23 @@ VERSION = "0.1.0"
 Store = Callable[[DataFrame, str], DataFrame]
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; one of our own only where it names none and runs on this machine (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
 def store(spark: SparkSession) -> Store:
-    """Tables in the cluster's checkpoint folder: lineage is cut and lost executors cost a re-read. A local folder only where none is named (tests)."""
+    """Tables in the shared folder: lineage is cut and lost executors cost a re-read."""
 
     def put(df: DataFrame, name: str) -> DataFrame:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-            spark.conf.set("spark.checkpoint.dir", base)
-        path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
@@ -59,32 +67,44 @@ def align_keys(keys: DataFrame, hits: DataFrame, t: retrieve.Terminology, p: Pro
     return adjudicate.top_similarity(rows).drop("raw_value", "policies")
 
 
+#: What a decision depends on besides its package.
+_CASE = ("unit_key", "raw_value", "normalized", "route", "readiness", "has_attributes")
+
+
+def decide_cases(cases: DataFrame, known: DataFrame, p: Profile) -> DataFrame:
+    """Proposals, findings, verdict, route and canonical concepts of distinct cases (case_key and _CASE), with their packages."""
+    rows = cases.join(known, "unit_key").withColumn("sau_id", F.col("case_key")).withColumn("package_sau_id", F.col("case_key"))
+    out = adjudicate.adjudicate(rows, p)
+    # attributes are kept whole or not at all, so whether a unit has any is all that the rules ask
+    flag = F.when(F.col("has_attributes"), F.lit(True))
+    out = out.withColumn("attributes", F.struct(flag.alias("any"))).withColumn("kept_attributes", F.struct(F.when(F.col("attributes_kept"), flag).alias("any")))
+    out = out.withColumn("expected_losses", validate.expected_losses())
+    decided = route.decide(route.route(route.routing_features(validate.validate(out, p)), p))
+    return decided.drop("sau_id", "package_sau_id", "attributes", "attributes_kept", "kept_attributes", "expected_losses", "verified", *_CASE)
+
+
 def align(units: DataFrame, t: retrieve.Terminology, p: Profile, hits: Callable[[DataFrame], DataFrame] | None = None, release: str | None = None, run_id: str | None = None) -> DataFrame:
     """Decisions for units (operators.units.build_units): every unit stays; rows that aren't successes have no decision.
 
-    Equal mapping keys are retrieved once, with the first row's text. hits: another way to find candidates, from (unit_key, value).
+    Equal normal forms are retrieved once, whatever their mapping keys, with the first row's text. Rows of one form with the same text, route and readiness
+    are one case: adjudicated, validated and routed once, and joined back to their rows. hits: another way to find candidates, from (unit_key, value).
     """
     spark = units.sparkSession
     put = store(spark)
-    units = put(units, "units")
-    good = units.where("status = 'success'")
-    order = F.struct("source_row_number", "record_id", "raw_value")
-    keys = put(good.groupBy(F.col("mapping_key").alias("unit_key")).agg(F.min_by("raw_value", order).alias("raw_value")), "keys")
+    kinds = units.schema["attributes"].dataType.fields
+    some = F.coalesce(*[F.when(F.col("attributes")[f.name].isNotNull(), F.lit(True)) for f in kinds], F.lit(False))
+    rows = units.withColumns({"unit_key": F.col("normalized"), "route": F.coalesce("envelope.route", "attributes.route"), "has_attributes": some})
+    rows = put(rows.withColumn("case_key", F.when(F.col("status") == "success", F.sha2(F.to_json(F.struct(*_CASE)), 256))), "units")
+    cases = put(rows.where("status = 'success'").groupBy("case_key").agg(F.min("source_row_number").alias("row"), F.min("record_id").alias("record"), *[F.any_value(c).alias(c) for c in _CASE]), "cases")
+    keys = put(cases.groupBy("unit_key").agg(F.min_by("raw_value", F.struct("row", "record", "raw_value")).alias("raw_value")), "keys")
     asked = keys.select("unit_key", F.col("raw_value").alias("value"))
     found = put(hits(asked) if hits else retrieve.retrieve(asked, t, p, put), "hits")
     known = put(align_keys(keys, found, t, p, put), "packages")
-    route_of = F.coalesce("envelope.route", "attributes.route")
-    rows = good.withColumn("unit_key", F.col("mapping_key")).join(known, "unit_key").withColumn("route", route_of)
-    out = adjudicate.adjudicate(rows, p).withColumn("package_sau_id", F.col("sau_id"))
-    nothing = F.lit(None).cast(units.schema["attributes"].dataType)
-    out = out.withColumn("kept_attributes", F.when(F.col("attributes_kept"), F.col("attributes")).otherwise(F.struct(*[nothing[f.name].alias(f.name) for f in units.schema["attributes"].dataType.fields])))
-    out = out.withColumn("expected_losses", validate.expected_losses())
-    decided = route.decide(route.route(route.routing_features(validate.validate(out, p)), p))
-    decided = decided.withColumns({"release": F.lit(release).cast("string"), "profile_version": F.lit(p.version), "package_version": F.lit(VERSION), "run_id": F.lit(run_id).cast("string")})
-    rest = units.where("status <> 'success'")
-    decided = decided.drop("unit_key", "package_sau_id", "attributes_kept", "kept_attributes", "expected_losses", "verified")
-    # written once: what reads the decisions (crosswalk, audits, summaries) neither repeats the work nor plans through its expressions
-    return put(decided, "decisions").unionByName(rest, allowMissingColumns=True)
+    # written once: what reads the decisions (crosswalk, audits, summaries) takes the columns that it needs
+    decided = put(decide_cases(cases.select("case_key", *_CASE), known, p), "decisions")
+    out = rows.join(decided, "case_key", "left").drop("case_key", "unit_key", "has_attributes")
+    stamp = lambda value: F.when(F.col("status") == "success", F.lit(value)).cast("string")
+    return out.withColumns({"release": stamp(release), "profile_version": stamp(p.version), "package_version": stamp(VERSION), "run_id": stamp(run_id)})
 
 
 def attach_crosswalk(source: DataFrame, crosswalk: DataFrame, key: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import audit, enrich, evaluate, route, validate
 from ..operators.adjudicate import concept
 from ..profile import Profile
+from . import align
 from .fixtures import sql, view
 
 P = Profile()
@@ -271,8 +271,7 @@ def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """What a stream's summary holds when its input is used up, by way of the shared folder."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = f"{align.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/rows")
@@ -300,8 +299,7 @@ def stream_align(spark: SparkSession, d: str) -> DataFrame:
     from ..streaming import align as streaming
     from .queries_align import terminology
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    root = f"{base.rstrip('/')}/align-{uuid.uuid4().hex}"
+    root = f"{align.shared_dir(spark)}/align-{uuid.uuid4().hex}"
     rows = view(spark, d, "v_mentions").select("l_orderkey", "l_linenumber", "reported", "route", "role_cod", "dose_amt")
     rows.write.parquet(f"{root}/input")
     stream = spark.readStream.schema(rows.schema).parquet(f"{root}/input")

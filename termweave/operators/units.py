@@ -103,17 +103,36 @@ def check_requests(df: DataFrame, p: Profile) -> DataFrame:
     return df.withColumn("mismatched", F.array_compact(F.array(*tests)))
 
 
+#: Rows that are numbered in one task, or so.
+RANGE_ROWS = 100_000
+
+
 def number_rows(df: DataFrame, order: Sequence[str], name: str = "row_number") -> DataFrame:
-    """Contiguous numbers from 1 in order of `order`, without bringing all rows to one task: ranges of the first order column
-    (numbers, ids) are counted, and each row is numbered within its range."""
-    low, high, n = df.agg(F.min(order[0]).cast("double"), F.max(order[0]).cast("double"), F.count(F.lit(1))).head()
-    spans = max(1, min(1 << 16, n // 100_000))
-    width = max(((high or 0) - (low or 0) + 1) / spans, 1e-9)
-    df = df.withColumn("_span", F.coalesce(F.floor((F.col(order[0]).cast("double") - F.lit(float(low or 0))) / F.lit(float(width))).cast("int"), F.lit(-1)))
-    before = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = df.groupBy("_span").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = F.row_number().over(Window.partitionBy("_span").orderBy(*order))
-    return df.withColumn(name, inside).join(F.broadcast(offsets), "_span").withColumn(name, F.col(name) + F.col("_before")).drop("_span", "_before")
+    """Contiguous numbers from 1 in order of `order` (any types that order), without bringing all rows to one task: Spark's range partitioning
+    samples the order columns, each range is counted, and each row is numbered within its range. Rows equal in `order` share a range.
+
+    The ranges' first keys are taken once, so counting and numbering cut alike.
+    """
+    n = df.count()
+    if not n:
+        return df.withColumn(name, F.lit(1))
+    ranges = max(1, min(1 << 14, -(-n // RANGE_ROWS)))
+    span = "_span"
+    while span in df.columns:
+        span = f"_{span}"
+    # the least key of each range, ranges in order; as literals, so that both uses cut alike
+    keys = df.select(F.struct(*order).alias("key"))
+    firsts = keys.repartitionByRange(ranges, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("first")).agg(F.sort_array(F.collect_set("first")).alias("all"))
+    kind = firsts.schema["all"].dataType.simpleString()
+    text_of = (firsts.select(F.to_json("all")).head()[0] or "[]").replace("\\", "\\\\").replace("'", "\\'")
+    half = "transform(array(shiftright(s.lo + s.hi, 1)), m -> if(key >= all[m], named_struct('lo', m, 'hi', s.hi), named_struct('lo', s.lo, 'hi', m)))[0]"
+    key = f"struct({', '.join(f'`{c}`' for c in order)})"
+    own = f"transform(array(from_json('{text_of}', '{kind}')), all -> transform(array({key}), key -> aggregate(sequence(1, 15), named_struct('lo', 0, 'hi', size(all)), (s, i) -> if(s.hi - s.lo <= 1, s, {half}), s -> s.lo))[0])[0]"
+    df = df.withColumn(span, F.expr(own))
+    before = Window.orderBy(span).rowsBetween(Window.unboundedPreceding, -1)  # at most 16,384 rows, one for each range
+    offsets = df.groupBy(span).agg(F.count(F.lit(1)).alias("n_")).withColumn("before_", F.coalesce(F.sum("n_").over(before), F.lit(0))).select(F.col(span).alias("of_"), "before_")
+    inside = F.row_number().over(Window.partitionBy(span).orderBy(*order))
+    return df.withColumn(name, inside).join(F.broadcast(offsets), F.col(span) == F.col("of_")).withColumn(name, F.col(name) + F.col("before_")).drop(span, "of_", "before_")
 
 
 def classify_rows(df: DataFrame, value: str, id_columns: Sequence[str], context: Sequence[str] = (), corrupt: str = "_corrupt_record", absent: Sequence[str] = ()) -> DataFrame:

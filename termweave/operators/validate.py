@@ -182,11 +182,13 @@ def domain(p: Profile, attributes: bool) -> Column:
     source = F.get(F.filter("candidates", lambda c: c["candidate_id"] == src["concept_id"]), F.lit(0))
     components = F.coalesce(F.array_distinct(F.transform(F.filter(source["edges"], lambda e: e["predicate"] == "has_ingredient"), lambda e: e["object_id"])), F.array().cast("array<string>"))
     dropped = F.sort_array(F.array_except(components, ids))
-    conflated = F.exists("selected", lambda c: (c["concept_class"] == "PIN") & F.exists("selected", lambda o: (o["concept_class"] == "IN") & (text.normalize_text(o["label"]) == text.normalize_text(c["label"]))))
-    salt = (F.col("relationship") == "EXACT") & (src["concept_class"] == "PIN") & (F.col("analysis_level.concept_class") == "IN")
+    # a precise ingredient on one side of an exact claim, a base ingredient on the other
+    ana = F.col("analysis_level")
+    kinds = F.array_sort(F.array(src["concept_class"], ana["concept_class"]))
+    salt = (F.col("relationship") == "EXACT") & (src["concept_id"] != ana["concept_id"]) & (kinds == F.array(F.lit("IN"), F.lit("PIN")))
     return _all(
         finding(F.lit(p.preserve_combination_ingredients) & ~_empty() & ~_unresolved() & F.lit(p.granularity == "ingredient") & (F.size(components) > 1) & (F.size(dropped) > 0), "COMBINATION_INGREDIENT_DROPPED", F.concat(F.lit("combination loses "), F.array_join(dropped, ", ")), src["concept_id"]),
-        finding(F.lit(p.flag_salt_conflation) & (F.coalesce(salt, F.lit(False)) | F.coalesce(conflated, F.lit(False))), "SALT_ACTIVE_MOIETY_CONFLATION", "a precise ingredient and its base ingredient are taken for one", F.col("analysis_level.concept_id"), _RELATION),
+        finding(F.lit(p.flag_salt_conflation) & F.coalesce(salt, F.lit(False)), "SALT_ACTIVE_MOIETY_CONFLATION", "a precise ingredient and its base ingredient are taken for one", F.col("analysis_level.concept_id"), _RELATION),
         finding(~F.col("kept_attributes").eqNullSafe(F.col("attributes")) if attributes else F.lit(False), "PRESERVED_ATTRIBUTES_MISMATCH", "preserved attributes differ from the unit's", None),
     )
 
