@@ -131,7 +131,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def sql(body: str, *names: str) -> str:
     """An oracle query whose common table expressions are the named views (and any WITH RECURSIVE parts of its own)."""
-    parts = ", ".join(f"{n} AS ({VIEWS[n].strip()})" for n in names)
+    parts = ", ".join(f"{n} AS MATERIALIZED ({VIEWS[n].strip()})" for n in names)
     own = body.strip()
     if own.upper().startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {parts}, {own[len('WITH RECURSIVE '):]}"

@@ -63,7 +63,15 @@ def approx_hits(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.approx_hits(unmet, t.names, P).select("unit_key", "concept_id", "name", F.round("score", 6).alias("score"), "hit_rank")
 
 
-@query()
+@query(sql(f"""
+WITH n AS MATERIALIZED (SELECT DISTINCT concept_id, name, {_NORMAL.format("name")} AS own FROM (SELECT concept_id, preferred_label AS name FROM v_concepts WHERE status = 'active' UNION ALL SELECT concept_id, synonym FROM v_concepts WHERE status = 'active' AND synonym IS NOT NULL)),
+v AS MATERIALIZED (SELECT DISTINCT reported AS unit_key, {_NORMAL.format("reported")} AS own FROM v_mentions WHERE trim(reported) <> ''),
+d AS (SELECT v.own, n.own AS name, levenshtein(v.own, n.own) AS distance FROM (SELECT DISTINCT own FROM v) v JOIN (SELECT DISTINCT own FROM n WHERE own <> '') n ON abs(length(v.own) - length(n.own)) * 3 <= length(v.own)),
+s AS (SELECT own, name, CAST(row_number() OVER (PARTITION BY own ORDER BY distance, name) AS INTEGER) AS place FROM d WHERE distance > 0 AND distance * 3 <= length(own) QUALIFY place <= 3),
+h AS (SELECT own, concept_id, min(name) AS name FROM n GROUP BY 1, 2),
+f AS (SELECT v.unit_key, h.concept_id, arg_min(s.name, (s.place, h.name)) AS query, arg_min(h.name, (s.place, h.name)) AS name, min(s.place) AS place FROM v JOIN s ON s.own = v.own JOIN h ON h.own = s.name GROUP BY 1, 2)
+SELECT unit_key, 'spelling_suggestion' AS channel, query, concept_id, name, CAST(90.0 AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY unit_key ORDER BY place, concept_id) AS INTEGER) AS hit_rank FROM f
+""", "v_concepts", "v_mentions"))
 def spelling_hits(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.spelling_hits(values(spark, d), terminology(spark, d).names)
 
@@ -181,11 +189,7 @@ def unambiguous_evidence(spark: SparkSession, d: str) -> DataFrame:
     return enrich.unambiguous(e).select("unit_key", "concept_id")
 
 
-@query(sql("""
-SELECT object_id AS concept_id, coalesce(c.preferred_label, h.preferred_label) AS preferred_label, coalesce(c.concept_class, h.concept_class) AS concept_class
-FROM (SELECT DISTINCT object_id FROM v_edges) e LEFT JOIN (SELECT * FROM v_concepts WHERE concept_class = 'IN') c ON c.concept_id = object_id LEFT JOIN (SELECT * FROM v_concepts WHERE concept_class <> 'DF') h ON h.concept_id = object_id
-WHERE coalesce(c.preferred_label, h.preferred_label) IS NOT NULL
-""", "v_concepts", "v_edges"))
+@query(sql("SELECT DISTINCT concept_id, preferred_label, concept_class FROM v_concepts WHERE concept_class <> 'DF' AND concept_id IN (SELECT object_id FROM v_edges)", "v_concepts", "v_edges"))
 def concept_lookup(spark: SparkSession, d: str) -> DataFrame:
     c = view(spark, d, "v_concepts")
     found = view(spark, d, "v_edges").select(F.col("object_id").alias("concept_id"))

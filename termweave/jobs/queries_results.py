@@ -88,11 +88,10 @@ ORACLES["findings_structure"] = sql("WITH " + _PROPOSALS + " UNION ALL ".join(_c
 
 QUERIES["findings_policy"] = _family(validate.structure, ("RELATION_NOT_PERMITTED",))
 _PERMITTED = ", ".join(f"'{x}'" for x in P.relation_types)
-ORACLES["findings_policy"] = sql("WITH " + _PROPOSALS + f"""
-SELECT sau_id, 'RELATION_NOT_PERMITTED' AS code, 'error' AS severity, '' AS concept_id FROM q WHERE relationship NOT IN ({_PERMITTED})
+_POLICY = f"""SELECT sau_id, 'RELATION_NOT_PERMITTED' AS code, 'error' AS severity, '' AS concept_id FROM q WHERE relationship NOT IN ({_PERMITTED})
 UNION ALL SELECT DISTINCT sau_id, 'RELATION_NOT_PERMITTED', 'error', id FROM (SELECT sau_id, unnest(ids) AS id FROM q WHERE relation NOT IN ({_PERMITTED}))
-UNION ALL SELECT sau_id, 'RELATION_NOT_PERMITTED', 'error', analysis_id FROM q WHERE NOT no_analysis AND relation NOT IN ({_PERMITTED})
-""", "v_proposals")
+UNION ALL SELECT sau_id, 'RELATION_NOT_PERMITTED', 'error', analysis_id FROM q WHERE NOT no_analysis AND relation NOT IN ({_PERMITTED})"""
+ORACLES["findings_policy"] = sql("WITH " + _PROPOSALS + _POLICY, "v_proposals")
 
 COHERENCE = {
     "EMPTY_OUTCOME_RELATION_MISMATCH": ("decision IN ('NO_VALID_MAPPING', 'ABSTAINED') AND relationship <> 'UNSUPPORTED_MAPPING'", "''"), "INSUFFICIENT_CONTEXT_RELATION_MISMATCH": ("decision = 'INSUFFICIENT_CONTEXT' AND relationship <> 'INSUFFICIENT_CONTEXT'", "''"),
@@ -104,36 +103,86 @@ COHERENCE = {
 QUERIES["findings_coherence"] = _family(validate.relation_coherence, tuple(COHERENCE))
 ORACLES["findings_coherence"] = sql("WITH " + _PROPOSALS + " UNION ALL ".join(_case(c, t, i) for c, (t, i) in COHERENCE.items()), "v_proposals")
 
-QUERIES["findings_evidence"] = _family(validate.structure, ("UNRETRIEVED_IDENTIFIER", "WRONG_VOCABULARY", "CONCEPT_VOCABULARY_MISMATCH", "UNSUPPORTED_STATUS_CLAIM", "CONCEPT_STATUS_MISMATCH", "STATUS_NOT_VERIFIED", "INACTIVE_CONCEPT", "CONCEPT_CLASS_MISMATCH"))
+#: Each place of a proposal that names a concept, with what the product's evidence says of it.
+_OCCURRENCES = """
+x AS (SELECT e.subject_id AS own, e.object_id AS id, min(e.object_label) AS label, min(e.object_class) AS class, CASE WHEN bool_or(c.status = 'active' AND e.predicate IN ('has_ingredient', 'has_precise_ingredient')) THEN 'active' ELSE 'unknown' END AS status, false AS direct
+    FROM v_edges e JOIN v_concepts c ON c.concept_id = e.subject_id WHERE e.predicate <> 'may_treat' GROUP BY 1, 2
+  UNION ALL SELECT concept_id, concept_id, preferred_label, concept_class, status, true FROM v_concepts),
+o AS (SELECT sau_id, own, 'selected' AS field, unnest(ids) AS id, ids[1] AS first_id, claimed_label, claimed_class, claimed_status FROM q WHERE selected_ids <> ''
+  UNION ALL SELECT sau_id, own, 'analysis', analysis_id, ids[1], claimed_label, claimed_class, claimed_status FROM q WHERE NOT no_analysis
+  UNION ALL SELECT q.sau_id, own, 'source', source_id, NULL, c.preferred_label, c.concept_class, c.status FROM q JOIN v_concepts c ON c.concept_id = own WHERE NOT no_source),
+k AS (SELECT o.sau_id, o.field, o.id, o.claimed_class, o.claimed_status AS claim, CASE WHEN field = 'source' OR o.id = first_id THEN claimed_label ELSE regexp_replace(o.id, '^I_', '') END AS claimed_label, field <> 'source' AS final, x.id IS NOT NULL AS have, x.label, x.class, x.status, x.direct
+  FROM o LEFT JOIN x ON x.own = o.own AND x.id = o.id)
+"""
+_ON_EVIDENCE = """SELECT sau_id, code, severity, id AS concept_id FROM (
+  SELECT DISTINCT sau_id, 'UNRETRIEVED_IDENTIFIER' AS code, 'error' AS severity, id, field FROM k WHERE NOT have
+  UNION ALL SELECT DISTINCT sau_id, 'STATUS_FROM_RELEASE_EVIDENCE', 'info', id, '' FROM k WHERE have AND final AND status = 'active' AND NOT direct
+  UNION ALL SELECT DISTINCT sau_id, 'CONCEPT_LABEL_MISMATCH', 'error', id, field FROM k WHERE have AND lower(claimed_label) <> lower(label)
+  UNION ALL SELECT DISTINCT sau_id, 'CONCEPT_CLASS_MISMATCH', 'error', id, field FROM k WHERE have AND lower(claimed_class) <> lower(class)
+  UNION ALL SELECT DISTINCT sau_id, 'UNSUPPORTED_STATUS_CLAIM', 'error', id, field FROM k WHERE have AND claim <> 'unknown' AND status = 'unknown'
+  UNION ALL SELECT DISTINCT sau_id, 'CONCEPT_STATUS_MISMATCH', 'error', id, field FROM k WHERE have AND claim <> 'unknown' AND status <> 'unknown' AND claim <> status
+  UNION ALL SELECT DISTINCT sau_id, 'STATUS_NOT_VERIFIED', 'warning', id, '' FROM k WHERE have AND final AND status = 'unknown'
+  UNION ALL SELECT DISTINCT sau_id, 'INACTIVE_CONCEPT', 'error', id, '' FROM k WHERE have AND final AND status NOT IN ('unknown', 'active'))"""
+_EVIDENCE_CODES = ("UNRETRIEVED_IDENTIFIER", "STATUS_FROM_RELEASE_EVIDENCE", "CONCEPT_LABEL_MISMATCH", "WRONG_VOCABULARY", "CONCEPT_VOCABULARY_MISMATCH", "UNSUPPORTED_STATUS_CLAIM", "CONCEPT_STATUS_MISMATCH", "STATUS_NOT_VERIFIED", "INACTIVE_CONCEPT", "CONCEPT_CLASS_MISMATCH")
+QUERIES["findings_evidence"] = _family(validate.structure, _EVIDENCE_CODES)
+ORACLES["findings_evidence"] = sql("WITH " + _PROPOSALS + "," + _OCCURRENCES + _ON_EVIDENCE, "v_proposals", "v_edges", "v_concepts")
 QUERIES["findings_roles"] = _family(validate.structure, ("SOURCE_CONCEPT_NOT_DIRECTLY_RETRIEVED", "MULTI_COMPONENT_SET_MISMATCH", "TARGET_NOT_REACHABLE_FROM_SOURCE", "INVALID_GRANULARITY_TARGET", "HISTORICAL_SOURCE_CONCEPT"))
-ORACLES["findings_roles"] = sql("WITH " + _PROPOSALS + """,
+_SOURCES = """
 e AS (SELECT subject_id, list_sort(list(DISTINCT object_id)) AS targets FROM v_edges WHERE predicate = 'has_ingredient' GROUP BY 1),
-r AS (SELECT q.*, CASE WHEN source_id = own THEN coalesce(e.targets, []) ELSE [] END AS targets, coalesce(e.targets, []) AS reach, coalesce(source_id, own) = own AS from_own, c.status AS own_status FROM q LEFT JOIN e ON e.subject_id = own JOIN v_concepts c ON c.concept_id = own)
-SELECT sau_id, 'SOURCE_CONCEPT_NOT_DIRECTLY_RETRIEVED' AS code, 'error' AS severity, source_id AS concept_id FROM r WHERE source_id <> own
+r AS (SELECT q.*, CASE WHEN source_id = own THEN coalesce(e.targets, []) ELSE [] END AS targets, coalesce(e.targets, []) AS reach, coalesce(source_id, own) = own AS from_own, c.status AS own_status, c.preferred_label AS own_label FROM q LEFT JOIN e ON e.subject_id = own JOIN v_concepts c ON c.concept_id = own)
+"""
+_ON_ROLES = """SELECT sau_id, 'SOURCE_CONCEPT_NOT_DIRECTLY_RETRIEVED' AS code, 'error' AS severity, source_id AS concept_id FROM r WHERE source_id <> own
 UNION ALL SELECT sau_id, 'MULTI_COMPONENT_SET_MISMATCH', 'error', coalesce(source_id, '') FROM r WHERE NOT unresolved AND decision = 'MULTI_CONCEPT_MAPPED' AND list_sort(list_distinct(ids)) <> targets
 UNION ALL SELECT DISTINCT sau_id, 'TARGET_NOT_REACHABLE_FROM_SOURCE', 'error', id FROM (SELECT *, unnest(ids) AS id FROM r WHERE NOT unresolved AND relationship IN ('TARGET_BROADER_THAN_SOURCE', 'MULTIPLE_COMPONENTS_REQUIRED')) WHERE NOT list_contains(targets, id)
 UNION ALL SELECT DISTINCT sau_id, 'INVALID_GRANULARITY_TARGET', 'error', id FROM (SELECT *, unnest(ids) AS id FROM r WHERE NOT unresolved) WHERE list_contains(reach, id) AND NOT from_own
-UNION ALL SELECT sau_id, 'HISTORICAL_SOURCE_CONCEPT', 'warning', source_id FROM r WHERE source_id = own AND own_status <> 'active'
-""", "v_proposals", "v_edges", "v_concepts")
+UNION ALL SELECT sau_id, 'HISTORICAL_SOURCE_CONCEPT', 'warning', source_id FROM r WHERE source_id = own AND own_status <> 'active'"""
+ORACLES["findings_roles"] = sql("WITH " + _PROPOSALS + "," + _SOURCES + _ON_ROLES, "v_proposals", "v_edges", "v_concepts")
+_ON_DOMAIN = "SELECT sau_id, 'COMBINATION_INGREDIENT_DROPPED' AS code, 'error' AS severity, source_id AS concept_id FROM r WHERE NOT hollow AND NOT unresolved AND len(targets) > 1 AND len(list_filter(targets, lambda t: NOT list_contains(ids, t))) > 0"
+QUERIES["findings_domain"] = _family(validate.structure, ("COMBINATION_INGREDIENT_DROPPED", "SALT_ACTIVE_MOIETY_CONFLATION", "PRESERVED_ATTRIBUTES_MISMATCH"))
+ORACLES["findings_domain"] = sql("WITH " + _PROPOSALS + "," + _SOURCES + _ON_DOMAIN, "v_proposals", "v_edges", "v_concepts")
+
+#: All findings, the verdict and the route of each proposal.
+_VERDICTS = "WITH " + _PROPOSALS + "," + _OCCURRENCES + "," + _SOURCES + """,
+f AS MATERIALIZED (""" + " UNION ALL ".join([*(_case(c, t, i) for c, (t, i) in (STRUCTURE | COHERENCE).items()), _POLICY, f"({_ON_EVIDENCE})", f"({_ON_ROLES})", _ON_DOMAIN]) + """),
+n AS (SELECT sau_id, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) AS findings, string_agg(DISTINCT code, '|' ORDER BY code) AS codes,
+  list('REJECTED: ' || code) FILTER (severity = 'error') AS refused, list('WARNING: ' || code) FILTER (severity = 'warning') AS warned FROM f GROUP BY sau_id),
+s AS (SELECT sau_id, coalesce(bool_and(have AND status = 'active'), false) AS active, array_to_string(list(label), '|') AS labels, array_to_string(list(status), '|') AS statuses FROM k WHERE field = 'selected' GROUP BY sau_id),
+v AS MATERIALIZED (SELECT r.*, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, coalesce(findings, 0) AS findings, coalesce(codes, '') AS codes, refused, coalesce(warned, []) AS warned, coalesce(s.active, false) AS active, (source_id = own) IS TRUE AS named,
+  CASE WHEN errors > 0 THEN 'REJECTED' WHEN asked THEN 'HUMAN_REVIEW_REQUIRED' WHEN warnings > 0 THEN 'VALID_WITH_WARNING' WHEN loss_kinds <> '' THEN 'VALID_WITH_SEMANTIC_LOSS' ELSE 'VALID' END AS verdict FROM r LEFT JOIN n USING (sau_id) LEFT JOIN s USING (sau_id)),
+w AS MATERIALIZED (SELECT *, list_concat(list_filter([CASE WHEN asked THEN 'REVIEW_ASKED' END, CASE WHEN NOT active THEN 'NOT_CURRENT' END, CASE WHEN relationship NOT IN ('EXACT', 'TARGET_BROADER_THAN_SOURCE', 'MULTIPLE_COMPONENTS_REQUIRED') THEN 'RELATION' END], lambda x: x IS NOT NULL), warned) AS review,
+  CASE WHEN named THEN 'NAME_EQUAL' WHEN relationship = 'TARGET_BROADER_THAN_SOURCE' AND loss_kinds <> '' THEN 'LOSS_TOLD' WHEN relationship = 'MULTIPLE_COMPONENTS_REQUIRED' THEN 'COMPONENTS' WHEN relationship = 'EXACT' THEN 'EXACT_CLEAN' END AS accepted FROM v),
+t AS MATERIALIZED (SELECT *, CASE WHEN verdict = 'REJECTED' THEN refused WHEN decision IN ('NO_VALID_MAPPING', 'ABSTAINED') THEN ['NONE_CHOSEN'] WHEN decision = 'INSUFFICIENT_CONTEXT' THEN ['CONTEXT'] WHEN len(review) > 0 THEN review WHEN accepted IS NOT NULL THEN [accepted]
+    WHEN relationship = 'TARGET_BROADER_THAN_SOURCE' THEN ['LOSS_UNTOLD'] ELSE ['NO_RULE'] END AS reasons,
+  CASE WHEN verdict = 'REJECTED' THEN 'HUMAN_REVIEW' WHEN decision IN ('NO_VALID_MAPPING', 'ABSTAINED') THEN 'ABSTAIN' WHEN decision = 'INSUFFICIENT_CONTEXT' OR len(review) > 0 OR accepted IS NULL THEN 'HUMAN_REVIEW' ELSE 'AUTO_ACCEPT' END AS routing_status FROM w)
+"""
 
 
-@query()
+def _verdict_sql(body: str) -> str:
+    return sql(_VERDICTS + body, "v_proposals", "v_edges", "v_concepts")
+
+
+@query(_verdict_sql("SELECT sau_id, verdict, codes FROM t"))
 def verdicts(spark: SparkSession, d: str) -> DataFrame:
     return validated(spark, d).select("sau_id", "verdict", F.array_join(F.array_sort(F.array_distinct("findings.code")), "|").alias("codes"))
 
 
-@query()
+@query(_verdict_sql("SELECT code, severity, count(*) AS n FROM f GROUP BY 1, 2"))
 def finding_profile(spark: SparkSession, d: str) -> DataFrame:
     return audit.finding_profile(validated(spark, d))
 
 
+def _code(reason: Column) -> Column:
+    """A reason without its remark: refusals and warnings are codes as a whole."""
+    return F.when(reason.rlike("^(REJECTED|WARNING): "), reason).otherwise(F.split(reason, ": ")[0])
+
+
 def routed(spark: SparkSession, d: str) -> DataFrame:
     return route.route(route.routing_features(validated(spark, d)), P)
 
 
-@query()
+@query(_verdict_sql("SELECT sau_id, verdict, routing_status, array_to_string(list_sort(reasons), '; ') AS reasons FROM t"))
 def routing(spark: SparkSession, d: str) -> DataFrame:
-    return routed(spark, d).select("sau_id", "verdict", "routing_status", F.array_join("reasons", "; ").alias("reasons"))
+    return routed(spark, d).select("sau_id", "verdict", "routing_status", F.array_join(F.array_sort(F.transform("reasons", _code)), "; ").alias("reasons"))
 
 
 @query(sql("WITH " + _PROPOSALS + """
@@ -143,12 +192,13 @@ def difficulty(spark: SparkSession, d: str) -> DataFrame:
     return routed(spark, d).select("sau_id", F.col("features.known_difficult_pattern").alias("difficulty"))
 
 
-@query()
+@query(_verdict_sql("SELECT sau_id, CAST(10 * errors + warnings AS INTEGER) AS priority, own || ' (normalized_lookup) 100.0' AS considered, CAST(findings AS INTEGER) AS messages FROM t WHERE routing_status = 'HUMAN_REVIEW'"))
 def review_queue(spark: SparkSession, d: str) -> DataFrame:
     return route.review_queue(routed(spark, d)).select("sau_id", "priority", F.array_join("considered", "; ").alias("considered"), F.size("messages").alias("messages"))
 
 
-@query()
+@query(_verdict_sql("""SELECT t.sau_id, CASE WHEN verdict = 'REJECTED' THEN 'ABSTAINED' ELSE decision END AS decision, CASE WHEN verdict = 'REJECTED' THEN 'UNSUPPORTED_MAPPING' ELSE relationship END AS relationship,
+  CASE WHEN verdict = 'REJECTED' THEN '' ELSE coalesce(s.labels, '') END AS labels, CASE WHEN verdict = 'REJECTED' THEN '' ELSE coalesce(s.statuses, '') END AS statuses FROM t LEFT JOIN s ON s.sau_id = t.sau_id"""))
 def canonical_decisions(spark: SparkSession, d: str) -> DataFrame:
     return route.decide(routed(spark, d)).select("sau_id", "decision", "relationship", F.array_join("selected.label", "|").alias("labels"), F.array_join("selected.status", "|").alias("statuses"))
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termweave.jobs import align
-from termweave.operators import audit, evaluate, retrieve, units
+from termweave.operators import audit, evaluate, retrieve, units, validate
 from termweave.operators.retrieve import Terminology
 from termweave.profile import Profile
 from termweave.sources import batch
@@ -144,3 +144,30 @@ def test_evaluation_counts(spark):
     total = evaluate.evaluate(pairs).where("level = 1").head()
     assert (total["gold_cases"], total["missing"], total["correct"], total["accepted_correct"]) == (3, 1, 2, 1)
     assert not evaluate.report(pairs).head()["complete"]
+
+
+def test_approximate_hits_are_those_of_all_pairs(spark):
+    """Every eighth value without an exact hit, against all current names."""
+    from termweave.functions import text
+    from termweave.jobs import queries_align
+
+    d = "/root/testdata/sf0.001"
+    names = queries_align.terminology(spark, d).names.where("is_current")
+    asked = queries_align.QUERIES["unmet_values"](spark, d).distinct().where("xxhash64(unit_key) % 8 = 0").withColumn("value", F.col("unit_key"))
+    pairs = asked.crossJoin(names.select("concept_id", "name")).withColumn("score", 100 * text.lexical_similarity(F.col("value"), F.col("name")))
+    want = {}
+    for r in pairs.groupBy("unit_key", "concept_id").agg(F.max("score").alias("score")).where("score > 0").collect():
+        want.setdefault(r["unit_key"], []).append((-r["score"], r["concept_id"]))
+    got = {}
+    for r in retrieve.approx_hits(asked, names, P).collect():
+        got.setdefault(r["unit_key"], []).append((r["hit_rank"], -r["score"], r["concept_id"]))
+    assert want and {k: [(s, c) for _, s, c in sorted(v)] for k, v in got.items()} == {k: [(pytest.approx(s), c) for s, c in sorted(v)[: P.maximum_candidates]] for k, v in want.items()}
+
+
+def test_exact_claims_across_a_salt_are_rejected_either_way(spark):
+    concept = "struct<concept_id:string,label:string,vocabulary:string,concept_class:string,status:string,relation:string>"
+    rows = [(f"{a}{b}{r}", "MAPPED", r, (a, "x", "RxNorm", a, "active", "EXACT"), (b, "x", "RxNorm", b, "active", r)) for a in ("PIN", "IN") for b in ("PIN", "IN") for r in ("EXACT", "TARGET_BROADER_THAN_SOURCE")]
+    df = spark.createDataFrame(rows, f"sau_id string, decision string, relationship string, source_level {concept}, analysis_level {concept}")
+    df = df.withColumns({"selected": F.array("analysis_level"), "requested_review": F.lit(False), "candidates": F.array().cast("array<struct<candidate_id:string,edges:array<struct<predicate:string,object_id:string>>>>")})
+    found = df.select("sau_id", validate.domain(P, False).alias("f")).where(F.exists("f", lambda x: x["code"] == "SALT_ACTIVE_MOIETY_CONFLATION"))
+    assert sorted(r["sau_id"] for r in found.collect()) == ["INPINEXACT", "PININEXACT"]

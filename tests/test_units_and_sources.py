@@ -61,3 +61,12 @@ def test_numbers_are_contiguous_in_any_partitioning(spark):
 def test_manifest_ignores_order(spark):
     df = spark.range(50).withColumn("s", F.col("id").cast("string"))
     assert batch.digest(df).collect() == batch.digest(df.orderBy(F.desc("id")).repartition(3)).collect()
+
+
+def test_row_numbers_with_text_ids_and_skew(spark, monkeypatch):
+    monkeypatch.setattr(units, "RANGE_ROWS", 10)
+    for kind, xs in (("string", [f"id'{i * 7919 % 101}\\" for i in range(101)]), ("long", [10**15, None, *range(99)]), ("double", [0.5] * 60 + [1.5])):
+        df = spark.createDataFrame([(x, i) for i, x in enumerate(xs)], f"x {kind}, y int").withColumn("_span", F.lit("taken")).repartition(3)
+        got = {r["y"]: r["row_number"] for r in units.number_rows(df, ["x", "y"]).collect()}
+        assert got == {r["y"]: i + 1 for i, r in enumerate(df.orderBy("x", "y").collect())}
+    assert units.number_rows(df.limit(0), ["x"]).count() == 0
