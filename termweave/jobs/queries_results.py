@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import audit, enrich, evaluate, route, validate
 from ..operators.adjudicate import concept
 from ..profile import Profile
+from ..sources import batch
 from . import align
 from .fixtures import sql, view
 
@@ -108,10 +109,10 @@ _OCCURRENCES = """
 x AS (SELECT e.subject_id AS own, e.object_id AS id, min(e.object_label) AS label, min(e.object_class) AS class, CASE WHEN bool_or(c.status = 'active' AND e.predicate IN ('has_ingredient', 'has_precise_ingredient')) THEN 'active' ELSE 'unknown' END AS status, false AS direct
     FROM v_edges e JOIN v_concepts c ON c.concept_id = e.subject_id WHERE e.predicate <> 'may_treat' GROUP BY 1, 2
   UNION ALL SELECT concept_id, concept_id, preferred_label, concept_class, status, true FROM v_concepts),
-o AS (SELECT sau_id, own, 'selected' AS field, unnest(ids) AS id, ids[1] AS first_id, claimed_label, claimed_class, claimed_status FROM q WHERE selected_ids <> ''
-  UNION ALL SELECT sau_id, own, 'analysis', analysis_id, ids[1], claimed_label, claimed_class, claimed_status FROM q WHERE NOT no_analysis
-  UNION ALL SELECT q.sau_id, own, 'source', source_id, NULL, c.preferred_label, c.concept_class, c.status FROM q JOIN v_concepts c ON c.concept_id = own WHERE NOT no_source),
-k AS (SELECT o.sau_id, o.field, o.id, o.claimed_class, o.claimed_status AS claim, CASE WHEN field = 'source' OR o.id = first_id THEN claimed_label ELSE regexp_replace(o.id, '^I_', '') END AS claimed_label, field <> 'source' AS final, x.id IS NOT NULL AS have, x.label, x.class, x.status, x.direct
+o AS (SELECT sau_id, own, 'selected' AS field, unnest(ids) AS id, unnest(range(1, len(ids) + 1)) AS place, ids[1] AS first_id, claimed_label, claimed_class, claimed_status FROM q WHERE selected_ids <> ''
+  UNION ALL SELECT sau_id, own, 'analysis', analysis_id, NULL, ids[1], claimed_label, claimed_class, claimed_status FROM q WHERE NOT no_analysis
+  UNION ALL SELECT q.sau_id, own, 'source', source_id, NULL, NULL, c.preferred_label, c.concept_class, c.status FROM q JOIN v_concepts c ON c.concept_id = own WHERE NOT no_source),
+k AS (SELECT o.sau_id, o.field, o.id, o.place, o.claimed_class, o.claimed_status AS claim, CASE WHEN field = 'source' OR o.id = first_id THEN claimed_label ELSE regexp_replace(o.id, '^I_', '') END AS claimed_label, field <> 'source' AS final, x.id IS NOT NULL AS have, x.label, x.class, x.status, x.direct
   FROM o LEFT JOIN x ON x.own = o.own AND x.id = o.id)
 """
 _ON_EVIDENCE = """SELECT sau_id, code, severity, id AS concept_id FROM (
@@ -146,7 +147,7 @@ _VERDICTS = "WITH " + _PROPOSALS + "," + _OCCURRENCES + "," + _SOURCES + """,
 f AS MATERIALIZED (""" + " UNION ALL ".join([*(_case(c, t, i) for c, (t, i) in (STRUCTURE | COHERENCE).items()), _POLICY, f"({_ON_EVIDENCE})", f"({_ON_ROLES})", _ON_DOMAIN]) + """),
 n AS (SELECT sau_id, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) AS findings, string_agg(DISTINCT code, '|' ORDER BY code) AS codes,
   list('REJECTED: ' || code) FILTER (severity = 'error') AS refused, list('WARNING: ' || code) FILTER (severity = 'warning') AS warned FROM f GROUP BY sau_id),
-s AS (SELECT sau_id, coalesce(bool_and(have AND status = 'active'), false) AS active, array_to_string(list(label), '|') AS labels, array_to_string(list(status), '|') AS statuses FROM k WHERE field = 'selected' GROUP BY sau_id),
+s AS (SELECT sau_id, coalesce(bool_and(have AND status = 'active'), false) AS active, array_to_string(list(label ORDER BY place), '|') AS labels, array_to_string(list(status ORDER BY place), '|') AS statuses FROM k WHERE field = 'selected' GROUP BY sau_id),
 v AS MATERIALIZED (SELECT r.*, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, coalesce(findings, 0) AS findings, coalesce(codes, '') AS codes, refused, coalesce(warned, []) AS warned, coalesce(s.active, false) AS active, (source_id = own) IS TRUE AS named,
   CASE WHEN errors > 0 THEN 'REJECTED' WHEN asked THEN 'HUMAN_REVIEW_REQUIRED' WHEN warnings > 0 THEN 'VALID_WITH_WARNING' WHEN loss_kinds <> '' THEN 'VALID_WITH_SEMANTIC_LOSS' ELSE 'VALID' END AS verdict FROM r LEFT JOIN n USING (sau_id) LEFT JOIN s USING (sau_id)),
 w AS MATERIALIZED (SELECT *, list_concat(list_filter([CASE WHEN asked THEN 'REVIEW_ASKED' END, CASE WHEN NOT active THEN 'NOT_CURRENT' END, CASE WHEN relationship NOT IN ('EXACT', 'TARGET_BROADER_THAN_SOURCE', 'MULTIPLE_COMPONENTS_REQUIRED') THEN 'RELATION' END], lambda x: x IS NOT NULL), warned) AS review,
@@ -192,9 +193,9 @@ def difficulty(spark: SparkSession, d: str) -> DataFrame:
     return routed(spark, d).select("sau_id", F.col("features.known_difficult_pattern").alias("difficulty"))
 
 
-@query(_verdict_sql("SELECT sau_id, CAST(10 * errors + warnings AS INTEGER) AS priority, own || ' (normalized_lookup) 100.0' AS considered, CAST(findings AS INTEGER) AS messages FROM t WHERE routing_status = 'HUMAN_REVIEW'"))
+@query(_verdict_sql("SELECT sau_id, CAST(10 * errors + warnings AS INTEGER) AS priority, own || ' channels: normalized_lookup; best score 100.0' AS considered, CAST(findings AS INTEGER) AS messages FROM t WHERE routing_status = 'HUMAN_REVIEW'"))
 def review_queue(spark: SparkSession, d: str) -> DataFrame:
-    return route.review_queue(routed(spark, d)).select("sau_id", "priority", F.array_join("considered", "; ").alias("considered"), F.size("messages").alias("messages"))
+    return route.review_queue(routed(spark, d)).select("sau_id", "priority", F.array_join(F.transform("considered", lambda c: F.concat_ws(" ", c["concept_id"], c["note"])), "; ").alias("considered"), F.size("messages").alias("messages"))
 
 
 @query(_verdict_sql("""SELECT t.sau_id, CASE WHEN verdict = 'REJECTED' THEN 'ABSTAINED' ELSE decision END AS decision, CASE WHEN verdict = 'REJECTED' THEN 'UNSUPPORTED_MAPPING' ELSE relationship END AS relationship,
@@ -309,12 +310,122 @@ def usage_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(sql("""
-WITH u AS (SELECT *, lag(row_number) OVER (PARTITION BY run_id ORDER BY row_number, accessed_at) AS before FROM v_usage)
-SELECT run_id, count(*) AS gaps FROM u WHERE row_number <> coalesce(before, 0) + 1 GROUP BY run_id
+WITH u AS (SELECT *, lag(row_number) OVER (PARTITION BY run_id ORDER BY row_number, accessed_at) AS n0, lag(cache_hits) OVER own AS h0, lag(network_calls) OVER own AS c0, lag(terminology_release) OVER own AS r0 FROM v_usage WINDOW own AS (PARTITION BY run_id, resource_name ORDER BY row_number, accessed_at)),
+c AS (SELECT run_id, unnest([CASE WHEN row_number <> coalesce(n0, 0) + 1 THEN 'ROW_NUMBER_GAP' END, CASE WHEN cache_hits < h0 THEN 'CACHE_HITS_FELL' END, CASE WHEN network_calls < c0 THEN 'NETWORK_CALLS_FELL' END, CASE WHEN terminology_release <> r0 THEN 'RELEASE_CHANGED' END]) AS code FROM u)
+SELECT run_id, code, count(*) AS n FROM c WHERE code IS NOT NULL GROUP BY 1, 2
 """, "v_usage"))
 def sequence_audit(spark: SparkSession, d: str) -> DataFrame:
-    found = audit.audit_sequence(view(spark, d, "v_usage"))
-    return found.where(F.array_contains("codes", "ROW_NUMBER_GAP")).groupBy("run_id").agg(F.count(F.lit(1)).alias("gaps"))
+    found = audit.audit_sequence(view(spark, d, "v_usage"), ["accessed_at"])
+    return found.select("run_id", F.explode("codes").alias("code")).groupBy("run_id", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+_USAGE = "array<struct<resource_name:string,provider_name:string,terminology_release:string,provider_version:string,mode:string,cache_hits:bigint,network_calls:bigint>>"
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'error' WHEN o_orderkey % 11 = 0 THEN 'skipped' ELSE 'success' END AS status FROM orders),
+p AS (SELECT *, (status = 'success') <> (k % 13 = 0) AS has, CASE WHEN status = 'success' THEN k % 17 = 0 ELSE k % 5 <> 0 END AS coded FROM o)
+SELECT k AS o_orderkey, code FROM (SELECT k, unnest([CASE WHEN status = 'success' AND NOT has THEN 'SUCCESS_WITHOUT_DECISION' END, CASE WHEN status = 'success' AND coded THEN 'SUCCESS_WITH_ERROR' END, CASE WHEN status <> 'success' AND has THEN 'FAILURE_WITH_DECISION' END,
+  CASE WHEN status <> 'success' AND NOT coded THEN 'FAILURE_WITHOUT_CODE' END, CASE WHEN k % 43 = 0 THEN 'RESOURCE_TWICE' END, CASE WHEN has AND k % 19 = 0 THEN 'VALUE_DIFFERS' END, CASE WHEN has AND k % 23 = 0 THEN 'RECORD_ID_DIFFERS' END, CASE WHEN has AND k % 29 = 0 THEN 'UNIT_WITHOUT_ROW_NUMBER' END,
+  CASE WHEN has AND k % 31 = 0 AND k % 29 <> 0 THEN 'ROW_NUMBER_DIFFERS' END, CASE WHEN has AND k % 37 = 0 THEN 'USAGE_OMITTED' END, CASE WHEN has AND (k % 41 = 0 OR k % 47 = 0) THEN 'USAGE_CONTRADICTED' END]) AS code FROM p) WHERE code IS NOT NULL
+""")
+def record_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Batch records of orders, each kind of corruption in another share of them."""
+    k = F.col("o_orderkey")
+    hit = lambda n: k % n == 0
+    status = F.when(hit(7), F.lit("error")).when(hit(11), F.lit("skipped")).otherwise(F.lit("success"))
+    rows = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey").withColumn("status", status)
+    good = F.col("status") == "success"
+    use = lambda name, release, hits: F.struct(F.lit(name).alias("resource_name"), F.lit("main").alias("provider_name"), release.alias("terminology_release"), F.lit("1").alias("provider_version"), F.lit("live").alias("mode"), hits.cast("long").alias("cache_hits"), F.lit(2).cast("long").alias("network_calls"))
+    plain = use("terms", F.lit("2024"), F.lit(9))
+    own = F.array(plain, use("names", F.when(hit(41), F.lit("2025")).otherwise(F.lit("2024")), F.when(hit(47), F.lit(8)).otherwise(F.lit(7))))
+    run = F.concat(F.array(plain, use("names", F.lit("2024"), F.lit(7))), F.when(hit(43), F.array(plain)).otherwise(F.array().cast(_USAGE)))
+    rows = rows.withColumns({
+        "decision": F.when(good != hit(13), F.lit("MAPPED")), "error_code": F.when(F.when(good, hit(17)).otherwise(k % 5 != 0), F.lit("X")), "error_message": F.lit(None).cast("string"),
+        "raw_value": k.cast("string"), "unit_value": F.when(hit(19), F.lit("other")).otherwise(k.cast("string")), "record_id": k.cast("string"), "unit_record_id": F.when(~hit(23), k.cast("string")),
+        "row_number": k, "unit_row_number": F.when(~hit(29), F.when(hit(31), k + 1).otherwise(k)), "usage": run,
+        "unit_usage": F.when(hit(37), F.concat(own, F.array(use("more", F.lit("2024"), F.lit(1))))).otherwise(own),
+    })
+    return audit.audit_records(rows).select("o_orderkey", F.explode("codes").alias("code"))
+
+
+@query(_verdict_sql("""
+SELECT sau_id, unnest(list_filter([CASE WHEN routing_status <> 'HUMAN_REVIEW' THEN 'NOT_ROUTED_TO_REVIEW' END, CASE WHEN k % 3 = 0 THEN 'VALUE_DIFFERS' END, CASE WHEN k % 4 = 0 THEN 'DECISION_DIFFERS' END, CASE WHEN k % 5 = 0 THEN 'CANDIDATES_DIFFER' END, CASE WHEN k % 7 = 0 AND findings > 0 THEN 'MESSAGES_DIFFER' END,
+  CASE WHEN k % 11 = 0 THEN 'REASONS_DIFFER' END, CASE WHEN k % 13 = 0 THEN 'PRIORITY_DIFFERS' END], lambda x: x IS NOT NULL)) AS code FROM (SELECT *, CAST(substr(sau_id, 5) AS BIGINT) AS k FROM t) WHERE k % 17 <> 0
+UNION ALL SELECT sau_id, 'NO_DECISION' FROM t WHERE CAST(substr(sau_id, 5) AS BIGINT) % 17 = 0"""))
+def review_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Review items of all proposals, each field wrong in another share of them, against the decisions but for some that are gone."""
+    from ..operators.route import considered, messages, priority
+
+    rows = align.store(spark)(routed(spark, d), "routed")
+    k = F.substring("sau_id", 5, 20).cast("long")
+    items = rows.select(
+        "sau_id", F.when(k % 3 == 0, F.lit("x")).otherwise(F.col("raw_value")).alias("raw_value"), F.when(k % 4 == 0, F.lit("x")).otherwise(F.col("decision")).alias("decision"), "relationship",
+        F.when(k % 5 == 0, F.slice(considered(), 2, 99)).otherwise(considered()).alias("considered"), F.when(k % 7 == 0, F.slice(messages(), 2, 99)).otherwise(messages()).alias("messages"),
+        F.when(k % 11 == 0, F.array().cast("array<string>")).otherwise(F.col("reasons")).alias("reasons"), (priority() + F.when(k % 13 == 0, F.lit(1)).otherwise(F.lit(0))).alias("priority"),
+    )
+    return audit.audit_reviews(items, rows.where(k % 17 != 0)).select("sau_id", F.explode("codes").alias("code"))
+
+
+@query("""
+WITH d AS (SELECT o_orderstatus AS s, count(*) AS n, sum(CAST('0x' || substr(sha256(o_orderkey || chr(31) || o_orderstatus || chr(31) || o_orderpriority), 1, 15) AS BIGINT)) AS a, sum(CAST('0x' || substr(sha256(o_orderkey || chr(31) || o_orderstatus), 1, 15) AS BIGINT)) AS b FROM orders GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS input_rows, CAST(sum(a) AS VARCHAR) AS input_digest, CAST(sum(n) AS BIGINT) AS output_rows, CAST(sum(b) AS VARCHAR) AS output_digest, string_agg(s || '=' || n, ',' ORDER BY s) AS counts FROM d
+""")
+def run_manifest(spark: SparkSession, d: str) -> DataFrame:
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    found = batch.run_manifest(o.select("o_orderkey", "o_orderstatus", "o_orderpriority"), o.select("o_orderkey", F.col("o_orderstatus").alias("status")))
+    return found.withColumn("counts", F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ","))
+
+
+@query(sql("""
+WITH p AS (SELECT *, CAST(substr(sau_id, 5) AS BIGINT) % 4 AS k FROM v_predictions)
+SELECT sau_id, explicit_case_id AS case_id, source_value, routing_status, mapping_key, array_to_string(list_filter(string_split(selected_ids, '|'), lambda x: x <> ''), '|') AS selected_ids, CASE WHEN k < 2 THEN ctx_route END AS route FROM p WHERE k < 3
+""", "v_predictions"))
+def prediction_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions written as lines of all shapes (batch records, artifacts, bare decisions, failed records) and read back."""
+    import uuid
+
+    p = view(spark, d, "v_predictions")
+    k = F.substring("sau_id", 5, 20).cast("long") % 4
+    ids = F.transform(_list("selected_ids"), lambda x: F.struct(x.alias("concept_id")))
+    fields = [F.col("sau_id"), F.col("record_id"), F.col("explicit_case_id").alias("case_id"), F.col("source_value"), ids.alias("selected_concepts"), F.col("routing_status"), F.col("mapping_key")]
+    decision, context = F.struct(*fields), F.create_map(F.lit("route"), F.col("ctx_route"))
+    shapes = [
+        [F.lit("success").alias("status"), F.struct(decision.alias("decision"), context.alias("context"), F.col("mapping_key")).alias("artifact")],
+        [decision.alias("decision"), context.alias("context")], fields, [F.lit("error").alias("status"), F.lit(None).cast("string").alias("artifact")],
+    ]
+    root = f"{align.shared_dir(spark)}/predictions-{uuid.uuid4().hex}"
+    for i, columns in enumerate(shapes):
+        batch.write_records(p.where(k == i).select(*columns), f"{root}/{i}")
+    out = batch.read_predictions(spark, f"{root}/*")
+    return out.select("sau_id", "case_id", "source_value", "routing_status", "mapping_key", F.array_join("selected_ids", "|").alias("selected_ids"), F.col("context")["route"].alias("route"))
+
+
+@query(sql("SELECT concept_id, 'MAPPED' AS decision, 'EXACT' AS relationship, concept_id AS selected_ids FROM v_concepts", "v_concepts"))
+def first_candidate(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import adjudicate
+    from .queries_align import _selves
+
+    return adjudicate.first_candidate(enrich.packages(_selves(spark, d), P)).select(F.col("unit_key").alias("concept_id"), "decision", "relationship", F.array_join("selected.concept_id", "|").alias("selected_ids"))
+
+
+@query(sql("SELECT DISTINCT subject_id AS candidate_id, predicate, object_id, true AS direct FROM v_edges WHERE subject_id LIKE 'P%' AND predicate IN ('has_ingredient', 'has_tradename')", "v_edges"))
+def direct_edges(spark: SparkSession, d: str) -> DataFrame:
+    e = view(spark, d, "v_edges")
+    return enrich.related_direct(e.where("subject_id like 'P%'").select(F.col("subject_id").alias("candidate_id")), e, ["has_ingredient", "has_tradename"]).select("candidate_id", "predicate", "object_id", "direct").distinct()
+
+
+@query(sql("""
+SELECT k AS gold_row, code FROM (SELECT k, unnest([CASE WHEN k % 5 = 0 THEN 'BLANK_CASE_ID' END, CASE WHEN k % 5 = 0 OR k % 7 = 0 THEN 'UNTRIMMED_CASE_ID' END, CASE WHEN k % 11 = 0 THEN 'BLANK_SOURCE_VALUE' END, CASE WHEN k % 3 = 0 THEN 'DUPLICATE_EXPECTED_ID' END, CASE WHEN k % 13 = 0 THEN 'BLANK_EXPECTED_ID' END]) AS code
+  FROM (SELECT CAST(substr(case_id, 2) AS BIGINT) AS k FROM v_gold)) WHERE code IS NOT NULL
+""", "v_gold"))
+def gold_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Gold rows, each field spoilt in another share of them."""
+    k = F.col("k")
+    g = gold(spark, d).withColumn("k", F.substring("case_id", 2, 20).cast("long"))
+    g = g.withColumn("case_id", F.when(k % 5 == 0, F.lit("  ")).when(k % 7 == 0, F.concat(F.lit(" "), "case_id")).otherwise(F.col("case_id"))).withColumn("source_value", F.when(k % 11 == 0, F.lit(" ")).otherwise(F.col("source_value")))
+    g = g.withColumn("expected_ids", F.concat(F.array(F.lit("a")), F.when(k % 3 == 0, F.array(F.lit("a"))).otherwise(F.array().cast("array<string>")), F.when(k % 13 == 0, F.array(F.lit(" "))).otherwise(F.array().cast("array<string>"))))
+    return evaluate.gold_problems(g).select(F.col("k").alias("gold_row"), F.explode("codes").alias("code"))
 
 
 def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import route
+
 
 def batch_summary(df: DataFrame) -> DataFrame:
     """status, routing_status, n."""
@@ -32,11 +37,11 @@ def usage_summary(log: DataFrame) -> DataFrame:
     return log.groupBy("provider", "operation").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("terminology_release")).alias("releases"))
 
 
-def audit_sequence(log: DataFrame) -> DataFrame:
+def audit_sequence(log: DataFrame, then: Sequence[str] = ()) -> DataFrame:
     """Rows of a run log (run_id, row_number, resource_name, terminology_release, cache_hits, network_calls) with codes: numbers that aren't contiguous from 1 in
-    their run, counters of a resource that fall, releases that change."""
-    run = Window.partitionBy("run_id").orderBy("row_number")
-    own = Window.partitionBy("run_id", "resource_name").orderBy("row_number")
+    their run, counters of a resource that fall, releases that change. then: columns that order rows of one number."""
+    run = Window.partitionBy("run_id").orderBy("row_number", *then)
+    own = Window.partitionBy("run_id", "resource_name").orderBy("row_number", *then)
     codes = F.array_compact(F.array(
         F.when(F.col("row_number") != F.coalesce(F.lag("row_number").over(run), F.lit(0)) + 1, F.lit("ROW_NUMBER_GAP")),
         F.when(F.col("cache_hits") < F.lag("cache_hits").over(own), F.lit("CACHE_HITS_FELL")), F.when(F.col("network_calls") < F.lag("network_calls").over(own), F.lit("NETWORK_CALLS_FELL")),
@@ -70,22 +75,42 @@ def audit_artifacts(df: DataFrame) -> DataFrame:
     return df.withColumn("codes", codes).where(F.size("codes") > 0).select("sau_id", "codes")
 
 
+def _codes(*tests: tuple[Column, str]) -> Column:
+    """The codes of the tests that hold; a test that is null doesn't."""
+    return F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(code)) for t, code in tests]))
+
+
 def audit_records(df: DataFrame) -> DataFrame:
-    """Batch records whose payload doesn't fit their status: a success without decision, an error or skipped row with one, an error without code."""
-    test = lambda t, code: F.when(F.coalesce(t, F.lit(False)), F.lit(code))
-    good = F.col("status") == "success"
-    codes = F.array_compact(F.array(
-        test(good & F.col("decision").isNull(), "SUCCESS_WITHOUT_DECISION"), test(~good & F.col("decision").isNotNull(), "FAILURE_WITH_DECISION"), test(good & F.col("error_code").isNotNull(), "SUCCESS_WITH_ERROR"),
-        test(~good & F.col("error_code").isNull(), "FAILURE_WITHOUT_CODE"), test((F.col("status") == "skipped") & (F.col("error_code") != "BLANK_VALUE"), "SKIPPED_NOT_BLANK"), test(good & F.col("record_id").isNull() & F.col("needs_id"), "SUCCESS_WITHOUT_ID"),
-    ))
+    """df with `codes`, where a batch record contradicts itself or its unit.
+
+    df: status, error_code, error_message, decision (null: none), raw_value, record_id, row_number, those of the unit (unit_value, unit_record_id, unit_row_number), and
+    usage, unit_usage (arrays of resource_name, provider_name, terminology_release, provider_version, mode, cache_hits, network_calls): the run's and the
+    decision's. A run's counters may not be less than those of a decision made in it; a run without usage takes the decision's.
+    """
+    good, has = F.col("status") == "success", F.col("decision").isNotNull()
+    same = lambda a, b: (a["resource_name"] == b["resource_name"]) & a["provider_name"].eqNullSafe(b["provider_name"])
+    agree = lambda a, b: a["terminology_release"].eqNullSafe(b["terminology_release"]) & a["provider_version"].eqNullSafe(b["provider_version"]) & a["mode"].eqNullSafe(b["mode"]) & (a["cache_hits"] >= b["cache_hits"]) & (a["network_calls"] >= b["network_calls"])
+    names = F.transform("usage", lambda u: u["resource_name"])
+    told = has & (F.size("usage") > 0)
+    codes = _codes(
+        (good & ~has, "SUCCESS_WITHOUT_DECISION"), (good & (F.col("error_code").isNotNull() | F.col("error_message").isNotNull()), "SUCCESS_WITH_ERROR"), (~good & has, "FAILURE_WITH_DECISION"),
+        (F.col("status").isin("error", "skipped") & (F.coalesce("error_code", F.lit("")) == ""), "FAILURE_WITHOUT_CODE"), (F.size(F.array_distinct(names)) < F.size(names), "RESOURCE_TWICE"),
+        (has & ~F.col("raw_value").eqNullSafe(F.col("unit_value")), "VALUE_DIFFERS"), (has & ~F.col("record_id").eqNullSafe(F.col("unit_record_id")), "RECORD_ID_DIFFERS"),
+        (has & F.col("unit_row_number").isNull(), "UNIT_WITHOUT_ROW_NUMBER"), (has & (F.col("unit_row_number") != F.col("row_number")), "ROW_NUMBER_DIFFERS"),
+        (told & F.exists("unit_usage", lambda b: ~F.exists("usage", lambda a: same(a, b))), "USAGE_OMITTED"),
+        (told & F.exists("unit_usage", lambda b: F.exists("usage", lambda a: same(a, b) & ~agree(a, b))), "USAGE_CONTRADICTED"),
+    )
     return df.withColumn("codes", codes).where(F.size("codes") > 0)
 
 
 def audit_reviews(reviews: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Review items without a decision that was routed to review, or with another value or reasons than it."""
-    own = decisions.select("sau_id", F.col("raw_value").alias("_value"), F.col("reasons").alias("_reasons"), F.col("routing_status").alias("_status"))
-    codes = F.array_compact(F.array(
-        F.when(F.col("_status").isNull(), F.lit("NO_DECISION")), F.when(F.col("_status") != "HUMAN_REVIEW", F.lit("NOT_ROUTED_TO_REVIEW")),
-        F.when(F.col("_value") != F.col("raw_value"), F.lit("VALUE_DIFFERS")), F.when(F.col("_reasons") != F.col("reasons"), F.lit("REASONS_DIFFER")),
-    ))
+    """sau_id and codes of review items (route.review_queue) that differ from what their decision gives: its value, decision, candidates, messages, reasons, priority."""
+    fields = {"raw_value": F.col("raw_value"), "decision": F.col("decision"), "relationship": F.col("relationship"), "considered": route.considered(), "messages": route.messages(), "reasons": F.col("reasons"), "priority": route.priority(), "routed": F.col("routing_status")}
+    own = decisions.select("sau_id", F.struct(*[c.alias(name) for name, c in fields.items()]).alias("own"))
+    differs = lambda *names: ~functools.reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"own.{n}")) for n in names])
+    there = F.col("own").isNotNull()
+    codes = _codes(
+        (~there, "NO_DECISION"), (there & (F.col("own.routed") != "HUMAN_REVIEW"), "NOT_ROUTED_TO_REVIEW"), (there & differs("raw_value"), "VALUE_DIFFERS"), (there & differs("decision", "relationship"), "DECISION_DIFFERS"),
+        (there & differs("considered"), "CANDIDATES_DIFFER"), (there & differs("messages"), "MESSAGES_DIFFER"), (there & differs("reasons"), "REASONS_DIFFER"), (there & differs("priority"), "PRIORITY_DIFFERS"),
+    )
     return reviews.join(own, "sau_id", "left").withColumn("codes", codes).where(F.size("codes") > 0).select("sau_id", "codes")
