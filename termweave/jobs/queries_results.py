@@ -204,11 +204,41 @@ def canonical_decisions(spark: SparkSession, d: str) -> DataFrame:
     return route.decide(routed(spark, d)).select("sau_id", "decision", "relationship", F.array_join("selected.label", "|").alias("labels"), F.array_join("selected.status", "|").alias("statuses"))
 
 
-@query()
+@query("SELECT '' AS code, 0 AS n WHERE false")
 def artifact_audit(spark: SparkSession, d: str) -> DataFrame:
+    """The alignment's own decisions contradict themselves nowhere."""
     from .queries_align import exact_decisions
 
-    return audit.audit_artifacts(exact_decisions(spark, d).where("status = 'success'")).select(F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    found = audit.audit_artifacts(exact_decisions(spark, d).where("status = 'success'")).select(F.explode("codes").alias("code"))
+    return found.groupBy("code").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@query(_verdict_sql("""
+, a AS (SELECT *, CAST(substr(sau_id, 5) AS BIGINT) AS k, verdict = 'REJECTED' AS rejected, array_to_string(list_sort(list_distinct(ids)), '|') AS chosen FROM t),
+b AS (SELECT *, CASE WHEN rejected AND k % 7 = 0 THEN 'MAPPED' WHEN rejected THEN 'ABSTAINED' ELSE decision END AS d, CASE WHEN rejected AND k % 11 = 0 THEN 'AUTO_ACCEPT' ELSE routing_status END AS r, k % 3 = 0 AS cleared FROM a)
+SELECT sau_id, unnest(list_filter([CASE WHEN k % 19 = 0 THEN 'BAD_SAU_ID' END, CASE WHEN k % 23 = 0 THEN 'BAD_MAPPING_KEY' END, CASE WHEN rejected AND cleared THEN 'REJECTED_WITHOUT_ERROR' END, CASE WHEN rejected AND d <> 'ABSTAINED' THEN 'REJECTED_NOT_ABSTAINED' END,
+  CASE WHEN rejected AND r <> 'HUMAN_REVIEW' THEN 'REJECTED_NOT_REVIEWED' END, CASE WHEN rejected AND k % 13 = 0 THEN 'REJECTED_WITH_LOSSES' END, CASE WHEN rejected AND d = 'MAPPED' THEN 'MAPPED_CARDINALITY' END, CASE WHEN k % 5 = 0 THEN 'NO_REASON' END,
+  CASE WHEN rejected AND r = 'AUTO_ACCEPT' AND NOT cleared THEN 'ACCEPTED_WITH_FINDINGS' END, CASE WHEN rejected AND r = 'AUTO_ACCEPT' AND asked THEN 'ACCEPTED_AGAINST_REVIEW' END, CASE WHEN rejected AND r = 'AUTO_ACCEPT' AND d = 'ABSTAINED' THEN 'ACCEPTED_EMPTY' END,
+  CASE WHEN verdict = 'VALID_WITH_SEMANTIC_LOSS' AND k % 17 = 0 THEN 'LOSS_VERDICT_WITHOUT_LOSS' END, CASE WHEN cleared AND errors > 0 THEN 'FEATURE_ERRORS' END, CASE WHEN cleared AND warnings > 0 THEN 'FEATURE_WARNINGS' END,
+  CASE WHEN NOT rejected AND k % 29 = 0 AND selected_ids <> '' THEN 'LABEL_NOT_CANONICAL' END], lambda x: x IS NOT NULL)) AS code FROM b
+"""))
+def decision_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions of the proposals, each field spoilt in another share of them."""
+    put = align.store(spark)
+    rows = put(route.decide(routed(spark, d)), "routed")
+    k, bad = F.substring("sau_id", 5, 20).cast("long"), F.col("verdict") == "REJECTED"
+    hit = lambda n: k % n == 0
+    hexed = F.upper(F.md5(F.col("sau_id").cast("binary")))
+    label = lambda c: c.withField("label", F.lit("wrong"))
+    loss = F.array(F.struct(F.lit("route").alias("kind"), F.lit("").alias("description"), F.lit(None).cast("string").alias("source_value")))
+    rows = rows.withColumns({
+        "known_as": F.col("sau_id"), "sau_id": F.when(hit(19), F.lit("SAU-1")).otherwise(F.concat(F.lit("SAU-"), hexed)), "mapping_key": F.when(hit(23), F.lit("x")).otherwise(F.concat(F.lit("MAP-"), hexed)),
+        "findings": F.when(hit(3), F.array().cast(rows.schema["findings"].dataType)).otherwise(F.col("findings")), "decision": F.when(bad & hit(7), F.lit("MAPPED")).otherwise(F.col("decision")),
+        "routing_status": F.when(bad & hit(11), F.lit("AUTO_ACCEPT")).otherwise(F.col("routing_status")), "losses": F.when(bad & hit(13), loss).when((F.col("verdict") == "VALID_WITH_SEMANTIC_LOSS") & hit(17), F.array().cast(rows.schema["losses"].dataType)).otherwise(F.col("losses")),
+        "reasons": F.when(hit(5), F.array().cast("array<string>")).otherwise(F.col("reasons")), "selected": F.when(~bad & hit(29), F.transform("selected", label)).otherwise(F.col("selected")),
+    })
+    found = audit.audit_artifacts(put(rows, "spoilt"), ["known_as"])
+    return found.select(F.col("known_as").alias("sau_id"), F.explode("codes").alias("code"))
 
 
 def gold(spark: SparkSession, d: str) -> DataFrame:

@@ -50,8 +50,8 @@ def audit_sequence(log: DataFrame, then: Sequence[str] = ()) -> DataFrame:
     return log.withColumn("codes", codes).where(F.size("codes") > 0)
 
 
-def audit_artifacts(df: DataFrame) -> DataFrame:
-    """sau_id and codes of stored decisions that contradict themselves. df: the alignment's columns."""
+def audit_artifacts(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """sau_id, codes (and columns to keep) of stored decisions that contradict themselves. df: the alignment's columns."""
     test = lambda t, code: F.when(F.coalesce(t, F.lit(False)), F.lit(code))
     ids = F.transform("selected", lambda c: c["concept_id"])
     severe = lambda s: F.exists("findings", lambda f: f["severity"] == s)
@@ -72,7 +72,7 @@ def audit_artifacts(df: DataFrame) -> DataFrame:
         test(F.col("features.validator_error_count") != F.size(F.filter("findings", lambda f: f["severity"] == "error")), "FEATURE_ERRORS"), test(F.col("features.validator_warning_count") != F.size(F.filter("findings", lambda f: f["severity"] == "warning")), "FEATURE_WARNINGS"),
         test(F.exists("selected", lambda c: ~c["label"].eqNullSafe(F.coalesce(F.col("evidence")[c["concept_id"]]["label"], c["label"]))), "LABEL_NOT_CANONICAL"),
     ))
-    return df.withColumn("codes", codes).where(F.size("codes") > 0).select("sau_id", "codes")
+    return df.withColumn("codes", codes).where(F.size("codes") > 0).select("sau_id", "codes", *keep)
 
 
 def _codes(*tests: tuple[Column, str]) -> Column:
