@@ -149,7 +149,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, threshold: f
     """The pairs x, y of text ids whose texts are alike, as edges a, b."""
     spark = pairs.sparkSession
     pairs = common.stored(spark, pairs.distinct(), "minhash-pairs")
-    own = _texts(pairs.select(F.col("x").alias("text_id")).union(pairs.select("y")).distinct(), docs, firsts)
+    # stored, so that the joins are of plain tables and a leader's many pairs are dealt over many tasks
+    own = common.stored(spark, _texts(pairs.select(F.col("x").alias("text_id")).union(pairs.select("y")).distinct(), docs, firsts), "minhash-pair-texts")
     joined = pairs.join(own.withColumnsRenamed({"text_id": "x", "text": "text_x"}), "x").join(own.withColumnsRenamed({"text_id": "y", "text": "text_y"}), "y")
     alike = similarity(joined.select("x", "y", "text_x", "text_y")).where(F.col("jaccard") >= threshold)
     return common.stored(spark, alike.select(F.col("x").alias("a"), F.col("y").alias("b"), "jaccard"), "minhash-links")
