@@ -78,3 +78,15 @@ def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"columns missing: {missing}; there are {df.columns}")
+
+
+#: DuckDB: the table of CRC-32, and the checksum of a text of ASCII characters by it.
+CRC_TABLE_SQL = """crc_table AS (
+  SELECT list(v ORDER BY n) AS t FROM (
+    SELECT n, list_reduce(list_prepend(n::BIGINT, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS v FROM range(256) r(n)))"""
+
+
+def crc_sql(text: str) -> str:
+    """SQL over crc_table, null for null."""
+    codes = f"list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT)"

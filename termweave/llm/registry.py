@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, fingerprint_iblt, langid, minhash, mixing, packing, pii, ppm, quality_gam, quality_mcd, warc
+from . import common, fingerprint_iblt, langid, licenses, merkle, minhash, mixing, packing, pii, ppm, quality_gam, quality_mcd, repair, warc
 
 
 def tokenizer_path() -> str:
@@ -60,6 +60,18 @@ def op10_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damaged_audits(table(spark, sf_dir, "conversations"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_gam": op1_quality_gam,
     "op2_fingerprint_iblt": op2_fingerprint_iblt,
@@ -71,8 +83,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_histogram_packing": op8_histogram_packing,
     "op9_pii_disclosure": op9_pii_disclosure,
     "op10_warc_chain": op10_warc_chain,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_license_diagonals": op13_license_diagonals,
 }
 ORACLES: dict[str, str] = {
     "op6_poisson_mixing": mixing.REPLICATE_SQL,
     "op10_warc_chain": warc.ROUND_TRIP_SQL,
+    "op11_conversation_repair": repair.AUDITS_SQL,
+    "op12_merkle_manifest": merkle.MANIFEST_SQL,
 }

@@ -95,9 +95,10 @@ def _hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(value, starts) + size.astype(np.uint64))
 
 
-def words(t: Texts, hashed: bool = True) -> Pieces:
+def words(t: Texts, hashed: bool = True, space: np.ndarray = SPACE) -> Pieces:
+    """Runs of bytes that aren't `space`."""
     data, n = t.data, len(t.data)
-    inside = ~SPACE[data]
+    inside = ~space[data]
     cut = np.zeros(n + 1, bool)
     cut[t.at] = True
     before = np.zeros(n, bool)
