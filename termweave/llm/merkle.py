@@ -30,6 +30,8 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Blocks of 4,096 leaves: a block's open witnesses are at most 1.6 MB.
 LEVELS = 12
 RANGE_ROWS = 1_000_000
+#: Blocks, ranges or languages up to this many (each of some 500 bytes at most) are broadcast to their leaves.
+BROADCAST_ROWS = 100_000
 #: Every id whose checksum this divides is tampered with.
 TAMPERED = 7
 
@@ -53,6 +55,12 @@ def leaves(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", own.alias("own"), F.unhex(leaf()).alias("leaf"), F.when(hit, F.unhex(leaf(more))).alias("tampered"))
 
 
+def _beside(df: DataFrame, name: str) -> DataFrame:
+    """df stored, to be joined: broadcast if it has BROADCAST_ROWS rows at most, else shuffled."""
+    kept = common.stored(df.sparkSession, df, name)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
+
 def numbered(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """rows with place (from 0 within their key, in order of the columns named, nulls first) and total (rows of the key)."""
     spark = rows.sparkSession
@@ -77,7 +85,7 @@ def numbered(rows: DataFrame, key: str, *order: str) -> DataFrame:
     sizes = kept.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(key).orderBy("_range")
     sizes = sizes.select(key, "_range", (F.sum("n").over(before) - F.col("n")).alias("_first"), F.sum("n").over(Window.partitionBy(key)).alias("total"))
-    return kept.join(sizes, [key, "_range"]).withColumn("place", F.col("_first") + F.col("_k")).drop("_first", "_k", "_range")
+    return kept.join(_beside(sizes, "merkle-sizes"), [key, "_range"]).withColumn("place", F.col("_first") + F.col("_k")).drop("_first", "_k", "_range")
 
 
 def levels(total: int) -> int:
@@ -173,7 +181,7 @@ def _tree(rows: DataFrame, height: int) -> tuple[DataFrame, DataFrame]:
         return found.drop("block"), roots.select("own", "node")
     upper, tops = _tree(more, height)
     up = upper.select("own", F.col("place").alias("block"), F.col("witness").alias("_up"))
-    found = found.join(up, ["own", "block"], "left").withColumn("witness", F.concat("witness", F.coalesce("_up", F.lit(b""))))
+    found = found.join(_beside(up, "merkle-blocks"), ["own", "block"], "left").withColumn("witness", F.concat("witness", F.coalesce("_up", F.lit(b""))))
     return found.drop("block", "_up"), lone.select("own", "node").unionByName(tops)
 
 
@@ -187,7 +195,7 @@ def manifest(docs: DataFrame, height: int = LEVELS) -> DataFrame:
     upper, roots = _tree(tops, height)
     upper = upper.join(roots.select("own", F.col("node").alias("root")), "own")
     upper = upper.select(F.col("of").alias("own"), F.col("place").alias("lang_place"), F.col("total").alias("langs"), F.col("node").alias("subroot"), F.col("witness").alias("_up"), "root")
-    whole = found.join(upper, "own").select(
+    whole = found.join(_beside(upper, "merkle-languages"), "own").select(
         "doc_id", "leaf", F.coalesce("tampered", "leaf").alias("told"), "place", "total", "lang_place", "langs", "subroot", "root", F.concat("witness", "_up").alias("witness")
     )
 
