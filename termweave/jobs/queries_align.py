@@ -60,7 +60,7 @@ def exact_hits(spark: SparkSession, d: str) -> DataFrame:
 def approx_hits(spark: SparkSession, d: str) -> DataFrame:
     t = terminology(spark, d)
     unmet = values(spark, d).join(retrieve.exact_hits(values(spark, d), t.names).select("unit_key"), "unit_key", "left_anti")
-    return retrieve.approx_hits(unmet, t.names, P).select("unit_key", "concept_id", "name", F.round("score", 6).alias("score"), "hit_rank")
+    return retrieve.approx_hits(unmet, t.names, P, put=align.store(spark)).select("unit_key", "concept_id", "name", F.round("score", 6).alias("score"), "hit_rank")
 
 
 @query(sql(f"""
@@ -73,7 +73,7 @@ f AS (SELECT v.unit_key, h.concept_id, arg_min(s.name, (s.place, h.name)) AS que
 SELECT unit_key, 'spelling_suggestion' AS channel, query, concept_id, name, CAST(90.0 AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY unit_key ORDER BY place, concept_id) AS INTEGER) AS hit_rank FROM f
 """, "v_concepts", "v_mentions"))
 def spelling_hits(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.spelling_hits(values(spark, d), terminology(spark, d).names)
+    return retrieve.spelling_hits(values(spark, d), terminology(spark, d).names, align.store(spark))
 
 
 @query(sql("WITH " + _EXACT.format(where="WHERE n.status = 'active'") + ", old AS (SELECT DISTINCT v.reported AS unit_key FROM v_mentions v WHERE trim(v.reported) <> '') SELECT unit_key FROM old WHERE unit_key NOT IN (SELECT unit_key FROM hits)", "v_concepts", "v_mentions"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -17,8 +16,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions import text, vocab
 from ..profile import Profile
 
-#: Distinct values and distinct names that are compared with each other at once.
-UNIT_BLOCK, NAME_BLOCK = 200, 2_000
+#: Names that are compared with a value at once.
+NAME_BLOCK = 2_000
+#: Names of a key that meet a value in one task at most, or so.
+HOT_NAMES = 10_000
+#: Sizes of names, in character runs, are classed by powers of this.
+GRADE = 1.2
 SUGGESTIONS, CORROBORATION = 3, 0.5
 NAME_SIDE_ROWS = 200_000
 
@@ -61,18 +64,76 @@ def exact_hits(units: DataFrame, names: DataFrame, channel: str = "normalized_lo
     return _ranked(hits.withColumns({"channel": F.lit(channel), "score": F.lit(100.0)}), F.col("concept_id")).select("unit_key", "channel", "query", "concept_id", "name", "score", "hit_rank")
 
 
-def _blocked(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """The rows (distinct in key) as structs in arrays, of `size` or so in one."""
-    n = max(1, -(-rows.count() // size))
-    return rows.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias("block")).agg(F.collect_list(F.struct(*rows.columns)).alias("rows")).select("rows")
+def _grams(own: Column) -> Column:
+    """The runs of three characters of a normal form with a space on either side."""
+    return F.regexp_extract_all(F.concat(F.lit(" "), own, F.lit(" ")), F.lit("(?s)(?=(.{3}))"), F.lit(1))
 
 
-def _crossed(units: DataFrame, names: DataFrame) -> DataFrame:
-    """values, names: each block of distinct normal values with each block of names (`own`, and what is carried)."""
-    values = units.select(text.normalize_text(F.col("value")).alias("own")).where("own <> ''").distinct()
-    left, right = _blocked(values, "own", UNIT_BLOCK), _blocked(names, "own", NAME_BLOCK)
-    crossed = left.withColumnRenamed("rows", "values").crossJoin(right.withColumnRenamed("rows", "names"))
-    return crossed.repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _least(share: float, of: Column) -> Column:
+    """The least whole number that is such a share."""
+    return F.ceil(of * F.lit(share) - F.lit(1e-9)).cast("int")
+
+
+def _ordered(rows: DataFrame, parts: str, often: DataFrame, kept: Column) -> DataFrame:
+    """own, key, n (names that have it), place (from 0) and before (the keys of lower places): the first `kept` of the array `parts`, those first that
+    fewest names have."""
+    split = rows.select("own", kept.alias("_kept"), F.explode(parts).alias("part")).join(often, "part", "left")
+    order = split.groupBy("own").agg(F.first("_kept").alias("_kept"), F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "part"))).alias("parts"))
+    first = order.select("own", F.slice("parts", F.lit(1), F.col("_kept")).alias("first"))
+    first = first.select("own", "first", F.posexplode("first").alias("place", "x"))
+    return first.select("own", F.col("x.part").alias("key"), "x.n", "place", F.slice("first.part", F.lit(1), F.col("place")).alias("before"))
+
+
+def _met(asked: DataFrame, names: DataFrame, *keys: str) -> DataFrame:
+    """The join of two tables with n by keys. Keys of many names are split: each name has one part of such a key, each value all."""
+    tasks = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = F.ceil(F.greatest(F.col("n"), F.lit(1)) / HOT_NAMES).cast("int")
+    left = asked.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n").repartition(tasks, *keys, "part")
+    right = names.withColumn("part", F.pmod(F.xxhash64("name"), parts).cast("int")).drop("n").repartition(tasks, *keys, "part")
+    return left.join(right, [*keys, "part"])
+
+
+def _often(rows: DataFrame, parts: str) -> DataFrame:
+    return rows.select(F.explode(parts).alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+Put = Callable[[DataFrame, str], DataFrame]
+
+
+def _as_it_is(df: DataFrame, name: str) -> DataFrame:
+    return df
+
+
+def alike(values: DataFrame, names: DataFrame, p: Profile, put: Put = _as_it_is) -> DataFrame:
+    """own, name, overlap: the pairs of distinct normal forms (values and names: own) that are alike, each once, at the first key that both have.
+
+    Alike are a value and a name that has a share of its tokens of `approximate_overlap` or more, or whose character runs are as many of both's as
+    `approximate_runs`. Of a set's parts in any one order, those that can miss from the shared ones are fewer than the first size - needed + 1, so
+    pairs that are alike meet in these. Rarest ones come first, and what follows the place of a meeting in both orders bounds what they can share.
+    """
+    hashed = lambda c: F.array_distinct(F.transform(c, lambda x: F.xxhash64(x)))
+    tokens = lambda df: df.select("own", hashed(text.tokenize(F.col("own"))).alias("tokens"), hashed(_grams(F.col("own"))).alias("runs"))
+    left, right = put(tokens(values), "alike-values"), put(tokens(names), "alike-names")
+    share, half = p.approximate_runs, p.approximate_overlap
+    t, g = F.size("tokens"), F.size("runs")
+    often = put(_often(right, "tokens"), "alike-words")
+    words = _ordered(left.where(t > 0), "tokens", often, t - _least(half, t) + 1).join(left.select("own", "tokens"), "own")
+    other = right.select(F.col("own").alias("name"), F.explode("tokens").alias("key"), F.col("tokens").alias("others")).join(often.withColumnRenamed("part", "key"), "key")
+    overlap = F.size(F.array_intersect("tokens", "others")) / F.size("tokens")
+    by_words = _met(words, other, "key").where(~F.arrays_overlap("before", "others")).withColumn("overlap", overlap).where(F.col("overlap") >= half - 1e-9).select("own", "name", "overlap")
+    often = put(_often(right, "runs"), "alike-often")
+    runs = _ordered(left, "runs", often, g - _least(share, g) + 1).join(left, "own").withColumn("size", g)
+    other = _ordered(right, "runs", often, g - _least(share, g) + 1).join(right, "own").select(F.col("own").alias("name"), "key", "n", F.col("place").alias("at"), F.col("before").alias("other_before"), F.col("tokens").alias("others"), F.col("runs").alias("other_runs"), g.alias("other_size"))
+    a, b = F.col("size"), F.col("other_size")
+    # sets meet by a class of the name's size too: the larger the name, the fewer of the value's runs can miss
+    grade = lambda c: F.floor(F.log(c) / F.log(F.lit(GRADE)) + 1e-9).cast("int")
+    runs = runs.withColumn("class", F.explode(F.sequence(grade(F.greatest(F.lit(1), share * a)), grade(a / share))))
+    runs = runs.where(a - F.col("place") >= (share / (1 + share)) * (a + F.pow(F.lit(GRADE), "class")) - 1e-6)
+    other = other.withColumn("class", grade(b))
+    fits = (b >= share * a - 1e-9) & (a >= share * b - 1e-9) & (F.least(a - F.col("place"), b - F.col("at")) >= (share / (1 + share)) * (a + b) - 1e-9)
+    met = _met(runs, other, "key", "class").where(fits).where(~F.arrays_overlap("before", "other_before")).withColumn("both", F.size(F.array_intersect("runs", "other_runs"))).where(F.col("both") >= share * (a + b - F.col("both")) - 1e-9)
+    by_runs = met.select("own", "name", F.when(F.size("tokens") > 0, overlap).otherwise(F.lit(0.0)).alias("overlap")).where(F.col("overlap") < half - 1e-9)
+    return by_words.unionByName(by_runs)
 
 
 _HASHED = 64
@@ -99,10 +160,10 @@ def _coded(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
     return alphabet, out
 
 
-def _matched(own: str, alphabet: dict[str, int], coded: np.ndarray, table: np.ndarray) -> np.ndarray:
+def _matched(own: str, alphabet: dict[str, int], coded: np.ndarray, names: list[str]) -> np.ndarray:
     """At most so many characters of each text can match own's in order: the longest common subsequence, bit by bit, where own fits a word."""
     if len(own) > 64:
-        return _common(own, table)
+        return _common(own, _characters(names))
     masks = np.zeros(len(alphabet) + 1, np.uint64)
     for i, c in enumerate(own):
         if c in alphabet:
@@ -115,22 +176,15 @@ def _matched(own: str, alphabet: dict[str, int], coded: np.ndarray, table: np.nd
     return len(own) - np.bitwise_count(row).astype(np.int64)
 
 
-def _tokens(x: str) -> set[str]:
-    return {w for w in re.findall("[a-z0-9]+", x) if len(w) >= 2}
-
-
-def _best(own: str, names: list[str], concepts: list[list[tuple]], matched: np.ndarray, sizes: np.ndarray, index: dict[str, list[int]], k: int) -> list[tuple]:
-    """score, concept_id, name of the k best concepts of a block. Names come by the most that their similarity can be; once that is less than what k
-    concepts have, no other name counts."""
-    overlap, tokens = np.zeros(len(names)), _tokens(own)
-    for w in tokens:
-        overlap[index.get(w, [])] += 1
-    overlap /= max(1, len(tokens))
+def _best(own: str, names: list[str], overlap: np.ndarray, concepts: list[list[str]], k: int, found: dict) -> dict:
+    """The k best concepts (to score and name) of those found before and of these names, which come by the most that their similarity can be; once that is
+    less than what k concepts have, no other name counts."""
+    sizes = np.array([len(x) for x in names])
+    matched = _matched(own, *_coded(names), names)
     most = np.maximum(overlap, 2.0 * matched / (len(own) + sizes))
-    found: dict = {}
-    least = 0.0
+    least = min(x[0] for x in found.values()) if len(found) >= k else 0.0
     for i in np.argsort(-most, kind="stable").tolist():
-        if most[i] < least or most[i] <= 0:
+        if most[i] < least:
             break
         b, score = names[i], float(overlap[i])
         if own == b:
@@ -139,76 +193,112 @@ def _best(own: str, names: list[str], concepts: list[list[tuple]], matched: np.n
             score = max(score, SequenceMatcher(None, own, b).ratio())
         if score <= 0 or score < least:
             continue
-        for concept, name in concepts[i]:
-            found[concept] = max(found.get(concept, (0.0, "")), (score, name))
-        if len(found) >= k and score >= least:
-            kept = sorted(found.items(), key=lambda x: (-x[1][0], x[0]))[:k]
-            found, least = dict(kept), kept[-1][1][0]
-    return [(score, concept, name) for concept, (score, name) in found.items()]
+        for concept in concepts[i]:
+            found[concept] = max(found.get(concept, (0.0, "")), (score, b))
+        if len(found) >= k:
+            found = dict(sorted(found.items(), key=lambda x: (-x[1][0], x[0]))[:k])
+            least = min(x[0] for x in found.values())
+    return found
 
 
-def approx_hits(units: DataFrame, names: DataFrame, p: Profile, current: bool = True) -> DataFrame:
-    """The best concepts of each unit by similarity to any of all names; score 100 x similarity (above 0), one hit for a concept.
+def approx_hits(units: DataFrame, names: DataFrame, p: Profile, current: bool = True, put: Put = _as_it_is) -> DataFrame:
+    """The best concepts of each unit by similarity to any of the names that are alike (see `alike`); score 100 x similarity, one hit for a concept.
 
-    Similarity is one of normal forms, so distinct ones are compared, in blocks, and of a name's concepts the first k by id, as no other can be among
-    a unit's first k. Each block gives its k best; the best of these are the best of all."""
+    Distinct normal forms meet, and of a name's concepts the first k by id, as no other can be among a unit's first k. A value's names stream through its
+    task in runs of NAME_BLOCK, of which the k best concepts stay."""
     k = p.maximum_candidates
+    kind = names.schema["concept_id"].dataType
     own = (names.where("is_current") if current else names).select("concept_id", "name", text.normalize_text(F.col("name")).alias("own")).where("own <> ''")
     own = own.groupBy("own", "concept_id").agg(F.max("name").alias("name"))
-    own = own.withColumn("place", F.row_number().over(Window.partitionBy("own").orderBy("concept_id"))).where(F.col("place") <= k)
-    own = own.groupBy("own").agg(F.collect_list(F.struct("concept_id", "name")).alias("concepts"))
-    schema = T.StructType([T.StructField("own", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("concept_id", names.schema["concept_id"].dataType), T.StructField("name", T.StringType())])
-    kinds = [("own", pa.string()), ("score", pa.float64()), ("concept_id", to_arrow_type(names.schema["concept_id"].dataType)), ("name", pa.string())]
+    few = own.withColumn("place", F.row_number().over(Window.partitionBy("own").orderBy("concept_id"))).where(F.col("place") <= k)
+    forms = put(few.groupBy(F.col("own").alias("name")).agg(F.sort_array(F.collect_list("concept_id")).alias("concepts")), "approx-names")
+    asked = put(units.select("unit_key", F.col("value").alias("query"), text.normalize_text(F.col("value")).alias("own")).where("own <> ''"), "approx-values")
+    pairs = alike(asked.select("own").distinct(), forms.select(F.col("name").alias("own")), p, put).join(forms, "name")
+    schema = T.StructType([T.StructField("own", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("concept_id", kind), T.StructField("form", T.StringType())])
+    kinds = [("own", pa.string()), ("score", pa.float64()), ("concept_id", to_arrow_type(kind)), ("form", pa.string())]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for values, block in zip(b.column(0), b.column(1), strict=True):
-                rows = block.as_py()
-                texts = [r["own"] for r in rows]
-                concepts = [[(c["concept_id"], c["name"]) for c in r["concepts"]] for r in rows]
-                table, (alphabet, coded), sizes = _characters(texts), _coded(texts), np.array([len(x) for x in texts])
-                index: dict[str, list[int]] = {}
-                for i, x in enumerate(texts):
-                    for w in _tokens(x):
-                        index.setdefault(w, []).append(i)
-                out = [(v["own"], *x) for v in values.as_py() for x in _best(v["own"], texts, concepts, _matched(v["own"], alphabet, coded, table), sizes, index, k)]
-                columns = list(zip(*out, strict=True)) or [()] * len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
-
-    found = _crossed(units, own).mapInArrow(compare, schema)
-    best = found.groupBy("own", "concept_id").agg(F.max(F.struct("score", "name")).alias("m"))
-    best = best.withColumn("place", F.row_number().over(Window.partitionBy("own").orderBy(F.desc("m.score"), "concept_id"))).where(F.col("place") <= k)
-    channel = "terminology_approximate_current" if current else vocab.HISTORICAL
-    asked = units.select("unit_key", F.col("value").alias("query"), text.normalize_text(F.col("value")).alias("own"))
-    hits = asked.join(best, "own").select("unit_key", F.lit(channel).alias("channel"), "query", "concept_id", "m.name", (100 * F.col("m.score")).alias("score"))
-    return _ranked(hits, F.desc("score"), F.col("concept_id")).where(F.col("hit_rank") <= k)
+        value, found, held, last = None, {}, [], None
 
+        def out() -> pa.RecordBatch:
+            rows = [(value, score, concept, form) for concept, (score, form) in found.items()]
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
 
-def suggestions(units: DataFrame, names: DataFrame, count: int = SUGGESTIONS) -> DataFrame:
-    """unit_key, suggestion, place: the nearest of all names by edit distance, not further than a third of the value."""
-    own = names.select(text.normalize_text(F.col("name")).alias("own")).where("own <> ''").distinct()
+        def best() -> dict:
+            return _best(value, [x[0] for x in held], np.array([x[1] for x in held]), [x[2] for x in held], k, found) if held else found
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for values, block in zip(b.column(0), b.column(1), strict=True):
-                texts = [r["own"] for r in block.as_py()]
-                table, sizes = _characters(texts), np.array([len(x) for x in texts])
-                for v in values.as_py():
-                    # each edit makes up for one character at most that the longer text has and the other lacks
-                    at = np.flatnonzero((np.maximum(sizes, len(v["own"])) - _common(v["own"], table)) * 3 <= len(v["own"]))
-                    yield pa.RecordBatch.from_arrays([pa.array([v["own"]] * len(at), pa.string()), pa.array([texts[i] for i in at], pa.string())], names=["own", "name"])
-
-    pairs = _crossed(units, own).mapInArrow(near, "own string, name string")
-    pairs = pairs.withColumn("distance", F.levenshtein("own", "name")).where((F.col("distance") > 0) & (F.col("distance") * 3 <= F.length("own")))
-    order = Window.partitionBy("own").orderBy("distance", "name")
-    nearest = pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= count)
-    asked = units.select("unit_key", text.normalize_text(F.col("value")).alias("own"))
-    return asked.join(nearest, "own").select("unit_key", F.col("name").alias("suggestion"), "place", "distance")
-
-
-def spelling_hits(units: DataFrame, names: DataFrame) -> DataFrame:
+            for v, name, overlap, concepts in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if v != value:
+                    if value is not None:
+                        found = best()
+                        yield out()
+                    value, found, held, last = v, {}, [], None
+                if name != last:
+                    held.append((name, overlap, concepts))
+                    last = name
+                if len(held) >= NAME_BLOCK:
+                    found, held = best(), []
+        if value is not None:
+            found = best()
+            yield out()
+
+    near = pairs.select("own", "name", "overlap", "concepts").repartition("own").sortWithinPartitions("own", "name").mapInArrow(compare, schema)
+    channel = "terminology_approximate_current" if current else vocab.HISTORICAL
+    shown = own.select(F.col("own").alias("form"), "concept_id", "name")
+    hits = asked.join(near.join(shown, ["form", "concept_id"]), "own").select("unit_key", F.lit(channel).alias("channel"), "query", "concept_id", "name", (100 * F.col("score")).alias("score"))
+    return _ranked(hits, F.desc("score"), F.col("concept_id"))
+
+
+def _segments(names: DataFrame, edits: int) -> DataFrame:
+    """name, long, segment, piece: each name cut into edits + 1 pieces, as even as can be."""
+    cut = names.withColumn("long", F.length("name")).where(F.col("long") > edits).withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(edits))))
+    first, after = F.floor(F.col("segment") * F.col("long") / (edits + 1)), F.floor((F.col("segment") + 1) * F.col("long") / (edits + 1))
+    return cut.select("name", "long", "segment", F.substring("name", (first + 1).cast("int"), (after - first).cast("int")).alias("piece"))
+
+
+def _within(values: DataFrame, names: DataFrame, edits: int) -> DataFrame:
+    """own, name, distance of the pairs of distinct values (own) and names that so many edits or fewer part.
+
+    Of edits + 1 pieces of a name one stands in the value as it is. The edits before it and after it are too many unless it stands near its own
+    place, counted from both ends, so a value looks for pieces of the names of each length at few places."""
+    size, n = F.length("own"), F.lit(edits + 1)
+    asked = values.withColumn("size", size).withColumn("long", F.explode(F.sequence(F.greatest(size - edits, n), size + edits))).withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(edits))))
+    first, after = F.floor(F.col("segment") * F.col("long") / n).cast("int"), F.floor((F.col("segment") + 1) * F.col("long") / n).cast("int")
+    off, left = F.col("size") - F.col("long"), edits - F.col("segment")
+    asked = asked.withColumns({"length": after - first, "low": F.greatest(F.lit(0), first - F.col("segment"), first + off - left), "high": F.least(F.col("size") - (after - first), first + F.col("segment"), first + off + left)})
+    asked = asked.where("low <= high").withColumn("at", F.explode(F.sequence("low", "high"))).select("own", "long", "segment", F.expr("substring(own, at + 1, length)").alias("piece"))
+    met = asked.join(_segments(names, edits), ["long", "segment", "piece"]).select("own", "name").distinct()
+    return met.withColumn("distance", F.levenshtein("own", "name", edits)).where("distance >= 0")
+
+
+def suggestions(units: DataFrame, names: DataFrame, count: int = SUGGESTIONS, put: Put = _as_it_is) -> DataFrame:
+    """unit_key, suggestion, place, distance: the nearest of all names by edit distance, not further than a third of the value.
+
+    Distances of 1, 2, 4 and so on are searched until a value has `count` names or a third of its length is reached: the nearest are among them."""
+    asked = put(units.select("unit_key", text.normalize_text(F.col("value")).alias("own")).where("own <> ''"), "spelling-values")
+    own = put(names.select(text.normalize_text(F.col("name")).alias("name")).where("name <> ''").distinct(), "spelling-names")
+    most = F.floor(F.length("own") / 3)
+    rest, found, edits = put(asked.select("own").distinct().where(F.length("own") >= 3), "spelling-rest"), None, 1
+    longest = rest.agg(F.max(most)).head()[0] or 0
+    while True:
+        near = _within(rest, own, min(edits, max(1, longest))).where((F.col("distance") > 0) & (F.col("distance") <= most))
+        place = F.row_number().over(Window.partitionBy("own").orderBy("distance", "name"))
+        near = put(near.withColumn("place", place).where(F.col("place") <= count), "spelling-near")
+        done = near.where(F.col("place") == count).select("own")
+        last = rest.join(done, "own", "left_anti").where(most > edits)
+        last = put(last, "spelling-rest") if edits < longest else None
+        kept = near if last is None else near.join(last, "own", "left_anti")
+        found = kept if found is None else found.unionByName(kept)
+        if last is None or last.isEmpty():
+            return asked.join(found, "own").select("unit_key", F.col("name").alias("suggestion"), "place", "distance")
+        rest, edits = last, 2 * edits
+
+
+def spelling_hits(units: DataFrame, names: DataFrame, put: Put = _as_it_is) -> DataFrame:
     """Exact hits of suggested spellings; the query is the suggestion, the score 90."""
-    told = suggestions(units, names.where("is_current"))
+    told = put(suggestions(units, names.where("is_current"), put=put), "spelling-told")
     hits = exact_hits(told.select(F.col("suggestion").alias("unit_key"), F.col("suggestion").alias("value")).distinct(), names.where("is_current"))
     joined = told.join(hits.select(F.col("unit_key").alias("suggestion"), "concept_id", "name"), "suggestion")
     first = joined.groupBy("unit_key", "concept_id").agg(F.min_by(F.struct("suggestion", "name", "place"), F.struct("place", "name")).alias("m"))
@@ -222,7 +312,7 @@ def _first_similarity(units: DataFrame, hits: DataFrame) -> DataFrame:
     return units.join(first, "unit_key").select("unit_key", text.lexical_similarity(F.col("value"), F.col("name")).alias("similarity"))
 
 
-def retrieve(units: DataFrame, t: Terminology, p: Profile, stored: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def retrieve(units: DataFrame, t: Terminology, p: Profile, stored: Put) -> DataFrame:
     """All channels' hits of units (unit_key, value). Exact first; approximate without an exact hit or if the first one is unlike the value; spelling if
     the first approximate one is unlike it or nothing was found; historical names only for units with no hit at all. stored: cuts lineage."""
     names = t.names.where("is_current")
@@ -230,14 +320,14 @@ def retrieve(units: DataFrame, t: Terminology, p: Profile, stored: Callable[[Dat
     exact = stored(exact_hits(units, names), "exact") if p.exact_lookup else none
     sure = _first_similarity(units, exact).where(F.col("similarity") >= CORROBORATION).select("unit_key")
     rest = stored(units.join(sure, "unit_key", "left_anti"), "rest")
-    approx = stored(approx_hits(rest, t.names, p), "approx") if p.approximate_match else none
+    approx = stored(approx_hits(rest, t.names, p, put=stored), "approx") if p.approximate_match else none
     like = _first_similarity(rest, approx).where(F.col("similarity") >= CORROBORATION).select("unit_key")
-    spelling = stored(spelling_hits(rest.join(like, "unit_key", "left_anti"), t.names), "spelling")
+    spelling = stored(spelling_hits(rest.join(like, "unit_key", "left_anti"), t.names, stored), "spelling")
     found = exact.unionByName(approx).unionByName(spelling)
     if not p.historical:
         return found
     unmet = units.join(found.select("unit_key").distinct(), "unit_key", "left_anti")
-    return found.unionByName(approx_hits(unmet, t.names, p, current=False))
+    return found.unionByName(approx_hits(unmet, t.names, p, current=False, put=stored))
 
 
 def lookup(found: DataFrame, concepts: DataFrame, history: DataFrame | None = None) -> DataFrame:

@@ -27,6 +27,8 @@ class Profile:
     enrichment_batch: int = 3
     exact_lookup: bool = True
     approximate_match: bool = True
+    approximate_overlap: float = 0.6
+    approximate_runs: float = 0.4
     historical: bool = True
     require_active: bool = True
     preserve_combination_ingredients: bool = True

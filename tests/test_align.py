@@ -76,6 +76,14 @@ def test_approximate_finds_what_all_pairs_find(spark, terms):
         assert top[x].lower() == max(names, key=lambda n: SequenceMatcher(None, x, n.lower()).ratio()).lower()
 
 
+def alike(a, b):
+    """Whether a value's normal form and a name's are alike by the profile."""
+    words = lambda x: {w for w in re.findall("[a-z0-9]+", x) if len(w) > 1}
+    runs = lambda x: {f" {x} "[i : i + 3] for i in range(len(x))}
+    both = len(runs(a) & runs(b))
+    return (bool(words(a)) and len(words(a) & words(b)) >= P.approximate_overlap * len(words(a)) - 1e-9) or both >= P.approximate_runs * (len(runs(a)) + len(runs(b)) - both) - 1e-9
+
+
 def test_approximate_and_spelling_equal_all_pairs_of_the_fixtures(spark):
     from difflib import SequenceMatcher
 
@@ -108,7 +116,8 @@ def test_approximate_and_spelling_equal_all_pairs_of_the_fixtures(spark):
         like = {n: max(SequenceMatcher(None, a, n).ratio(), len(tokens(a) & tokens(n)) / max(1, len(tokens(a)))) for n in known}
         best = {}
         for concept, name, n in names:
-            best[concept] = max(best.get(concept, (0.0, "")), (like[n], name))
+            if alike(a, n):
+                best[concept] = max(best.get(concept, (0.0, "")), (like[n], name))
         first = sorted(((-s, c, name) for c, (s, name) in best.items() if s > 0))[: P.maximum_candidates]
         assert sorted(got.get(v, [])) == [(i + 1, c, name, round(-100 * s, 9)) for i, (s, c, name) in enumerate(first)]
         near = sorted((e, n) for n in known if abs(len(a) - len(n)) * 3 <= len(a) and 0 < (e := edits(a, n)) and e * 3 <= len(a))[:3]
@@ -155,9 +164,12 @@ def test_approximate_hits_are_those_of_all_pairs(spark):
     names = queries_align.terminology(spark, d).names.where("is_current")
     asked = queries_align.QUERIES["unmet_values"](spark, d).distinct().where("xxhash64(unit_key) % 8 = 0").withColumn("value", F.col("unit_key"))
     pairs = asked.crossJoin(names.select("concept_id", "name")).withColumn("score", 100 * text.lexical_similarity(F.col("value"), F.col("name")))
-    want = {}
-    for r in pairs.groupBy("unit_key", "concept_id").agg(F.max("score").alias("score")).where("score > 0").collect():
-        want.setdefault(r["unit_key"], []).append((-r["score"], r["concept_id"]))
+    want, best = {}, {}
+    for r in pairs.collect():
+        if alike(" ".join(r["value"].split()).casefold(), " ".join(r["name"].split()).casefold()):
+            best[r["unit_key"], r["concept_id"]] = max(best.get((r["unit_key"], r["concept_id"]), 0), r["score"])
+    for (unit, concept), score in best.items():
+        want.setdefault(unit, []).append((-score, concept))
     got = {}
     for r in retrieve.approx_hits(asked, names, P).collect():
         got.setdefault(r["unit_key"], []).append((r["hit_rank"], -r["score"], r["concept_id"]))
