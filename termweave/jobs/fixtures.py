@@ -111,7 +111,9 @@ SELECT event_id AS line_no, CASE WHEN event_id % 50 = 0 THEN '{bad' WHEN event_i
 SELECT concat('R', CAST(user_id AS STRING)) AS run_id,
        row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) + CASE WHEN event_id % 211 = 0 THEN 1 ELSE 0 END AS row_number,
        event_type AS resource_name, CASE WHEN event_id % 173 = 0 THEN '2025' ELSE '2024' END AS terminology_release,
-       CASE WHEN event_id % 97 = 0 THEN 0 ELSE event_id END AS cache_hits, event_id % 3 AS network_calls, ts AS accessed_at
+       CASE WHEN event_id % 97 = 0 THEN 0 ELSE event_id END AS cache_hits, event_id % 3 AS network_calls, ts AS accessed_at,
+       CASE WHEN event_id % 163 = 0 THEN 'Mirror' WHEN event_id % 7 = 0 THEN 'web ' ELSE 'Web' END AS provider_name, CASE WHEN event_id % 181 = 0 THEN 'v2' ELSE 'v1' END AS provider_version,
+       CASE WHEN event_id % 191 = 0 THEN CAST(NULL AS STRING) ELSE 'a1' END AS api_version, CASE WHEN event_id % 199 = 0 THEN 'replay' ELSE 'live' END AS mode
 FROM events
 """,
     "v_response_log": """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from ..operators import audit, enrich, evaluate, route, validate
 from ..operators.adjudicate import concept
 from ..profile import Profile
 from ..sources import batch
+from ..sources.split_csv import read_csv
 from . import align
 from .fixtures import sql, view
 
@@ -329,9 +331,22 @@ def release_drift(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.compare_runs(old, new).select("case_id", F.array_join("old_ids", "|").alias("old_ids"), F.array_join("new_ids", "|").alias("new_ids"))
 
 
-@query(sql("SELECT resource_name, CAST(sum(cache_hits) AS BIGINT) AS cache_hits, CAST(sum(network_calls) AS BIGINT) AS network_calls, max(accessed_at) AS accessed_at, CASE WHEN count(DISTINCT terminology_release) > 1 THEN 'terminology_release' ELSE '' END AS conflicts FROM v_usage GROUP BY 1", "v_usage"))
+_MERGED = ("provider_name", "provider_version", "terminology_release", "api_version", "mode")
+
+
+@query(sql("SELECT resource_name, CAST(sum(cache_hits) AS BIGINT) AS cache_hits, CAST(sum(network_calls) AS BIGINT) AS network_calls, max(accessed_at) AS accessed_at, array_to_string(list_filter([" + ", ".join(f"CASE WHEN count(DISTINCT coalesce({c}, '-')) > 1 THEN '{c}' END" for c in _MERGED) + "], lambda x: x IS NOT NULL), '|') AS conflicts FROM v_usage GROUP BY 1", "v_usage"))
 def usage_merge(spark: SparkSession, d: str) -> DataFrame:
-    return audit.merge_usage(view(spark, d, "v_usage"), ["terminology_release"]).withColumn("conflicts", F.array_join("conflicts", "|"))
+    return audit.merge_usage(view(spark, d, "v_usage"), _MERGED).withColumn("conflicts", F.array_join("conflicts", "|"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, length(text) AS n_chars, sha256(text) AS text_sha256 FROM (SELECT doc_id, lang, nullif(text, '') AS text FROM documents)")
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with quotes, separators and line breaks, written as CSV and read back in splits."""
+    path = f"{align.shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "text")
+    docs.write.csv(path, header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    rows = read_csv(spark, path, put=align.store(spark))
+    return rows.select("doc_id", "lang", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
 @query(sql("SELECT provider, operation, count(*) AS n, coalesce(string_agg(DISTINCT terminology_release, '|' ORDER BY terminology_release), '') AS releases FROM v_response_log GROUP BY 1, 2", "v_response_log"))
@@ -340,12 +355,16 @@ def usage_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(sql("""
-WITH u AS (SELECT *, lag(row_number) OVER (PARTITION BY run_id ORDER BY row_number, accessed_at) AS n0, lag(cache_hits) OVER own AS h0, lag(network_calls) OVER own AS c0, lag(terminology_release) OVER own AS r0 FROM v_usage WINDOW own AS (PARTITION BY run_id, resource_name ORDER BY row_number, accessed_at)),
-c AS (SELECT run_id, unnest([CASE WHEN row_number <> coalesce(n0, 0) + 1 THEN 'ROW_NUMBER_GAP' END, CASE WHEN cache_hits < h0 THEN 'CACHE_HITS_FELL' END, CASE WHEN network_calls < c0 THEN 'NETWORK_CALLS_FELL' END, CASE WHEN terminology_release <> r0 THEN 'RELEASE_CHANGED' END]) AS code FROM u)
+WITH k AS (SELECT *, lower(trim(provider_name)) AS p FROM v_usage),
+u AS (SELECT *, lag(row_number) OVER (PARTITION BY run_id ORDER BY row_number, accessed_at) AS n0, lag(cache_hits) OVER own AS h0, lag(network_calls) OVER own AS c0, lag(terminology_release) OVER own AS r0, lag(provider_version) OVER own AS v0,
+  lag(api_version) OVER own AS a0, lag(mode) OVER own AS m0, lag(true) OVER own AS any0 FROM k WINDOW own AS (PARTITION BY run_id, resource_name, p ORDER BY row_number, accessed_at)),
+c AS (SELECT run_id, unnest([CASE WHEN row_number <> coalesce(n0, 0) + 1 THEN 'ROW_NUMBER_GAP' END, CASE WHEN cache_hits < h0 THEN 'CACHE_HITS_FELL' END, CASE WHEN network_calls < c0 THEN 'NETWORK_CALLS_FELL' END,
+  CASE WHEN any0 AND terminology_release IS DISTINCT FROM r0 THEN 'RELEASE_CHANGED' END, CASE WHEN any0 AND provider_version IS DISTINCT FROM v0 THEN 'PROVIDER_VERSION_CHANGED' END, CASE WHEN any0 AND api_version IS DISTINCT FROM a0 THEN 'API_CHANGED' END,
+  CASE WHEN any0 AND mode IS DISTINCT FROM m0 THEN 'MODE_CHANGED' END]) AS code FROM u)
 SELECT run_id, code, count(*) AS n FROM c WHERE code IS NOT NULL GROUP BY 1, 2
 """, "v_usage"))
 def sequence_audit(spark: SparkSession, d: str) -> DataFrame:
-    found = audit.audit_sequence(view(spark, d, "v_usage"), ["accessed_at"])
+    found = audit.audit_sequence(view(spark, d, "v_usage"), align.store(spark), ["accessed_at"])
     return found.select("run_id", F.explode("codes").alias("code")).groupBy("run_id", "code").agg(F.count(F.lit(1)).alias("n"))
 
 

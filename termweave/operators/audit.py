@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,17 +37,43 @@ def usage_summary(log: DataFrame) -> DataFrame:
     return log.groupBy("provider", "operation").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("terminology_release")).alias("releases"))
 
 
-def audit_sequence(log: DataFrame, then: Sequence[str] = ()) -> DataFrame:
-    """Rows of a run log (run_id, row_number, resource_name, terminology_release, cache_hits, network_calls) with codes: numbers that aren't contiguous from 1 in
-    their run, counters of a resource that fall, releases that change. then: columns that order rows of one number."""
-    run = Window.partitionBy("run_id").orderBy("row_number", *then)
-    own = Window.partitionBy("run_id", "resource_name").orderBy("row_number", *then)
-    codes = F.array_compact(F.array(
-        F.when(F.col("row_number") != F.coalesce(F.lag("row_number").over(run), F.lit(0)) + 1, F.lit("ROW_NUMBER_GAP")),
-        F.when(F.col("cache_hits") < F.lag("cache_hits").over(own), F.lit("CACHE_HITS_FELL")), F.when(F.col("network_calls") < F.lag("network_calls").over(own), F.lit("NETWORK_CALLS_FELL")),
-        F.when(~F.col("terminology_release").eqNullSafe(F.coalesce(F.lag("terminology_release").over(own), F.col("terminology_release"))), F.lit("RELEASE_CHANGED")),
-    ))
-    return log.withColumn("codes", codes).where(F.size("codes") > 0)
+#: Rows of a run log that are audited in one task, or so.
+RANGE_ROWS = 100_000
+#: What must stay as it is within a resource, and the code if it doesn't.
+IDENTITY = {"provider_version": "PROVIDER_VERSION_CHANGED", "terminology_release": "RELEASE_CHANGED", "api_version": "API_CHANGED", "mode": "MODE_CHANGED"}
+
+
+def audit_sequence(log: DataFrame, put: Callable[[DataFrame, str], DataFrame], then: Sequence[str] = ()) -> DataFrame:
+    """Rows of a run log (run_id, row_number, resource_name, cache_hits, network_calls and what there is of provider_name and IDENTITY) with codes: numbers
+    that aren't contiguous from 1 in their run; counters of a resource (of a provider) that fall, identities that change. then: columns that order rows of one number.
+
+    A segmented scan: ranges of (run_id, row_number) are audited by themselves, each with its predecessors' last states, which are merged in order of
+    ranges. So the rows of one run are spread over tasks. put: writes a table, as ranges must be cut once.
+    """
+    about = [c for c in ("cache_hits", "network_calls", *IDENTITY) if c in log.columns]
+    owner = [c for c in ("resource_name", "provider_name") if c in log.columns]
+    keys = [F.lower(F.trim(F.col(c))) for c in owner]
+    rows = log.withColumns({"_number": F.col("row_number").cast("long"), "_owner": F.to_json(F.array(*keys)), "_now": F.struct(*about), "_then": F.struct("row_number", *then)})
+    ranges = max(int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RANGE_ROWS))
+    rows = put(rows.repartitionByRange(ranges, "run_id", "_then").withColumn("_range", F.spark_partition_id()), "sequence")
+    order = lambda *by: Window.partitionBy(*by).orderBy("_then")
+
+    def carried(by: list[str], value: str, name: str) -> DataFrame:
+        """What the last of the ranges before ended with, for each range and key."""
+        last = rows.groupBy(*by, "_range").agg(F.max_by(F.struct(value), "_then").alias("_last"))
+        return last.withColumn(name, F.lag("_last").over(Window.partitionBy(*by).orderBy("_range"))).drop("_last")
+
+    numbers, states = carried(["run_id"], "_number", "_number_before"), carried(["run_id", "_owner"], "_now", "_state_before")
+    rows = rows.withColumn("_n", F.lag(F.struct("_number")).over(order("run_id", "_range"))).withColumn("_s", F.lag(F.struct("_now")).over(order("run_id", "_range", "_owner")))
+    same = lambda other, *by: [F.col(f"rows.{c}").eqNullSafe(F.col(f"{other}.{c}")) for c in by]
+    joined = rows.alias("rows").join(numbers.alias("numbers"), functools.reduce(Column.__and__, same("numbers", "run_id", "_range")), "left")
+    joined = joined.join(states.alias("states"), functools.reduce(Column.__and__, same("states", "run_id", "_range", "_owner")), "left")
+    before, state = F.coalesce("_n", "_number_before")["_number"], F.coalesce("_s", "_state_before")["_now"]
+    changed = [F.when(F.coalesce("_s", "_state_before").isNotNull() & ~state[c].eqNullSafe(F.col("_now")[c]), F.lit(code)) for c, code in IDENTITY.items() if c in about]
+    fell = [F.when(F.col("_now")[c] < state[c], F.lit(f"{c.upper()}_FELL")) for c in ("cache_hits", "network_calls")]
+    gap = F.when(F.col("_number") != F.coalesce(before, F.lit(0)) + 1, F.lit("ROW_NUMBER_GAP"))
+    codes = F.array_compact(F.array(gap, *fell, *changed))
+    return joined.select(*[F.col(f"rows.{c}") for c in log.columns], codes.alias("codes")).where(F.size("codes") > 0)
 
 
 def audit_artifacts(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
