@@ -95,6 +95,14 @@ SELECT concat('SAU-', CAST(p_partkey AS STRING)) AS sau_id,
        CASE WHEN p_partkey % 9 = 0 THEN '' WHEN p_partkey % 9 = 1 THEN 'strength|strength' ELSE 'strength|dose_form|salt_form|brand_identity' END AS loss_kinds,
        p_partkey % 20 = 0 AS requested_human_review
 FROM part
+""",
+    "v_remaps": """
+SELECT p_partkey AS k, concat('R', CAST(p_partkey AS STRING)) AS concept_id,
+       CASE WHEN p_partkey % 60 = 4 THEN concat('R', CAST(p_partkey - 3 AS STRING)) WHEN p_partkey % 6 = 0 THEN CAST(NULL AS STRING) ELSE concat('R', CAST(p_partkey + 1 AS STRING)) END AS target,
+       CASE WHEN p_partkey % 11 = 0 AND p_partkey % 6 <> 0 THEN concat('X', CAST(p_partkey AS STRING)) ELSE CAST(NULL AS STRING) END AS other,
+       p_partkey % 13 <> 0 AS known, CASE WHEN p_partkey % 7 = 0 THEN 'obsolete' WHEN p_partkey % 6 = 0 THEN 'active' ELSE 'unknown' END AS status,
+       CASE p_partkey % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'obsolete' ELSE 'active' END AS claimed
+FROM part
 """,
     "v_requests": """
 SELECT c_custkey AS request_id, 'structured_field' AS source_type,

@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, enrich, evaluate, route, validate
+from ..operators import audit, enrich, evaluate, retrieve, route, validate
 from ..operators.adjudicate import concept
 from ..profile import Profile
-from ..sources import batch
+from ..sources import adapters, batch
 from ..sources.split_csv import read_csv
 from . import align
 from .fixtures import sql, view
@@ -339,6 +339,22 @@ def usage_merge(spark: SparkSession, d: str) -> DataFrame:
     return audit.merge_usage(view(spark, d, "v_usage"), _MERGED).withColumn("conflicts", F.array_join("conflicts", "|"))
 
 
+@query("""
+SELECT c_custkey AS request, 'structured_record' AS source_type, CAST(c_custkey AS VARCHAR) AS id, c_name AS value, 'segment=' || c_mktsegment AS context FROM customer
+UNION ALL SELECT c_custkey, 'structured_batch', CAST(i AS VARCHAR), CASE i WHEN 1 THEN c_name ELSE c_mktsegment END, NULL FROM customer, (VALUES (1), (2)) AS v(i)
+UNION ALL SELECT c_custkey, 'structured_field', NULL, c_name, NULL FROM customer
+""")
+def adapted_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as lines of three shapes, each read by its adapter."""
+    rows = spark.read.parquet(f"{d}/customer.parquet").withColumn("request", F.col("c_custkey"))
+    told = lambda df, *c: df.select("request", *[x.alias(n) for n, x in zip(("source_type", "id", "value", "context"), c, strict=True)])
+    none = F.lit(None).cast("string")
+    records = adapters.adapt(rows.withColumn("line", F.concat(F.lit("segment="), "c_mktsegment", F.lit(";value="), "c_name", F.lit(";id="), F.col("c_custkey").cast("string"))), "structured_record", "line", ["request"])
+    lists = adapters.adapt(rows.withColumn("line", F.concat_ws("|", "c_name", "c_mktsegment")), "structured_batch", "line", ["request"])
+    fields = adapters.adapt(rows, "structured_field", "c_name", ["request"])
+    return told(records, F.lit("structured_record"), F.col("id"), F.col("value"), F.col("context")).unionByName(told(lists, F.lit("structured_batch"), F.col("batch_index"), F.col("value"), none)).unionByName(told(fields, F.lit("structured_field"), none, F.col("value"), none))
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, length(text) AS n_chars, sha256(text) AS text_sha256 FROM (SELECT doc_id, lang, nullif(text, '') AS text FROM documents)")
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Texts with quotes, separators and line breaks, written as CSV and read back in splits."""
@@ -349,6 +365,46 @@ def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "lang", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
+_REMAPS = """
+WITH RECURSIVE edges AS (SELECT concept_id AS a, target AS b FROM v_remaps WHERE target IS NOT NULL UNION SELECT concept_id, other FROM v_remaps WHERE other IS NOT NULL),
+reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
+loops AS (SELECT DISTINCT r.a FROM reach r JOIN reach o ON o.a = r.b AND o.b = r.b),
+ends AS (SELECT r.a, string_agg(r.b, '|' ORDER BY r.b) AS current FROM reach r WHERE r.b NOT IN (SELECT a FROM edges) GROUP BY 1),
+resolved AS (SELECT e.a AS concept_id, coalesce(n.current, '') AS current, l.a IS NOT NULL AS cyclic FROM (SELECT DISTINCT a FROM edges) e LEFT JOIN ends n ON n.a = e.a LEFT JOIN loops l ON l.a = e.a)
+"""
+
+
+def _remaps(spark: SparkSession, d: str) -> DataFrame:
+    own = view(spark, d, "v_remaps").withColumn("remapped_to", F.array_compact(F.array("target", "other")))
+    return own.join(retrieve.resolve_remaps(own, align.store(spark)), "concept_id", "left")
+
+
+@query(sql(_REMAPS + "SELECT * FROM resolved", "v_remaps"))
+def remap_chains(spark: SparkSession, d: str) -> DataFrame:
+    return _remaps(spark, d).where("cyclic is not null").select("concept_id", F.array_join("current", "|").alias("current"), "cyclic")
+
+
+_LOOKUPS = {
+    "UNKNOWN_IDENTIFIER": ("NOT known", "error"), "CONCEPT_REMAPPED": ("known AND current <> ''", "warning"), "STATUS_VERIFIED_ACTIVE": ("known AND status = 'active'", "info"), "STATUS_NOT_VERIFIED": ("seen = 'unknown'", "warning"),
+    "UNSUPPORTED_STATUS_CLAIM": ("claimed <> 'unknown' AND seen = 'unknown'", "error"), "CONCEPT_STATUS_MISMATCH": ("claimed <> 'unknown' AND seen <> 'unknown' AND claimed <> seen", "error"), "INACTIVE_CONCEPT": ("seen = 'obsolete'", "error"),
+}
+
+
+@query(sql(_REMAPS + ", m AS (SELECT v.*, coalesce(r.current, '') AS current, CASE WHEN known THEN status ELSE 'unknown' END AS seen FROM v_remaps v LEFT JOIN resolved r USING (concept_id)) " + " UNION ALL ".join(f"SELECT concept_id, '{c}' AS code, '{s}' AS severity FROM m WHERE {t}" for c, (t, s) in _LOOKUPS.items()), "v_remaps"))
+def findings_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Concepts of unknown status, each the one selection of a proposal, after their lookup in the history."""
+    rows = _remaps(spark, d)
+    own = concept(F.col("concept_id"), F.col("concept_id"), F.lit(P.target_terminology), F.lit("IN"), F.col("claimed"), F.lit("EXACT"))
+    evidence = F.struct(F.col("concept_id").alias("label"), F.lit("IN").alias("concept_class"), F.lit("unknown").alias("status"), F.lit(True).alias("direct"), F.lit(P.target_terminology).alias("vocabulary"), F.array("concept_id").alias("sources"), F.array().cast("array<string>").alias("predicates"))
+    answer = F.struct(F.col("known").alias("exists"), F.when(F.col("known"), F.col("status")).otherwise(F.lit("unknown")).alias("status"), F.coalesce("current", F.array().cast("array<string>")).alias("remapped_to"))
+    rows = rows.select(
+        "concept_id", F.lit("MAPPED").alias("decision"), F.lit("EXACT").alias("relationship"), F.array(own).alias("selected"), own.alias("analysis_level"), own.alias("source_level"),
+        F.create_map(F.col("concept_id"), evidence).alias("_evidence_of"), F.create_map(F.col("concept_id"), answer).alias("verified"), F.lit(False).alias("requested_review"),
+    ).withColumnRenamed("_evidence_of", "evidence")
+    found = validate.lookup_findings(rows, P).select("concept_id", F.explode("findings").alias("f"))
+    return found.select("concept_id", "f.code", "f.severity").distinct()
+
+
 @query(sql("SELECT provider, operation, count(*) AS n, coalesce(string_agg(DISTINCT terminology_release, '|' ORDER BY terminology_release), '') AS releases FROM v_response_log GROUP BY 1, 2", "v_response_log"))
 def usage_summary(spark: SparkSession, d: str) -> DataFrame:
     return audit.usage_summary(view(spark, d, "v_response_log")).withColumn("releases", F.array_join("releases", "|"))

@@ -131,6 +131,12 @@ def evidence_rules(p: Profile, verify: bool) -> Column:
     return F.flatten(F.transform("occurrences", rules))
 
 
+def lookup_findings(df: DataFrame, p: Profile) -> DataFrame:
+    """df (selected, analysis_level, source_level, evidence, verified, decision, ...) with `findings` of J-4 and J-5 alone, after the lookup of concepts of unknown status."""
+    rows = df.withColumn("occurrences", _occurrences()).withColumn("role_errors", F.array().cast("array<string>"))
+    return rows.withColumn("findings", F.array_distinct(evidence_rules(p, True))).drop("occurrences", "role_errors")
+
+
 def source_targets(p: Profile) -> Column:
     """Ids that the source-level candidate's own edges reach at the profile's granularity."""
     predicate = vocab.GRANULARITY[p.granularity or ""][0]
