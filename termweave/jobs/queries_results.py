@@ -339,6 +339,27 @@ def usage_merge(spark: SparkSession, d: str) -> DataFrame:
     return audit.merge_usage(view(spark, d, "v_usage"), _MERGED).withColumn("conflicts", F.array_join("conflicts", "|"))
 
 
+@query(sql("""
+WITH m AS (SELECT concat(CAST(l_orderkey AS VARCHAR), '|', CAST(l_linenumber AS VARCHAR)) AS record_id, l_orderkey AS k FROM v_mentions),
+c AS (SELECT record_id, array_to_string(list_filter([CASE WHEN k % 17 = 0 THEN 'NORMAL_FORM_CHANGED' END, CASE WHEN k % 17 = 0 OR k % 23 = 0 THEN 'MAPPING_KEY_MISMATCH' END, CASE WHEN k % 17 = 0 OR k % 19 = 0 OR k % 29 = 0 THEN 'SAU_ID_MISMATCH' END,
+  CASE WHEN k % 17 = 0 OR k % 19 = 0 THEN 'CONTENT_CHANGED' END], lambda x: x IS NOT NULL), '|') AS codes FROM m)
+SELECT record_id, codes FROM c WHERE codes <> ''
+""", "v_mentions"))
+def rederived_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Units of all mentions, of which some have another value, role or id of the right form than they were stored with."""
+    from .queries_align import mention_units
+
+    own, content = mention_units(spark, d), ("raw_value", "envelope", "attributes")
+    rows = align.store(spark)(own.withColumn("content_sha256", audit.content_digest(*content)), "units")
+    k = F.element_at(F.split("record_id", r"\\?\|"), 1).cast("long")
+    hexed = F.upper(F.md5(F.col("record_id").cast("binary")))
+    spoilt = rows.withColumn("k", k).withColumns({
+        "raw_value": F.when(F.col("k") % 17 == 0, F.concat("raw_value", F.lit(" x"))).otherwise(F.col("raw_value")), "envelope": F.when(F.col("k") % 19 == 0, F.col("envelope").withField("drug_role", F.lit("Q"))).otherwise(F.col("envelope")),
+        "mapping_key": F.when(F.col("k") % 23 == 0, F.concat(F.lit("MAP-"), hexed)).otherwise(F.col("mapping_key")), "sau_id": F.when(F.col("k") % 29 == 0, F.concat(F.lit("SAU-"), hexed)).otherwise(F.col("sau_id")),
+    })
+    return audit.rederived(spoilt, P, content, ["record_id"]).select("record_id", F.array_join("codes", "|").alias("codes"))
+
+
 @query("""
 SELECT c_custkey AS request, 'structured_record' AS source_type, CAST(c_custkey AS VARCHAR) AS id, c_name AS value, 'segment=' || c_mktsegment AS context FROM customer
 UNION ALL SELECT c_custkey, 'structured_batch', CAST(i AS VARCHAR), CASE i WHEN 1 THEN c_name ELSE c_mktsegment END, NULL FROM customer, (VALUES (1), (2)) AS v(i)

@@ -8,7 +8,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import route
+from ..functions import text
+from ..profile import Profile
+from . import route, units
 
 
 def batch_summary(df: DataFrame) -> DataFrame:
@@ -101,6 +103,25 @@ def audit_artifacts(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return df.withColumn("codes", codes).where(F.size("codes") > 0).select("sau_id", "codes", *keep)
 
 
+def content_digest(*columns: str) -> Column:
+    """SHA-256 of the canonical text of nested columns: fields in order of the columns, nulls kept, maps by key."""
+    kept = lambda c: F.to_json(F.struct(F.col(c)), {"ignoreNullFields": "false"})
+    return F.sha2(F.concat_ws("\n", *[kept(c) for c in columns]), 256)
+
+
+def rederived(df: DataFrame, p: Profile, content: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
+    """sau_id, codes (and columns to keep) of stored units whose ids or digest aren't what their contents give, however right they look.
+
+    df: the columns of units.build_units; content: columns whose digest was stored as content_sha256. Normal form, mapping key and unit id are derived anew, each
+    from what was derived anew before it, so a changed cell is found in all that depends on it, and a changed id in itself alone."""
+    normal = text.normalize_text(F.col("raw_value"))
+    key = units.mapping_key(normal, F.col("envelope"), F.col("attributes"), p)
+    tests = [(~normal.eqNullSafe(F.col("normalized")), "NORMAL_FORM_CHANGED"), (~key.eqNullSafe(F.col("mapping_key")), "MAPPING_KEY_MISMATCH"), (~units.sau_id(key).eqNullSafe(F.col("sau_id")), "SAU_ID_MISMATCH")]
+    if content:
+        tests.append((~content_digest(*content).eqNullSafe(F.col("content_sha256")), "CONTENT_CHANGED"))
+    return df.withColumn("codes", _codes(*tests)).where(F.size("codes") > 0).select("sau_id", "codes", *keep)
+
+
 def _codes(*tests: tuple[Column, str]) -> Column:
     """The codes of the tests that hold; a test that is null doesn't."""
     return F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(code)) for t, code in tests]))

@@ -170,6 +170,12 @@ def mapping_key(normalized: Column, envelope: Column | None, attributes: Column
     return ids.stable_id("MAP", fields)
 
 
+def sau_id(key: Column) -> Column:
+    """SAU- and 32 hex digits over all of a unit's own: record, row, value, context, attributes and mapping key."""
+    own = {"record": F.col("record_id"), "row": F.col("source_row_number").cast("string"), "value": F.col("raw_value"), "key": key, "context": F.to_json("envelope"), "attributes": F.to_json("attributes")}
+    return ids.stable_id("SAU", own)
+
+
 def build_units(df: DataFrame, value: str, id_columns: Sequence[str], context: Sequence[str], p: Profile, number: str | None = None) -> DataFrame:
     """sau_id, mapping_key, record_id, source_row_number, raw_value, normalized, envelope, attributes, readiness, status, error_code, error_message."""
     rows = classify_rows(df, value, id_columns, context)
@@ -183,5 +189,4 @@ def build_units(df: DataFrame, value: str, id_columns: Sequence[str], context: S
     )
     out = out.withColumn("readiness", assess_readiness(F.col("raw_value"), F.col("envelope"), F.col("attributes"), p))
     out = out.withColumn("mapping_key", mapping_key(F.col("normalized"), F.col("envelope"), F.col("attributes"), p))
-    sau = {"record": F.col("record_id"), "row": F.col("source_row_number").cast("string"), "value": F.col("raw_value"), "key": F.col("mapping_key"), "context": F.to_json("envelope"), "attributes": F.to_json("attributes")}
-    return out.withColumn("sau_id", ids.stable_id("SAU", sau))
+    return out.withColumn("sau_id", sau_id(F.col("mapping_key")))
