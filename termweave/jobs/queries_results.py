@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, enrich, evaluate, retrieve, route, validate
+from ..functions import text
+from ..operators import audit, enrich, evaluate, fuse, retrieve, route, validate
 from ..operators.adjudicate import concept
 from ..profile import Profile
 from ..sources import adapters, batch
@@ -308,18 +309,45 @@ def eval_report(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.report(pairs(spark, d))
 
 
-@query(sql("""
-WITH g AS (SELECT case_id, list_filter(string_split(expected_ids, '|'), lambda x: x <> '') AS want FROM v_gold),
+_RANKED = """
+WITH g AS (SELECT case_id, source_value, CAST(substr(case_id, 2) AS BIGINT) AS k, list_filter(string_split(expected_ids, '|'), lambda x: x <> '') AS want FROM v_gold),
 e AS (SELECT subject_id, list(object_id) AS objects FROM v_edges WHERE predicate <> 'may_treat' GROUP BY 1),
-r AS (SELECT len(want) > 0 AS positive, coalesce(list_has_any(list_append(coalesce(e.objects, []), 'P' || substr(case_id, 2)), want), false) AS hit FROM g LEFT JOIN e ON e.subject_id = 'P' || substr(case_id, 2))
-SELECT count(*) FILTER (positive) AS positives, count(*) FILTER (NOT positive) AS negatives, round(count(*) FILTER (positive AND hit) / count(*) FILTER (positive), 4) AS recall_at_1, round(count(*) FILTER (positive AND hit) / count(*) FILTER (positive), 4) AS recall_at_5,
-  round(count(*) FILTER (positive AND hit) / count(*) FILTER (positive), 4) AS recall_at_10, 0.0 AS rejection_specificity FROM r
-""", "v_gold", "v_edges"))
-def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
+c AS (SELECT g.case_id, j + 1 AS place, list_has_any(list_append(coalesce(e.objects, []), v.concept_id), want) AS hit FROM g, LATERAL (SELECT unnest(range(CASE WHEN k % 9 = 0 THEN 0 ELSE k % 8 END)) AS j) x
+  JOIN v_concepts v ON v.concept_id = 'P' || CAST(k + j AS VARCHAR) LEFT JOIN e ON e.subject_id = v.concept_id),
+r AS (SELECT g.*, len(want) > 0 AS positive, f.place, coalesce(f.n, 0) AS n FROM g LEFT JOIN (SELECT case_id, min(place) FILTER (hit) AS place, count(*) AS n FROM c GROUP BY 1) f USING (case_id))
+"""
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Up to seven candidates for each case, the products from its own number on; every ninth case has none."""
     from .queries_align import _selves
 
-    packed = enrich.packages(_selves(spark, d), P).select(F.regexp_replace("unit_key", "^P", "C").alias("case_id"), "candidates")
-    return evaluate.recall_at_k(gold(spark, d), packed)
+    cases = gold(spark, d).select("case_id", F.substring("case_id", 2, 20).cast("long").alias("k")).where("k % 9 <> 0 and k % 8 > 0").withColumn("j", F.explode(F.expr("sequence(0, cast(k % 8 as int) - 1)")))
+    packed = enrich.packages(_selves(spark, d), P).select("unit_key", F.col("candidates")[0].alias("one"))
+    own = cases.join(packed, F.concat(F.lit("P"), (F.col("k") + F.col("j")).cast("string")) == F.col("unit_key"))
+    return own.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("j", F.struct("one.candidate_id", "one.edges").alias("one")))).alias("all")).select("case_id", F.col("all.one").alias("candidates"))
+
+
+@query(sql(_RANKED + "SELECT count(*) FILTER (positive) AS positives, count(*) FILTER (NOT positive) AS negatives, " + ", ".join(f"round(count(*) FILTER (positive AND place <= {k}) / count(*) FILTER (positive), 4) AS recall_at_{k}" for k in (1, 5, 10)) + ", round(count(*) FILTER (NOT positive AND n = 0) / count(*) FILTER (NOT positive), 4) AS rejection_specificity FROM r", "v_gold", "v_edges", "v_concepts"))
+def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.recall_at_k(gold(spark, d), _candidates(spark, d))
+
+
+@query(sql(_RANKED + "SELECT case_id, source_value FROM r WHERE positive AND place IS NULL", "v_gold", "v_edges", "v_concepts"))
+def missed_values(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.missed_values(gold(spark, d), _candidates(spark, d))
+
+
+@query(sql("WITH r AS (SELECT *, row_number() OVER (PARTITION BY unit_key, candidate_id ORDER BY hit_rank, hit_order) AS k FROM v_hits) SELECT unit_key, candidate_id, channel, hit_rank, hit_order FROM r WHERE k = 1", "v_hits"))
+def first_hits(spark: SparkSession, d: str) -> DataFrame:
+    return fuse.first_by(view(spark, d, "v_hits"), ["unit_key", "candidate_id"], ["hit_rank", "hit_order"]).select("unit_key", "candidate_id", "channel", "hit_rank", "hit_order")
+
+
+@query("SELECT doc_id, left(CASE WHEN coalesce(w, '') <> '' THEN replace(text, w, '<redacted>') ELSE text END, 500) AS message FROM (SELECT doc_id, text, CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 7 = 0 THEN NULL ELSE split_part(text, ' ', 2) END AS w FROM documents)")
+def redacted_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as error messages that tell their second word."""
+    rows = spark.read.parquet(f"{d}/documents.parquet").withColumn("w", F.when(F.col("doc_id") % 5 == 0, F.lit("")).when(F.col("doc_id") % 7 == 0, F.lit(None)).otherwise(F.split_part("text", F.lit(" "), F.lit(2))))
+    return rows.select("doc_id", text.redact(F.col("text"), F.col("w")).alias("message"))
 
 
 @query(sql("""
