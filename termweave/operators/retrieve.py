@@ -201,6 +201,12 @@ def _best(own: str, names: list[str], overlap: np.ndarray, concepts: list[list[s
     return found
 
 
+def _none(units: DataFrame, names: DataFrame) -> DataFrame:
+    """No hits."""
+    kinds = [("channel", T.StringType()), ("query", T.StringType()), ("concept_id", names.schema["concept_id"].dataType), ("name", T.StringType()), ("score", T.DoubleType()), ("hit_rank", T.IntegerType())]
+    return units.sparkSession.createDataFrame([], T.StructType([units.schema["unit_key"], *[T.StructField(n, k) for n, k in kinds]]))
+
+
 def approx_hits(units: DataFrame, names: DataFrame, p: Profile, current: bool = True, put: Put = _as_it_is) -> DataFrame:
     """The best concepts of each unit by similarity to any of the names that are alike (see `alike`); score 100 x similarity, one hit for a concept.
 
@@ -213,6 +219,8 @@ def approx_hits(units: DataFrame, names: DataFrame, p: Profile, current: bool =
     few = own.withColumn("place", F.row_number().over(Window.partitionBy("own").orderBy("concept_id"))).where(F.col("place") <= k)
     forms = put(few.groupBy(F.col("own").alias("name")).agg(F.sort_array(F.collect_list("concept_id")).alias("concepts")), "approx-names")
     asked = put(units.select("unit_key", F.col("value").alias("query"), text.normalize_text(F.col("value")).alias("own")).where("own <> ''"), "approx-values")
+    if asked.isEmpty():
+        return _none(units, names)
     pairs = alike(asked.select("own").distinct(), forms.select(F.col("name").alias("own")), p, put).join(forms, "name")
     schema = T.StructType([T.StructField("own", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("concept_id", kind), T.StructField("form", T.StringType())])
     kinds = [("own", pa.string()), ("score", pa.float64()), ("concept_id", to_arrow_type(kind)), ("form", pa.string())]
@@ -282,6 +290,8 @@ def suggestions(units: DataFrame, names: DataFrame, count: int = SUGGESTIONS, pu
     most = F.floor(F.length("own") / 3)
     rest, found, edits = put(asked.select("own").distinct().where(F.length("own") >= 3), "spelling-rest"), None, 1
     longest = rest.agg(F.max(most)).head()[0] or 0
+    if not longest:
+        return rest.sparkSession.createDataFrame([], T.StructType([units.schema["unit_key"], *[T.StructField(n, k) for n, k in (("suggestion", T.StringType()), ("place", T.IntegerType()), ("distance", T.IntegerType()))]]))
     while True:
         near = _within(rest, own, min(edits, max(1, longest))).where((F.col("distance") > 0) & (F.col("distance") <= most))
         place = F.row_number().over(Window.partitionBy("own").orderBy("distance", "name"))
@@ -316,7 +326,7 @@ def retrieve(units: DataFrame, t: Terminology, p: Profile, stored: Put) -> DataF
     """All channels' hits of units (unit_key, value). Exact first; approximate without an exact hit or if the first one is unlike the value; spelling if
     the first approximate one is unlike it or nothing was found; historical names only for units with no hit at all. stored: cuts lineage."""
     names = t.names.where("is_current")
-    none = exact_hits(units.limit(0), names)
+    none = _none(units, names)
     exact = stored(exact_hits(units, names), "exact") if p.exact_lookup else none
     sure = _first_similarity(units, exact).where(F.col("similarity") >= CORROBORATION).select("unit_key")
     rest = stored(units.join(sure, "unit_key", "left_anti"), "rest")
