@@ -19,6 +19,7 @@ import zlib
 from array import array
 from collections.abc import Iterator, Mapping
 from itertools import chain
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,26 @@ ROWS_PER_SALT = 500_000
 #: Distinct parts of texts whose ids a task remembers.
 CACHE_PARTS = 500_000
 
+#: Characters of all parts that a task remembers.
+CACHE_CHARS = 1 << 26
+
 assert sys.byteorder == "little"
 _SPECIAL = "<|endoftext|>"
-#: The parts that the tokeniser splits a text into before it encodes each by itself. Python's classes of letters and numbers are the tokeniser's
-#: for the characters of _PLAIN; other texts are encoded whole.
-_PART = re.compile(r" ?[^\W\d_²³¹¼½¾]++|'(?:s|t|re|ve|m|ll|d)| ?[\d²³¹¼½¾]++| ?(?:[^\s\w]|_)++|\s+(?!\S)|\s+")
-_PLAIN = re.compile("[\t-\r\x20-\x7e\xa0-\u04ff]*+")
+#: Numbers that Python takes for letters, to U+FFFF; they are sought by a table of bits.
+_NUMBERS = "".join(c for c in map(chr, range(0x10000)) if category(c) in ("Nl", "No"))
+#: The parts that the tokeniser splits a text into before it encodes each by itself. Texts with a character that isn't `_agreed` are encoded whole.
+_PART = re.compile(rf" ?[^\W\d_{_NUMBERS}]++|'(?:s|t|re|ve|m|ll|d)| ?[\d{_NUMBERS}]++| ?(?:[^\s\w]|_)++|\s+(?!\S)|\s+")
+
+
+def _agreed(c: str) -> bool:
+    """Whether _PART and the tokeniser take a character for the same: not where its letters and numbers may be newer than Python's, which
+    calls them unassigned, nor where _PART takes it for another class than its own."""
+    kind = category(c)
+    seen = "S" if c.isspace() else ("N" if c.isdecimal() or c in _NUMBERS else "L") if c.isalnum() else "other"
+    own = "S" if c in "\t\n\v\f\r\x85" or kind[0] == "Z" else kind[0] if kind[0] in "LN" else "other"
+    return kind != "Cn" and seen == own
+
+
 #: What stands for the end among parts; no part has white space after a letter.
 _END = "end "
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -88,6 +103,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.known: set[str] = set()
+        self.strange: set[str] = set()
         self.clear()
 
     @classmethod
@@ -98,6 +115,16 @@ class Encoder:
 
     def clear(self) -> None:
         self.parts, self.runs = _Numbers(_END), _Runs([self.end_id])
+        self.odd, self.chars = np.zeros(1, bool), 0
+
+    def _learn(self, parts: list[str]) -> None:
+        """Ids of new parts, and which of them hold a character that isn't agreed on."""
+        new = set().union(*parts) - self.known
+        self.strange |= {c for c in new if not _agreed(c)}
+        self.known |= new
+        self.odd = np.append(self.odd, [not self.strange.isdisjoint(p) for p in parts] if self.strange else np.zeros(len(parts), bool))
+        self.chars += sum(map(len, parts))
+        self.runs.add(*self._encoded(parts))
 
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids one after another, and how many each text has."""
@@ -108,23 +135,27 @@ class Encoder:
         """Ids of all texts one after another, each with an end id, and how many each text has."""
         if not texts:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        if len(self.parts) > CACHE_PARTS:
+        if len(self.parts) > CACHE_PARTS or self.chars > CACHE_CHARS:
             self.clear()
         numbers, begins, whole = array("q"), [], []
         for k, text in enumerate(texts):
             begins.append(len(numbers))
-            if _PLAIN.fullmatch(text) and _SPECIAL not in text:
-                numbers.extend(map(self.parts.__getitem__, _PART.findall(text)))
-            else:
+            if _SPECIAL in text:
                 whole.append(k)
+            else:
+                numbers.extend(map(self.parts.__getitem__, _PART.findall(text)))
             numbers.append(0)
-        self.runs.add(*self._encoded(self.parts.taken()))
+        self._learn(self.parts.taken())
         parts = np.frombuffer(numbers, np.int64)
+        odd = np.logical_or.reduceat(self.odd[parts], np.array(begins))
+        odd[whole] = True
         ids, size = self.runs.take(parts), np.add.reduceat(self.runs.size[parts], np.array(begins))
-        if whole:
+        if odd.any():
             each = np.split(ids, np.cumsum(size)[:-1])
-            for k in whole:
-                each[k] = np.append(self._encoded([texts[k]])[0], each[k])
+            whole = np.flatnonzero(odd)
+            found, n = self._encoded([texts[k] for k in whole])
+            for k, own in zip(whole, np.split(found, np.cumsum(n)[:-1]), strict=True):
+                each[k] = np.append(own, np.uint32(self.end_id))
                 size[k] = len(each[k])
             ids = np.concatenate(each)
         return ids, size

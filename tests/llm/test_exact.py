@@ -171,6 +171,19 @@ def test_tokens_of_all_plain_characters_and_odd_spaces():
     assert all(got.tolist() == [*t.encode(x, add_special_tokens=False).ids, 0] for x, got in zip([*texts, "a <|endoftext|> b", ""], cut, strict=True))
 
 
+def test_tokens_of_any_character_equal_the_tokeniser():
+    encoder, t = packing.Encoder(BPE), Tokenizer.from_file(BPE)
+    rng = random.Random(2)
+    anything = [chr(c) for c in range(0x32000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}b1{c}2 {c}" for c in anything[k : k + 8]) for k in range(0, len(anything), 8)]
+    pools = [anything, "日本語のテキスト、。 abc12", "“curly” — it’s… 1½Ⅷ", "नमस्ते दुनिया १२३ ", "👍🏽👩‍👩‍👧 ok ", "مرحبا بالعالم ٣٤ "]
+    texts += ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randrange(40))) for _ in range(4000)]
+    ids, n = encoder.encode(texts)
+    cut = np.split(ids, np.cumsum(n)[:-1])
+    assert all(got.tolist() == [*t.encode(x, add_special_tokens=False).ids, 0] for x, got in zip(texts, cut, strict=True))
+    assert not any(map(packing._agreed, "\x1c\x1f\u0378\U00010107")) and all(map(packing._agreed, "a1½一’—👍\u3000é"))
+
+
 def test_plan_equals_best_fit_decreasing_one_by_one():
     rng = random.Random(4)
     for _ in range(30):
