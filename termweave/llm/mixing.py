@@ -7,7 +7,7 @@ counts and dealt to partitions by a hash of id and copy, then sorted by it withi
 in which no source, however large, meets in one task.
 
 Edge cases: null source is a source; null texts count no characters, and a source without characters (or with weight 0, or that `weights`
-doesn't name) gives no copies; null ids share one uniform number; repeated rows share their count; rates above PART are the
+doesn't name) gives no copies; a row without an id is drawn by its text; repeated rows share their count, and are dealt by the partition they were read in too; rates above PART are the
 sum of independent parts, so no rate underflows; an empty table gives an empty result; all columns of the input are carried, and columns of
 its own named `copy`, `copies` and `shuffle_key` are replaced.
 """
@@ -68,10 +68,10 @@ def replicate(docs: DataFrame, weights: Mapping[str | None, float] | None = None
     if table.count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
     own = [c for c in docs.columns if c.lower() not in ("copy", "copies", "shuffle_key")]
-    of, own_of, parts, cdf = common.fresh(docs, "of", "own_of", "parts", "cdf")
+    of, own_of, parts, cdf, read_in = common.fresh(docs, "of", "own_of", "parts", "cdf", "read_in")
     table = table.select(F.struct("source").alias(of), F.col("parts").alias(parts), F.col("cdf").alias(cdf))
-    rows = docs.select(*[F.col(f"`{c}`") for c in own]).withColumn(own_of, F.struct("source")).join(table, F.col(own_of).eqNullSafe(F.col(of)))
-    name, start = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(str(seed))
+    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.spark_partition_id().alias(read_in)).withColumn(own_of, F.struct("source")).join(table, F.col(own_of).eqNullSafe(F.col(of)))
+    name, start = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))), F.lit(str(seed))
 
     def drawn(j: Column) -> Column:
         u = _uniform(start, name, j.cast("string"))
@@ -80,7 +80,8 @@ def replicate(docs: DataFrame, weights: Mapping[str | None, float] | None = None
     counted = rows.withColumn("copies", F.aggregate(F.sequence(F.lit(0), F.col(parts) - 1), F.lit(0), lambda n, j: n + drawn(j)))
     key = F.md5(F.concat_ws("/", F.lit("order"), start, name, F.col("copy").cast("string")).cast("binary"))
     out = counted.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).withColumn("shuffle_key", key)
-    return out.select(*[F.col(f"`{c}`") for c in own], "copies", "copy", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    dealt = out.repartition("shuffle_key", read_in).sortWithinPartitions("shuffle_key")
+    return dealt.select(*[F.col(f"`{c}`") for c in own], "copies", "copy", "shuffle_key")
 
 
 REPLICATE_SQL = """
@@ -91,10 +92,11 @@ parts AS (SELECT source, rate, CAST(greatest(ceil(rate / 32.0), 1) AS INTEGER) A
 steps(source, parts, rate, k, p, cdf) AS (
   SELECT source, parts, rate / parts, 0, exp(-rate / parts), exp(-rate / parts) FROM parts
   UNION ALL SELECT source, parts, rate, k + 1, p * rate / (k + 1), cdf + p * rate / (k + 1) FROM steps WHERE k < ceil(rate + 12 * sqrt(rate) + 20)),
-uniform AS (SELECT doc_id, source, parts, j, (CAST(('0x' || substr(md5('17/' || coalesce(CAST(doc_id AS VARCHAR), '') || '/' || CAST(j AS VARCHAR)), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0 AS u
-  FROM (SELECT DISTINCT doc_id, d.source, p.parts, unnest(range(0, p.parts)) AS j FROM documents d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source)),
-counts AS (SELECT u.doc_id, u.source, count(*) AS copies FROM uniform u JOIN steps s ON s.source IS NOT DISTINCT FROM u.source AND s.cdf < u.u GROUP BY u.doc_id, u.source),
-copies AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(c.copies AS INTEGER) AS copies, CAST(unnest(range(0, c.copies)) AS INTEGER) AS copy
-  FROM documents d JOIN counts c ON c.doc_id IS NOT DISTINCT FROM d.doc_id AND c.source IS NOT DISTINCT FROM d.source)
-SELECT doc_id, text, lang, source, n_chars, copies, copy, md5('order/17/' || coalesce(CAST(doc_id AS VARCHAR), '') || '/' || CAST(copy AS VARCHAR)) AS shuffle_key FROM copies
+named AS (SELECT *, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS name FROM documents),
+uniform AS (SELECT name, source, parts, j, (CAST(('0x' || substr(md5('17/' || name || '/' || CAST(j AS VARCHAR)), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0 AS u
+  FROM (SELECT DISTINCT name, d.source, p.parts, unnest(range(0, p.parts)) AS j FROM named d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source)),
+counts AS (SELECT u.name, u.source, count(*) AS copies FROM uniform u JOIN steps s ON s.source IS NOT DISTINCT FROM u.source AND s.cdf < u.u GROUP BY u.name, u.source),
+copies AS (SELECT d.name, d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(c.copies AS INTEGER) AS copies, CAST(unnest(range(0, c.copies)) AS INTEGER) AS copy
+  FROM named d JOIN counts c ON c.name = d.name AND c.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, text, lang, source, n_chars, copies, copy, md5('order/17/' || name || '/' || CAST(copy AS VARCHAR)) AS shuffle_key FROM copies
 """
