@@ -7,9 +7,10 @@ Reading: Spark's text reader splits the archives at the magic that begins a reco
 in parallel and a record that crosses a split is whole. Each piece is a candidate: a task knows how many bytes of its split came before,
 sums of the splits before give the offset, and a well-formed header gives the successor's. Pointer jumping from offset 0 of each file
 doubles its stride each round and keeps the candidates that the chain of records reaches; magic inside payloads is never reached,
-and belongs to the record before it.
+and belongs to the record before it. Records of WARC/1.0 and WARC/1.1 are read, their contents as bytes of any encoding, compressed files as far as
+Spark's reader opens them by their name (each of those by one task).
 
-Edge cases: a null html is an empty payload; a null page_id is kept (an empty header field) and is never another's original unless all
+Edge cases: a file that holds something but no record at its beginning is an error that names it; a null html is an empty payload; a null page_id is kept (an empty header field) and is never another's original unless all
 ids of that payload are null; pages repeated with one id are all responses where that id is the smallest; payloads under min_bytes are
 all responses; an empty table writes an archive without records. Columns besides page_id, url and html are ignored. Records of other types
 (warcinfo, request, metadata) are links of the chain and aren't returned; a header without a type or a length is no record, so the
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 
 from . import common, textbytes
 
-MAGIC = "WARC/1.0\r\n"
+MAGIC = "WARC/1."
+#: What follows the magic where a record begins; the first is written.
+VERSIONS = ("0\r\n", "1\r\n")
 END = "\r\n\r\n"
 #: Revisits up to this many are broadcast to the pages; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
@@ -61,7 +64,7 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     rows = rows.withColumn("body", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit("")))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     header = F.concat(
-        F.lit(MAGIC),
+        F.lit(MAGIC + VERSIONS[0]),
         _header("WARC-Type", F.when(F.col("refers_to").isNull(), F.lit("response")).otherwise(F.lit("revisit"))),
         _header("WARC-Record-ID", F.concat(F.lit("<urn:page:"), text("page_id"), F.lit(">"))),
         _header("WARC-Target-URI", F.col("url")),
@@ -86,13 +89,14 @@ def _base32(hexed: Column) -> Column:
 
 
 _FIELD = re.compile(rb"([A-Za-z-]+): ?([^\r\n]*)\r\n")
+_VERSIONS = tuple(v.encode() for v in VERSIONS)
 _NUMBER = re.compile(rb"\d{1,18}")
 _PIECE = "file string, split long, before long, bytes long, head long, content long, type string, page_id string, refers_to string, payload_bytes long, digest string, whole boolean, sha1 string"
 
 
 def _piece(data: bytes) -> list:
     """head, content, type, page_id, refers_to, payload_bytes and digest as the header has them, whole, sha1 of a whole payload."""
-    head = data.find(END.encode())
+    head = data.find(END.encode()) if data.startswith(_VERSIONS) else -1
     fields = {k.lower(): v for k, v in _FIELD.findall(data[: head + 2])} if head >= 0 else {}
     kind, size = fields.get(b"warc-type", b"").decode("latin-1"), fields.get(b"content-length", b"")
     if not kind or not _NUMBER.fullmatch(size):
@@ -110,23 +114,23 @@ def pieces(spark: SparkSession, path: str, text: bool = False) -> DataFrame:
     """What follows each magic, wherever it stands: its place and its fields if it begins with a header; text: all that it holds,
     else only (as `part`) of pieces that aren't whole records by themselves."""
     raw = spark.read.option("lineSep", MAGIC).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
-    schema = f"{_PIECE}, part string"
-    kinds = [pa.string(), *[pa.int64()] * 5, *[pa.string()] * 3, pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.large_string()]
+    schema = f"{_PIECE}, part binary"
+    kinds = [pa.string(), *[pa.int64()] * 5, *[pa.string()] * 3, pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.binary()]
     names = [x.split()[0] for x in schema.split(", ")]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, before = None, 0
         for b in batches:
             out: list[list] = []
-            for value, file, split in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                data = value.as_py().encode()
+            for value, file, split in zip(b.column(0).cast(pa.binary()), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                data = value.as_py()
                 if now != (file, split):
                     now, before = (file, split), 0
                 found = _piece(data)
-                out.append([file, split, before, len(data), *found, None if found[-2] and not text else data.decode()])
+                out.append([file, split, before, len(data), *found, None if found[-2] and not text else data])
                 before += len(data) + len(MAGIC)
             columns = list(zip(*out, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(x, k).cast(pa.string()) if k == pa.large_string() else pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=names)
 
     return raw.mapInArrow(lambda b: textbytes.released(parse(b)), schema)
 
@@ -156,10 +160,13 @@ def index(spark: SparkSession, path: str) -> DataFrame:
     run = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("file", "split", F.coalesce(F.sum("size").over(run), F.lit(0)).alias("start"))
     placed = found.join(starts, ["file", "split"]).withColumn("at", F.col("start") + F.col("before") - len(MAGIC)).where("at >= 0").drop("start")
+    strange = [r["file"] for r in found.groupBy("file").agg(F.sum("bytes").alias("size")).where("size > 0").join(placed.where("at = 0 and type is not null").select("file"), "file", "left_anti").select("file").limit(5).collect()]
+    if strange:
+        raise ValueError(f"no record at the beginning of {strange}")
     links = placed.select("file", "at", (F.col("at") + len(MAGIC) + F.col("head") + F.col("content") + len(END)).alias("next"))
     chain = reachable(links).withColumn("reached", F.lit(True))
     placed = placed.join(chain, ["file", "at"], "left").withColumn("reached", F.coalesce("reached", F.lit(False)))
-    alone = placed.where("reached and whole and type in ('response', 'revisit')").select("file", "split", "before", "page_id", "refers_to", "type", "content", "payload_bytes", "head", F.when(F.col("type") == "response", F.col("sha1")).otherwise(F.col("digest")).alias("digest"), F.lit(None).cast("string").alias("payload"))
+    alone = placed.where("reached and whole and type in ('response', 'revisit')").select("file", "split", "before", "page_id", "refers_to", "type", "content", "payload_bytes", "head", F.when(F.col("type") == "response", F.col("sha1")).otherwise(F.col("digest")).alias("digest"), F.lit(None).cast("binary").alias("payload"))
     # a record that holds a magic lies in several pieces: the reached one and those up to the next reached one
     upto = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     narrow = placed.select("file", "at", F.last(F.when(F.col("reached"), F.struct("at", "whole")), ignorenulls=True).over(upto).alias("owner"))
@@ -173,20 +180,22 @@ def index(spark: SparkSession, path: str) -> DataFrame:
         F.min_by(F.struct("split", "before", "page_id", "refers_to", "type", "content", "payload_bytes", "head", "digest"), "at").alias("r"),
         F.array_sort(F.collect_list(F.struct("at", F.col("part").alias("part")))).alias("parts"),
     )
-    joined = F.encode(F.array_join(F.transform("parts", lambda x: x["part"]), MAGIC), "UTF-8")
+    joined = F.array_join(F.transform("parts", lambda x: x["part"].cast("string")), MAGIC).cast("binary")  # a cast keeps bytes of any encoding
     body = F.expr("substring(joined, cast(r.head + 1 as int), cast(r.content as int))")
-    broken = parts.withColumn("joined", joined).withColumn("body", body).select("file", "r.split", "r.before", "r.page_id", "r.refers_to", "r.type", "r.content", "r.payload_bytes", "r.head", F.when(F.col("r.type") == "response", _base32(F.sha1("body"))).otherwise(F.col("r.digest")).alias("digest"), F.decode("body", "UTF-8").alias("payload"))
+    broken = parts.withColumn("joined", joined).withColumn("body", body).select("file", "r.split", "r.before", "r.page_id", "r.refers_to", "r.type", "r.content", "r.payload_bytes", "r.head", F.when(F.col("r.type") == "response", _base32(F.sha1("body"))).otherwise(F.col("r.digest")).alias("digest"), F.col("body").alias("payload"))
     return alone.unionByName(broken.where("type in ('response', 'revisit')"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """page_id (text), type, refers_to (text; null for responses), payload (null for revisits), payload_bytes, digest of each true record."""
+    """page_id (text), type, refers_to (text; null for responses), payload (text; null for revisits and for what isn't UTF-8), content (its bytes),
+    payload_bytes, digest of each true record."""
     known = index(spark, path)
     bodies = pieces(spark, path, text=True).where("whole").select("file", "split", "before", "part")
-    own = F.expr("decode(substring(encode(part, 'UTF-8'), cast(head + 1 as int), cast(content as int)), 'UTF-8')")
+    own = F.expr("substring(part, cast(head + 1 as int), cast(content as int))")
+    body = F.when(F.col("type") == "response", F.coalesce("payload", own))
     return known.join(bodies, ["file", "split", "before"], "left").select(
         "page_id", "type", F.when(F.col("type") == "revisit", F.col("refers_to")).alias("refers_to"),
-        F.when(F.col("type") == "response", F.coalesce("payload", own)).alias("payload"), "payload_bytes", "digest",
+        F.try_validate_utf8(body.cast("string")).alias("payload"), body.alias("content"), "payload_bytes", "digest",
     )
 
 

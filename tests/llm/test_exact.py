@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -54,6 +55,24 @@ def test_next_rows_with_any_ids(spark, monkeypatch):
         assert fingerprint_iblt.with_next(rows, ["text"]).select("span").distinct().count() > 4
 
 
+def test_rows_without_ids_are_drawn_by_their_text_and_dealt_apart(spark):
+    d = docs(spark, [f"text {i:04}" for i in range(2000)], ids=[None] * 2000).repartition(4)
+    out = mixing.replicate(d, ratio=1.5)
+    counts = {r["text"]: r["count"] for r in out.groupBy("text").count().collect()}
+    for t, n in counts.items():
+        u = (int(hashlib.md5(f"{mixing.SEED}/{hashlib.md5(t.encode()).hexdigest()}/0".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        p = [math.exp(-1.5) * 1.5**k / math.factorial(k) for k in range(12)]
+        assert n == sum(sum(p[: k + 1]) < u for k in range(12))
+    assert 2700 < sum(counts.values()) < 3300
+    same = mixing.replicate(docs(spark, ["one"] * 4000, ids=[7] * 4000).repartition(8), ratio=3.0)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert same.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert same.columns == [*d.columns, "copies", "copy", "shuffle_key"]
+
+
 def test_mixture_counts_follow_rates(spark):
     d = docs(spark, ["x" * 10] * 3000, "big").union(docs(spark, ["y" * 10] * 200, "small", ids=range(5000, 5200))).union(docs(spark, ["z", None], None, ids=[9000, None]))
     d = d.withColumns({c: F.lit("taken") for c in ("copies", "_parts", "cdf", "_source", "of", "own_of")})
@@ -298,6 +317,23 @@ def test_records_of_other_types_are_links_of_the_chain(spark):
     assert sorted((r["page_id"], r["payload"]) for r in warc.read(spark, path).collect()) == [("1", "one"), ("4", "a WARC/1.0\r\nb")]
 
 
+def test_archives_of_both_versions_and_any_bytes(spark, tmp_path):
+    def record(version, i, body):
+        head = f"WARC/1.{version}\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {len(body)}\r\n\r\n"
+        return head.encode() + body + b"\r\n\r\n"
+
+    inner = b"\xff\xfe WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 1\r\n\r\nx\r\n\r\n \x80"
+    bodies = {1: b"\xff\xfe\x00\x80", 2: b"plain", 3: inner, 4: "é WARC/1.2\r\n WARC/1.".encode(), 5: b""}
+    (tmp_path / "a.warc").write_bytes(b"".join(record(i % 2, i, x) for i, x in bodies.items()))
+    got = {r["page_id"]: r for r in warc.read(spark, f"file://{tmp_path}/a.warc").collect()}
+    assert {int(i): bytes(r["content"]) for i, r in got.items()} == bodies
+    assert got["2"]["payload"] == "plain" and got["4"]["payload"] == bodies[4].decode() and got["1"]["payload"] is None and got["3"]["payload"] is None
+    assert all(r["digest"] == base64.b32encode(hashlib.sha1(bodies[int(i)]).digest()).decode() for i, r in got.items())
+    (tmp_path / "b.warc").write_bytes(b"no record here\r\n" + record(0, 9, b"z"))
+    with pytest.raises(ValueError, match="b.warc"):
+        warc.index(spark, f"file://{tmp_path}/b.warc")
+
+
 def test_one_id_with_two_payloads_keeps_both(spark):
     rows = [(1, "u", "same"), (2, "u", "same"), (2, "u", "own"), (0, "u", "other"), (2, "u", "other")]
     path = warc.common.scratch_path(spark, "w")
