@@ -237,6 +237,63 @@ def adjudicated(spark: SparkSession, d: str) -> DataFrame:
     return _adjudicated(spark, d).select(F.col("unit_key").alias("concept_id"), "decision", "relationship", F.array_join("selected.concept_id", "|").alias("selected_ids"), "requested_review")
 
 
+#: A number of each concept, from which its unit's state is made; the same SQL on both engines.
+_UNIT_NUMBER = "(ascii(substr(concat({0}, '____'), 2, 1)) * 31 + ascii(substr(concat({0}, '____'), 3, 1)) * 7 + ascii(substr(concat({0}, '____'), 4, 1)) * 3 + length({0}))"
+#: What a unit's state is: without context, without candidates, found by a lookup, named otherwise, alike so far.
+_UNIT_STATE = {"unready": "k % 17 = 0", "bare": "k % 19 = 0", "backed": "k % 2 = 0", "renamed": "k % 3 <> 0", "similarity": "CAST((k * 13) % 101 AS DOUBLE) / 100"}
+_GATE_PROFILES = {
+    "base": P,
+    "components_forbidden": Profile(relation_types=("EXACT", "TARGET_BROADER_THAN_SOURCE", "RELATED_NOT_EQUIVALENT", "UNSUPPORTED_MAPPING", "INSUFFICIENT_CONTEXT")),
+    "only_broader": Profile(relation_types=("TARGET_BROADER_THAN_SOURCE",)),
+    "no_granularity": Profile(granularity=None),
+}
+_GATES = "WITH " + _CHOSEN + """,
+form AS (SELECT subject_id, max(object_label) FILTER (predicate = 'has_dose_form') AS form, max(object_label) FILTER (predicate = 'has_precise_ingredient') AS precise_label, max(object_label) FILTER (predicate = 'has_tradename') AS brand FROM v_edges GROUP BY 1),
+n AS (SELECT a.*, c.preferred_label AS label, f.form, f.precise_label, f.brand, """ + _UNIT_NUMBER.format("a.concept_id") + """ AS k FROM a JOIN v_concepts c USING (concept_id) LEFT JOIN form f ON f.subject_id = a.concept_id),
+s AS (SELECT n.*, """ + ", ".join(f"{x} AS {name}" for name, x in _UNIT_STATE.items()) + """ FROM n),
+allowed AS (""" + " UNION ALL ".join(f"SELECT '{name}' AS profile, {list(p.relation_types)!r} AS relations, {str(p.granularity is not None).lower()} AS ruled" for name, p in _GATE_PROFILES.items()) + """),
+g AS (SELECT *, CASE WHEN unready THEN 'context' WHEN bare THEN 'nothing' WHEN similarity < 0.3 AND NOT backed THEN 'unlike' WHEN NOT ruled THEN 'granularity' WHEN len(targets) = 0 THEN 'unresolved' WHEN len(targets) > 1 THEN 'several' ELSE 'single' END AS gate FROM s, allowed),
+r AS (SELECT *, CASE gate WHEN 'unresolved' THEN 'RELATED_NOT_EQUIVALENT' WHEN 'several' THEN 'MULTIPLE_COMPONENTS_REQUIRED' WHEN 'single' THEN CASE WHEN targets[1] <> concept_id THEN 'TARGET_BROADER_THAN_SOURCE' WHEN NOT renamed OR backed OR similarity >= 0.85 THEN 'EXACT' ELSE 'RELATED_NOT_EQUIVALENT' END END AS relation FROM g),
+o AS (SELECT *, CASE WHEN relation IS NOT NULL AND NOT list_contains(relations, relation) THEN 'forbidden' ELSE gate END AS final FROM r)
+SELECT concept_id, profile,
+  CASE final WHEN 'context' THEN 'INSUFFICIENT_CONTEXT' WHEN 'nothing' THEN 'NO_VALID_MAPPING' WHEN 'unlike' THEN 'NO_VALID_MAPPING' WHEN 'granularity' THEN 'ABSTAINED' WHEN 'forbidden' THEN 'ABSTAINED' WHEN 'several' THEN 'MULTI_CONCEPT_MAPPED' ELSE 'MAPPED' END AS decision,
+  CASE WHEN final = 'context' THEN 'INSUFFICIENT_CONTEXT' WHEN final IN ('nothing', 'unlike', 'granularity', 'forbidden') THEN 'UNSUPPORTED_MAPPING' ELSE relation END AS relationship,
+  CASE final WHEN 'several' THEN array_to_string(list_transform(targets, lambda x: x || ' COMPONENT_OF'), '|') WHEN 'single' THEN targets[1] || ' ' || relation WHEN 'unresolved' THEN concept_id || ' RELATED_NOT_EQUIVALENT' ELSE '' END AS selected,
+  CASE WHEN final IN ('several', 'single', 'unresolved') THEN concept_id END AS source_level_id, CASE WHEN final = 'single' THEN targets[1] END AS analysis_level_id,
+  CASE WHEN final IN ('several', 'single', 'unresolved') THEN final = 'unresolved' OR status <> 'active' ELSE final NOT IN ('nothing', 'unlike') END AS requested_review,
+  CASE WHEN final = 'several' OR final = 'single' AND relation <> 'EXACT' THEN array_to_string(list_filter([
+    CASE WHEN concept_class IN ('SCD', 'SBD') THEN 'strength=' || regexp_extract(label, '[0-9]+ MG') END, CASE WHEN concept_class IN ('SCD', 'SBD') AND form IS NOT NULL THEN 'dose_form=' || form END,
+    CASE WHEN concept_class = 'PIN' THEN 'salt_form=' || label WHEN precise_label IS NOT NULL THEN 'salt_form=' || precise_label END, CASE WHEN concept_class = 'SBD' THEN 'brand_identity=' || coalesce(brand, label) END,
+    'route=oral', CASE WHEN final = 'several' THEN 'combination_component=' || label END], lambda x: x IS NOT NULL), '|') ELSE '' END AS losses
+FROM o
+"""
+
+
+@query(sql(_GATES, "v_concepts", "v_edges"))
+def adjudication_gates(spark: SparkSession, d: str) -> DataFrame:
+    """Every gate of the choice under four profiles: relations with their concepts, losses with their values."""
+    from ..functions.text import normalize_text
+
+    packed = enrich.packages(_selves(spark, d), P).withColumn("k", F.expr(_UNIT_NUMBER.format("unit_key")))
+    packed = packed.select("*", *[F.expr(x).alias(name) for name, x in _UNIT_STATE.items()])
+    label, none = F.col("candidates")[0]["label"], F.array().cast("array<string>")
+    channels = F.when(F.col("backed"), F.array(F.lit("normalized_lookup"))).otherwise(F.array(F.lit("terminology_approximate_current")))
+    rows = packed.withColumns({
+        "raw_value": label, "normalized": F.when(F.col("renamed"), F.lit("another name")).otherwise(normalize_text(label)), "route": F.lit("oral"),
+        "readiness": F.struct(F.when(F.col("unready"), F.lit("INSUFFICIENT_CONTEXT")).otherwise(F.lit("READY_FOR_MAPPING")).alias("status"), none.alias("missing_context")),
+        "candidates": F.filter(F.transform("candidates", lambda c: c.withField("channels", channels)), lambda c: ~F.col("bare")),
+    })
+    kept = align.store(spark)(rows, "gates")
+    out = None
+    for name, p in _GATE_PROFILES.items():
+        each = adjudicate.adjudicate(kept, p).select(
+            F.col("unit_key").alias("concept_id"), F.lit(name).alias("profile"), "decision", "relationship", F.array_join(F.transform("selected", lambda c: F.concat_ws(" ", c["concept_id"], c["relation"])), "|").alias("selected"),
+            F.col("source_level.concept_id").alias("source_level_id"), F.col("analysis_level.concept_id").alias("analysis_level_id"), "requested_review", F.array_join(F.transform("losses", lambda x: F.concat_ws("=", x["kind"], x["source_value"])), "|").alias("losses"),
+        )
+        out = each if out is None else out.unionByName(each)
+    return out
+
+
 @query(sql("WITH " + _CHOSEN + "SELECT concept_id, array_to_string(losses, '|') AS loss_kinds FROM l", "v_concepts", "v_edges"))
 def information_loss(spark: SparkSession, d: str) -> DataFrame:
     return _adjudicated(spark, d).select(F.col("unit_key").alias("concept_id"), F.array_join("losses.kind", "|").alias("loss_kinds"))

@@ -454,6 +454,35 @@ def findings_lookup(spark: SparkSession, d: str) -> DataFrame:
     return found.select("concept_id", "f.code", "f.severity").distinct()
 
 
+_LOSSES = "WITH " + _PROPOSALS + """,
+e AS (SELECT subject_id, max(object_label) FILTER (predicate = 'has_dose_form') AS form, max(object_label) FILTER (predicate = 'has_precise_ingredient') AS precise, max(object_label) FILTER (predicate = 'has_tradename') AS brand FROM v_edges GROUP BY 1),
+g AS (SELECT q.*, CAST(substr(sau_id, 5) AS BIGINT) AS k, c.preferred_label AS label, c.concept_class AS class, form, precise, brand, regexp_extract(c.preferred_label, '[0-9]+ MG') AS strength FROM q JOIN v_concepts c ON c.concept_id = own LEFT JOIN e ON e.subject_id = own),
+w AS (SELECT *, CASE WHEN source_id IS DISTINCT FROM own OR hollow OR unresolved OR relationship = 'EXACT' THEN [] ELSE list_filter([
+    {'kind': 'strength', 'value': strength}, CASE WHEN form IS NOT NULL THEN {'kind': 'dose_form', 'value': form} END, CASE WHEN precise IS NOT NULL THEN {'kind': 'salt_form', 'value': precise} END,
+    CASE WHEN class = 'SBD' THEN {'kind': 'brand_identity', 'value': coalesce(brand, label)} END, CASE WHEN k % 3 = 1 THEN {'kind': 'route', 'value': 'oral'} END,
+    CASE WHEN decision = 'MULTI_CONCEPT_MAPPED' THEN {'kind': 'combination_component', 'value': label} END], lambda x: x IS NOT NULL) END AS want,
+  list_transform(CASE WHEN loss_kinds = '' THEN [] ELSE string_split(loss_kinds, '|') END, lambda h: {'kind': h, 'value': CASE WHEN h = 'strength' AND k % 7 = 1 THEN strength WHEN h = 'strength' AND k % 7 = 0 OR h = 'dose_form' AND k % 7 = 2 THEN 'other' END}) AS have FROM g),
+m AS (SELECT *, list_transform(have, lambda h: h.kind) AS told, list_transform(want, lambda h: h.kind) AS wanted FROM w),
+y AS (SELECT *, array_to_string(list_sort(list_filter(wanted, lambda x: NOT list_contains(told, x))), ', ') AS lacking FROM m),
+h AS (SELECT sau_id, want, wanted, unnest(have) AS own_loss FROM y)
+SELECT DISTINCT sau_id, 'UNEXPECTED_SEMANTIC_LOSS' AS code, 'error' AS severity, 'loss ' || own_loss.kind || ' is not implied by the evidence' AS message FROM h WHERE NOT list_contains(wanted, own_loss.kind)
+UNION ALL SELECT DISTINCT sau_id, 'SEMANTIC_LOSS_PAYLOAD_MISMATCH', 'error', 'loss ' || own_loss.kind || ' names another source value' FROM h WHERE own_loss.value IS NOT NULL AND list_contains(wanted, own_loss.kind) AND len(list_filter(want, lambda x: x.kind = own_loss.kind AND x.value = own_loss.value)) = 0
+UNION ALL SELECT sau_id, 'DUPLICATE_SEMANTIC_LOSS', 'error', 'loss kinds must be reported once' FROM y WHERE len(list_distinct(told)) < len(told)
+UNION ALL SELECT sau_id, 'UNREPORTED_SEMANTIC_LOSS', 'warning', 'no loss is reported; expected ' || lacking FROM y WHERE len(want) > 0 AND len(told) = 0
+UNION ALL SELECT sau_id, 'INCOMPLETE_SEMANTIC_LOSS', 'warning', 'losses not reported: ' || lacking FROM y WHERE len(want) > 0 AND len(told) > 0 AND lacking <> ''
+"""
+
+
+@query(sql(_LOSSES, "v_proposals", "v_edges", "v_concepts"))
+def findings_losses(spark: SparkSession, d: str) -> DataFrame:
+    """Losses that proposals report, with source values, against those that the evidence implies."""
+    k = F.substring("sau_id", 5, 20).cast("long")
+    value = lambda x: F.when((x["kind"] == "strength") & (k % 7 == 1), text.extract_strength(F.col("raw_value"))).when(((x["kind"] == "strength") & (k % 7 == 0)) | ((x["kind"] == "dose_form") & (k % 7 == 2)), F.lit("other"))
+    rows = proposals(spark, d).withColumn("route", F.when(k % 3 == 1, F.lit("oral"))).withColumn("losses", F.transform("losses", lambda x: x.withField("source_value", value(x))))
+    rows = validate.validate(rows.withColumn("expected_losses", validate.expected_losses()), P)
+    return rows.select("sau_id", F.explode("findings").alias("f")).where("f.code like '%SEMANTIC_LOSS%'").select("sau_id", "f.code", "f.severity", "f.message")
+
+
 @query(sql("SELECT provider, operation, count(*) AS n, coalesce(string_agg(DISTINCT terminology_release, '|' ORDER BY terminology_release), '') AS releases FROM v_response_log GROUP BY 1, 2", "v_response_log"))
 def usage_summary(spark: SparkSession, d: str) -> DataFrame:
     return audit.usage_summary(view(spark, d, "v_response_log")).withColumn("releases", F.array_join("releases", "|"))
