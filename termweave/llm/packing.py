@@ -34,6 +34,8 @@ ROWS_PER_SALT = 500_000
 #: Distinct parts of texts whose ids a task remembers.
 CACHE_PARTS = 500_000
 
+#: Parts encoded as one text.
+LINES = 1_000
 #: Characters of all parts that a task remembers.
 CACHE_CHARS = 1 << 26
 
@@ -103,6 +105,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.break_id, *more = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        if more:
+            raise ValueError("a line break must be one token")
         self.known: set[str] = set()
         self.strange: set[str] = set()
         self.clear()
@@ -124,7 +129,21 @@ class Encoder:
         self.known |= new
         self.odd = np.append(self.odd, [not self.strange.isdisjoint(p) for p in parts] if self.strange else np.zeros(len(parts), bool))
         self.chars += sum(map(len, parts))
-        self.runs.add(*self._encoded(parts))
+        self.runs.add(*self._encoded_parts(parts))
+
+    def _encoded_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As _encoded. A line break is a part and an id by itself beside any part that isn't white space, so those are encoded as lines of a text."""
+        lines, spaces = [x for x in parts if not x.isspace()], [x for x in parts if x.isspace()]
+        ids, _ = self._encoded(["\n".join([*lines[k : k + LINES], ""]) for k in range(0, len(lines), LINES)])
+        ends = np.flatnonzero(ids == self.break_id)
+        own, size = self._encoded(spaces)
+        sizes = np.zeros(len(parts), np.int64)
+        blank = np.array([x.isspace() for x in parts], bool)
+        sizes[~blank], sizes[blank] = np.diff(ends, prepend=-1) - 1, size
+        out = np.empty(int(sizes.sum()), np.uint32)
+        of_blank = np.repeat(blank, sizes)
+        out[of_blank], out[~of_blank] = own, np.delete(ids, ends)
+        return out, sizes
 
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids one after another, and how many each text has."""
