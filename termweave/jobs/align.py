@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import adjudicate, enrich, fuse, retrieve, route, validate
 from ..profile import Profile
+from ..sources.keyed import remove
 
 VERSION = "0.1.0"
 Store = Callable[[DataFrame, str], DataFrame]
@@ -30,15 +32,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 def store(spark: SparkSession) -> Store:
     """Tables in the shared folder: lineage is cut and lost executors cost a re-read."""
+    return _under(spark, shared_dir(spark))
 
+
+def _under(spark: SparkSession, folder: str) -> Store:
     def put(df: DataFrame, name: str) -> DataFrame:
-        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        path = f"{folder}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
     return put
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Store]:
+    """As store, but its tables are removed at the end, when all that reads them must be written."""
+    folder = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    try:
+        yield _under(spark, folder)
+    finally:
+        remove(spark, folder)
+
+
 def candidates(hits: DataFrame, t: retrieve.Terminology, p: Profile) -> DataFrame:
     """Ranked candidates with label, class, status, synonyms from hits (unit_key, channel, concept_id, score, hit_rank, name)."""
     about = t.concepts.select("concept_id", "vocabulary", F.col("preferred_label").alias("label"), "concept_class", "status", "synonyms")
@@ -83,23 +98,28 @@ def decide_cases(cases: DataFrame, known: DataFrame, p: Profile) -> DataFrame:
     return decided.drop("sau_id", "package_sau_id", "attributes", "attributes_kept", "kept_attributes", "expected_losses", "verified", *_CASE)
 
 
-def align(units: DataFrame, t: retrieve.Terminology, p: Profile, hits: Callable[[DataFrame], DataFrame] | None = None, release: str | None = None, run_id: str | None = None) -> DataFrame:
+def build_packages(keys: DataFrame, t: retrieve.Terminology, p: Profile, put: Store, hits: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Packages of keys (unit_key, raw_value) from scratch."""
+    asked = keys.select("unit_key", F.col("raw_value").alias("value"))
+    found = put(hits(asked) if hits else retrieve.retrieve(asked, t, p, put), "hits")
+    return align_keys(keys, found, t, p, put)
+
+
+def align(units: DataFrame, t: retrieve.Terminology, p: Profile, hits: Callable[[DataFrame], DataFrame] | None = None, release: str | None = None, run_id: str | None = None, put: Store | None = None, packages: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Decisions for units (operators.units.build_units): every unit stays; rows that aren't successes have no decision.
 
     Equal normal forms are retrieved once, whatever their mapping keys, with the first row's text. Rows of one form with the same text, route and readiness
-    are one case: adjudicated, validated and routed once, and joined back to their rows. hits: another way to find candidates, from (unit_key, value).
+    are one case: adjudicated, validated and routed once, and joined back to their rows. hits: another way to find candidates, from (unit_key, value); packages: another
+    way to come by packages, from (unit_key, raw_value), such as reuse.reuse_packages; put: where intermediate tables go.
     """
-    spark = units.sparkSession
-    put = store(spark)
+    put = put or store(units.sparkSession)
     kinds = units.schema["attributes"].dataType.fields
     some = F.coalesce(*[F.when(F.col("attributes")[f.name].isNotNull(), F.lit(True)) for f in kinds], F.lit(False))
     rows = units.withColumns({"unit_key": F.col("normalized"), "route": F.coalesce("envelope.route", "attributes.route"), "has_attributes": some})
     rows = put(rows.withColumn("case_key", F.when(F.col("status") == "success", F.sha2(F.to_json(F.struct(*_CASE)), 256))), "units")
     cases = put(rows.where("status = 'success'").groupBy("case_key").agg(F.min("source_row_number").alias("row"), F.min("record_id").alias("record"), *[F.any_value(c).alias(c) for c in _CASE]), "cases")
     keys = put(cases.groupBy("unit_key").agg(F.min_by("raw_value", F.struct("row", "record", "raw_value")).alias("raw_value")), "keys")
-    asked = keys.select("unit_key", F.col("raw_value").alias("value"))
-    found = put(hits(asked) if hits else retrieve.retrieve(asked, t, p, put), "hits")
-    known = put(align_keys(keys, found, t, p, put), "packages")
+    known = put(packages(keys).drop("origin") if packages else build_packages(keys, t, p, put, hits), "packages")
     # written once: what reads the decisions (crosswalk, audits, summaries) takes the columns that it needs
     decided = put(decide_cases(cases.select("case_key", *_CASE), known, p), "decisions")
     out = rows.join(decided, "case_key", "left").drop("case_key", "unit_key", "has_attributes")

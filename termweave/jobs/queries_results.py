@@ -14,7 +14,7 @@ from ..operators.adjudicate import concept
 from ..profile import Profile
 from ..sources import adapters, batch
 from ..sources.split_csv import read_csv
-from . import align
+from . import align, queries_align
 from .fixtures import sql, view
 
 P = Profile()
@@ -651,3 +651,34 @@ def stream_align(spark: SparkSession, d: str) -> DataFrame:
     q = streaming.align_stream(stream, t, P, f"{root}/out", f"{root}/checkpoint", "reported", ["l_orderkey", "l_linenumber"], ["route", "role_cod", "dose_amt"], lambda asked: retrieve.exact_hits(asked, t.names))
     q.awaitTermination()
     return spark.read.parquet(f"{root}/out/decisions").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Batches of the stream below: more than one merge of its known keys.
+_BATCHES = 6
+
+
+@query(sql(f"""
+WITH v AS (SELECT {queries_align._NORMAL.format("reported")} AS unit_key, min(l_orderkey % {_BATCHES}) AS batch FROM v_mentions WHERE trim(reported) <> '' GROUP BY 1),
+names AS (SELECT concept_id, preferred_label AS name FROM v_concepts UNION SELECT concept_id, synonym FROM v_concepts WHERE synonym IS NOT NULL)
+SELECT v.unit_key, v.batch, count(DISTINCT n.concept_id) AS hits FROM v LEFT JOIN names n ON v.unit_key = {queries_align._NORMAL.format("n.name")} GROUP BY 1, 2
+""", "v_concepts", "v_mentions"))
+def stream_lookups(spark: SparkSession, d: str) -> DataFrame:
+    """The batch of a stream that looked each normal form up, and its hits. The stream is stopped and resumed after each batch."""
+    from ..streaming import align as streaming
+
+    root, t = f"{align.shared_dir(spark)}/lookups-{uuid.uuid4().hex}", queries_align.terminology(spark, d)
+    put = align.store(spark)
+    rows = put(view(spark, d, "v_mentions").select("l_orderkey", "reported"), "mentions")
+
+    def each(batch: DataFrame, number: int) -> None:
+        asked = batch.where("trim(reported) <> ''").groupBy(text.normalize_text(F.col("reported")).alias("unit_key")).agg(F.min("reported").alias("value"))
+        with align.scratch(spark) as scratch:
+            known = streaming.known_hits(batch.sparkSession, f"{root}/known", t)
+            streaming.reuse_hits(asked, known, number, lambda new: retrieve.exact_hits(new, t.names), scratch)
+
+    for k in range(_BATCHES):
+        rows.where(F.col("l_orderkey") % _BATCHES == k).write.mode("append").parquet(f"{root}/input")
+        q = spark.readStream.schema(rows.schema).parquet(f"{root}/input").writeStream.foreachBatch(each).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+    known = streaming.known_hits(spark, f"{root}/known", t)
+    return known.all(_BATCHES).groupBy("unit_key", "batch").agg(F.count("concept_id").alias("hits"))

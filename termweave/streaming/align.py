@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..jobs.align import align
-from ..operators.retrieve import Terminology
+from ..jobs.align import Store, align, scratch
+from ..operators.retrieve import Terminology, retrieve
 from ..operators.units import build_units
 from ..profile import Profile
+from ..sources.keyed import KeyedTable
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
@@ -31,31 +32,36 @@ def guard_profile(spark: SparkSession, checkpoint: str, p: Profile) -> None:
         raise ValueError("the checkpoint belongs to another profile")
 
 
+def known_hits(spark: SparkSession, path: str, t: Terminology) -> KeyedTable:
+    """The hits of all keys that a stream has looked up, and the batch that did; a key without hits has one row without a concept."""
+    kinds = [("unit_key", "string"), ("channel", "string"), ("query", "string"), ("concept_id", t.names.schema["concept_id"].dataType.simpleString()), ("name", "string"), ("score", "double"), ("hit_rank", "int"), ("batch", "bigint")]
+    return KeyedTable(spark, path, "unit_key", spark.createDataFrame([], ", ".join(f"{n} {k}" for n, k in kinds)).schema)
+
+
+def reuse_hits(asked: DataFrame, known: KeyedTable, number: int, hits: Callable[[DataFrame], DataFrame], put: Store) -> DataFrame:
+    """Hits of asked keys (unit_key, value): those that earlier batches looked up are read, the others found by `hits` and kept under the batch's number."""
+    asked = put(asked, "asked")
+    earlier = put(known.look_up(asked, number), "earlier")
+    new = put(asked.join(earlier.select("unit_key").distinct(), "unit_key", "left_anti"), "new")
+    marked = new.select("unit_key").join(hits(new), "unit_key", "left").withColumn("batch", F.lit(number).cast("long"))
+    fresh = known.write(marked, number, new.count())
+    return earlier.unionByName(fresh).where("concept_id is not null").drop("batch")
+
+
 def align_stream(stream: DataFrame, t: Terminology, p: Profile, sink: str, checkpoint: str, value: str, ids: Sequence[str], context: Sequence[str], hits: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Decisions to sink/decisions, hits by mapping key to sink/known. A batch writes under its own number and overwrites what an earlier
-    try of it wrote, so a restart repeats nothing; keys that earlier batches looked up aren't looked up again."""
+    try of it wrote, so a restart repeats nothing; keys that earlier batches looked up aren't looked up again, and only their buckets are read.
+    Intermediate tables go when their batch is done."""
     guard_profile(stream.sparkSession, checkpoint, p)
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        known = known_hits(spark, f"{sink}/known", t)
         units = build_units(batch, value, ids, context, p)
-        earlier = _read(spark, f"{sink}/known")
-        if earlier is not None:
-            earlier = earlier.where(F.col("batch") < number).drop("batch")
-
-        def reuse(asked: DataFrame) -> DataFrame:
-            from ..jobs.align import store
-            from ..operators.retrieve import retrieve
-
-            new = asked if earlier is None else asked.join(earlier.select("unit_key").distinct(), "unit_key", "left_anti")
-            found = hits(new) if hits else retrieve(new, t, p, store(spark))
-            marked = new.select("unit_key").join(found, "unit_key", "left")
-            marked.write.mode("overwrite").parquet(f"{sink}/known/batch={number}")
-            fresh = spark.read.parquet(f"{sink}/known/batch={number}")
-            old = fresh if earlier is None else fresh.unionByName(earlier.join(asked.select("unit_key"), "unit_key", "left_semi").select(*fresh.columns))
-            return old.where("concept_id is not null")
-
-        align(units, t, p, reuse).write.mode("overwrite").parquet(f"{sink}/decisions/batch={number}")
+        with scratch(spark) as put:
+            find = hits or (lambda new: retrieve(new, t, p, put))
+            out = align(units, t, p, lambda asked: reuse_hits(asked, known, number, find, put), put=put)
+            out.write.mode("overwrite").parquet(f"{sink}/decisions/batch={number}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{checkpoint.rstrip('/')}/query").trigger(availableNow=True).start()
 
