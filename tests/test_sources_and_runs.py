@@ -66,3 +66,18 @@ def test_run_logs_in_ranges_equal_one_pass(spark):
     got = {r["row_number"]: r["codes"] for r in audit.audit_sequence(df.repartition(3), put).collect()}
     assert got == want
     assert kept[0].groupBy("_range").count().count() > 1
+
+
+def test_remaps_broadcast_no_table_that_grows(spark):
+    edges = {f"R{i}": [f"R{i + 1}"] for i in range(40)} | {"L0": ["L1"], "L1": ["L0", "R3"]}
+    df = spark.createDataFrame(list(edges.items()), "concept_id string, remapped_to array<string>")
+    plans, store = [], align.store(spark)
+
+    def put(rows, name):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return store(rows, name)
+
+    out = retrieve.resolve_remaps(df, put)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert out.where("cyclic").count() == 2 and out.where("concept_id = 'L1'").head()["current"] == ["R40"]
+    assert len(plans) > 5 and not any("BroadcastHashJoin" in x for x in plans)
