@@ -47,3 +47,9 @@ def test_record_id_and_cells(spark):
 def test_strength_status_numbers(spark):
     df = spark.createDataFrame([("x 0.5 ML y", "never active", "1e2"), ("5%x", "ACTIVE", "n/a"), ("5 %", None, None)], "s string, t string, n string")
     assert values(df, text.extract_strength(F.col("s")), text.parse_status(F.col("t")), text.to_number(F.col("n"))) == [("0.5 ML", "never_active", 100.0), ("5%", "active", None), (None, "unknown", None)]
+
+
+def test_json_strings_equal_pythons(spark):
+    texts = ["", "a", 'a"b', "\\", '\\"', '{"a":"b\\n"}', "x\n", 'é"', "😀\\", "\x7f", "\x00a", 'tab\t"']
+    rows = spark.createDataFrame([(x,) for x in texts], "v string").select("v", ids.json_string(F.col("v")).alias("j")).collect()
+    assert [r.j for r in rows] == [json.dumps(r.v) for r in rows]
