@@ -114,12 +114,21 @@ def rederived(df: DataFrame, p: Profile, content: Sequence[str] = (), keep: Sequ
 
     df: the columns of units.build_units; content: columns whose digest was stored as content_sha256. Normal form, mapping key and unit id are derived anew, each
     from what was derived anew before it, so a changed cell is found in all that depends on it, and a changed id in itself alone."""
-    normal = text.normalize_text(F.col("raw_value"))
-    key = units.mapping_key(normal, F.col("envelope"), F.col("attributes"), p)
-    tests = [(~normal.eqNullSafe(F.col("normalized")), "NORMAL_FORM_CHANGED"), (~key.eqNullSafe(F.col("mapping_key")), "MAPPING_KEY_MISMATCH"), (~units.sau_id(key).eqNullSafe(F.col("sau_id")), "SAU_ID_MISMATCH")]
-    if content:
-        tests.append((~content_digest(*content).eqNullSafe(F.col("content_sha256")), "CONTENT_CHANGED"))
-    return df.withColumn("codes", _codes(*tests)).where(F.size("codes") > 0).select("sau_id", "codes", *keep)
+    def codes(normal: Column, key: Column) -> Column:
+        tests = [(~normal.eqNullSafe(F.col("normalized")), "NORMAL_FORM_CHANGED"), (~key.eqNullSafe(F.col("mapping_key")), "MAPPING_KEY_MISMATCH"), (~units.sau_id(key).eqNullSafe(F.col("sau_id")), "SAU_ID_MISMATCH")]
+        if content:
+            tests.append((~content_digest(*content).eqNullSafe(F.col("content_sha256")), "CONTENT_CHANGED"))
+        return _codes(*tests)
+
+    # the filter is pushed below the columns that it tests, so what builds on another value binds it; written out, each id would derive its parts several times over
+    key = lambda normal: units.mapping_key(normal, F.col("envelope"), F.col("attributes"), p)
+    own = _once(text.normalize_text(F.col("raw_value")), lambda normal: _once(key(normal), lambda k: codes(normal, k)))
+    return df.withColumn("codes", own).where(F.size("codes") > 0).select("sau_id", "codes", *keep)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of the value, which is evaluated once wherever the expression ends up."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _codes(*tests: tuple[Column, str]) -> Column:

@@ -81,3 +81,14 @@ def test_remaps_broadcast_no_table_that_grows(spark):
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert out.where("cyclic").count() == 2 and out.where("concept_id = 'L1'").head()["current"] == ["R40"]
     assert len(plans) > 5 and not any("BroadcastHashJoin" in x for x in plans)
+
+
+def test_rederived_ids_derive_their_parts_once(spark):
+    from termweave.operators import audit, units
+    from termweave.profile import Profile
+
+    df = spark.createDataFrame([("1", " A  b", "oral"), ("2", "c", None)], "id string, v string, route string")
+    own = align.store(spark)(units.build_units(df, "v", ["id"], ["route"], Profile()), "units")
+    found = audit.rederived(own, Profile())
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 2  # in the filter and in the column
+    assert found.count() == 0
