@@ -183,3 +183,19 @@ def test_exact_claims_across_a_salt_are_rejected_either_way(spark):
     df = df.withColumns({"selected": F.array("analysis_level"), "requested_review": F.lit(False), "candidates": F.array().cast("array<struct<candidate_id:string,edges:array<struct<predicate:string,object_id:string>>>>")})
     found = df.select("sau_id", validate.domain(P, False).alias("f")).where(F.exists("f", lambda x: x["code"] == "SALT_ACTIVE_MOIETY_CONFLATION"))
     assert sorted(r["sau_id"] for r in found.collect()) == ["INPINEXACT", "PININEXACT"]
+
+
+def test_unmet_values_are_told_apart_on_stored_values(spark):
+    """An anti join moves below a distinct: the rows that values are made of must not take part in it."""
+    from termweave.jobs import queries_align
+
+    d = "/root/testdata/sf0.001"
+    got = queries_align.QUERIES["unmet_values"](spark, d)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "l_partkey" not in plan
+    names = queries_align.terminology(spark, d).names.where("is_current")
+    met = {r["unit_key"] for r in retrieve.exact_hits(queries_align.values(spark, d), names).collect()}
+    every = {r["unit_key"] for r in queries_align.values(spark, d).collect()}
+    assert {r["unit_key"] for r in got.collect()} == every - met and met
+    odd = spark.createDataFrame([("a", None), ("b", " "), ("c", names.head()["name"].upper())], "unit_key string, value string")
+    assert sorted(r["unit_key"] for r in retrieve.unmet(odd, names).collect()) == ["a", "b"]
