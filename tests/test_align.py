@@ -199,3 +199,11 @@ def test_unmet_values_are_told_apart_on_stored_values(spark):
     assert {r["unit_key"] for r in got.collect()} == every - met and met
     odd = spark.createDataFrame([("a", None), ("b", " "), ("c", names.head()["name"].upper())], "unit_key string, value string")
     assert sorted(r["unit_key"] for r in retrieve.unmet(odd, names).collect()) == ["a", "b"]
+
+
+def test_rows_of_one_file_are_dealt_out_before_the_work_on_them(spark):
+    df = spark.createDataFrame(ROWS, "id string, drug string, route string").coalesce(1)
+    out = units.build_units(df, "drug", ["id"], ["route"], P)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("mapping_key") < plan.index("RepartitionByExpression")
+    assert sorted(r["record_id"] for r in out.collect()) == sorted(r[0] for r in ROWS)
