@@ -13,6 +13,14 @@ from ..profile import Profile
 from . import route, units
 
 
+def spread(df: DataFrame, array: Column | str, name: str, *kept: str) -> DataFrame:
+    """The columns kept, with each element that isn't null of the array as `name`.
+
+    Below a plain explode Spark tests whether the array has elements, and moves that test below everything that makes the array: it is made twice, and in
+    the test its parts are written out at each use. The outer one has no such test."""
+    return df.select(*kept, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def batch_summary(df: DataFrame) -> DataFrame:
     """status, routing_status, n."""
     return df.groupBy("status", "routing_status").agg(F.count(F.lit(1)).alias("n"))
@@ -20,12 +28,12 @@ def batch_summary(df: DataFrame) -> DataFrame:
 
 def loss_profile(df: DataFrame) -> DataFrame:
     """kind, n over all reported losses."""
-    return df.select(F.explode("losses").alias("x")).groupBy(F.col("x.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return spread(df, "losses", "x").groupBy(F.col("x.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def finding_profile(df: DataFrame) -> DataFrame:
     """code, severity, n."""
-    return df.select(F.explode("findings").alias("x")).groupBy(F.col("x.code").alias("code"), F.col("x.severity").alias("severity")).agg(F.count(F.lit(1)).alias("n"))
+    return spread(df, "findings", "x").groupBy(F.col("x.code").alias("code"), F.col("x.severity").alias("severity")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def merge_usage(usage: DataFrame, identity: list[str]) -> DataFrame:

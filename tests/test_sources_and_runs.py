@@ -92,3 +92,19 @@ def test_rederived_ids_derive_their_parts_once(spark):
     found = audit.rederived(own, Profile())
     assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 2  # in the filter and in the column
     assert found.count() == 0
+
+
+def _tests(df):
+    """The filters of a plan, as they are written out."""
+    return [line for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if line.lstrip(" :+-").startswith("Filter")]
+
+
+def test_findings_are_not_worked_out_again_to_see_whether_there_are_any(spark):
+    from termweave.jobs import queries_results
+
+    d = "/root/testdata/sf0.001"
+    for name in ("findings_losses", "findings_structure", "finding_profile", "findings_lookup"):
+        tests = _tests(queries_results.QUERIES[name](spark, d))
+        assert tests and not any("_MISMATCH" in line or "CONCEPT_REMAPPED" in line for line in tests), name
+    rows = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, None), (4, ["c"])], "id int, found array<string>")
+    assert sorted(tuple(r) for r in audit.spread(rows, "found", "x", "id").collect()) == [(1, "a"), (1, "b"), (4, "c")]
