@@ -108,3 +108,13 @@ def test_findings_are_not_worked_out_again_to_see_whether_there_are_any(spark):
         assert tests and not any("_MISMATCH" in line or "CONCEPT_REMAPPED" in line for line in tests), name
     rows = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, None), (4, ["c"])], "id int, found array<string>")
     assert sorted(tuple(r) for r in audit.spread(rows, "found", "x", "id").collect()) == [(1, "a"), (1, "b"), (4, "c")]
+
+
+def test_a_review_queue_is_routed_once(spark):
+    from termweave.jobs import queries_results
+
+    got = queries_results.QUERIES["review_queue"](spark, "/root/testdata/sf0.001")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "routing_status" in plan and "HUMAN_REVIEW_REQUIRED" not in plan and "NAME_EQUAL" not in plan
+    told = [(-r["priority"], r["sau_id"]) for r in got.collect()]
+    assert told and told == sorted(told)
