@@ -207,3 +207,14 @@ def test_rows_of_one_file_are_dealt_out_before_the_work_on_them(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("mapping_key") < plan.index("RepartitionByExpression")
     assert sorted(r["record_id"] for r in out.collect()) == sorted(r[0] for r in ROWS)
+
+
+def test_values_and_names_are_dealt_out_before_they_are_cut_in_pieces(spark):
+    rows = spark.createDataFrame([("hot blt",), ("hot bolt",), ("cold",)], "own string").coalesce(1)
+    met = retrieve._within(rows, rows.withColumnRenamed("own", "name"), 2)
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    sides = plan.split("Join Inner")[1].split("\n")
+    cut = [i for i, line in enumerate(sides) if "Generate explode" in line]
+    dealt = [i for i, line in enumerate(sides) if "RepartitionByExpression" in line]
+    assert len(dealt) == 2 and cut[0] < dealt[0] < cut[-1] < dealt[1]
+    assert sorted(tuple(r) for r in met.where("own <> name").collect()) == [("hot blt", "hot bolt", 1), ("hot bolt", "hot blt", 1)]
