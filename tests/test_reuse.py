@@ -145,3 +145,17 @@ def test_changed_concepts_and_reach(releases, spark):
     changed = spark.createDataFrame([("IN1",)], "concept_id string")
     assert sorted(r[0] for r in reuse.reaching(changed, old.edges, P).collect()) == ["IN1", "PIN1", "SBD1"]
     assert reuse.changed_concepts(old, old).isEmpty()
+
+
+def test_names_take_their_normal_forms_once_for_all_batches(spark, monkeypatch):
+    from termweave.jobs import queries_align, queries_results
+    from termweave.operators import retrieve
+
+    made, forms = [], retrieve.forms
+    monkeypatch.setattr(retrieve, "forms", lambda names: made.append(1) or forms(names))
+    d = "/root/testdata/sf0.001"
+    assert queries_results.QUERIES["stream_lookups"](spark, d).count() and len(made) == 1
+    t = queries_align.terminology(spark, d)
+    asked = queries_align.values(spark, d)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(retrieve.exact_hits(asked, forms(t.names))) == rows(retrieve.exact_hits(asked, t.names))
