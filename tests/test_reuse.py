@@ -159,3 +159,17 @@ def test_names_take_their_normal_forms_once_for_all_batches(spark, monkeypatch):
     asked = queries_align.values(spark, d)
     rows = lambda df: sorted(tuple(r) for r in df.collect())
     assert rows(retrieve.exact_hits(asked, forms(t.names))) == rows(retrieve.exact_hits(asked, t.names))
+
+
+def test_keys_are_told_apart_before_their_normal_forms_are_made(spark):
+    from termweave.jobs import queries_align
+
+    d = "/root/testdata/sf0.001"
+    got = queries_align.alignment_keys(spark, d)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" in plan and "l_orderkey" not in plan and "reported" not in plan
+    want = {}
+    for r in queries_align.values(spark, d).collect():
+        key = " ".join(r["value"].split()).lower()
+        want[key] = min(r["value"], want.get(key, r["value"]))
+    assert {r["unit_key"]: r["raw_value"] for r in got.collect()} == want
