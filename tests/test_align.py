@@ -218,3 +218,49 @@ def test_values_and_names_are_dealt_out_before_they_are_cut_in_pieces(spark):
     dealt = [i for i, line in enumerate(sides) if "RepartitionByExpression" in line]
     assert len(dealt) == 2 and cut[0] < dealt[0] < cut[-1] < dealt[1]
     assert sorted(tuple(r) for r in met.where("own <> name").collect()) == [("hot blt", "hot bolt", 1), ("hot bolt", "hot blt", 1)]
+
+
+def test_no_table_of_all_units_is_stored(spark, terms, decisions):
+    """Rows may be many, cases are few: what is stored on the way goes with cases and names."""
+    d, _ = decisions
+    put, sizes = align.store(spark), {}
+
+    def told(df, name):
+        out = put(df, name)
+        sizes[name] = out.count()
+        return out
+
+    df = spark.createDataFrame([(f"{i}-{k}", v, r) for k in range(40) for i, v, r in ROWS], "id string, drug string, route string")
+    out = align.align(units.build_units(df, "drug", ["id"], ["route"], P), terms, P, put=told).collect()
+    assert len(out) == 40 * len(ROWS) and max(sizes.values()) < 100, sizes
+    assert all((r["decision"], r["routing_status"], r["mapping_key"]) == (d[i]["decision"], d[i]["routing_status"], d[i]["mapping_key"]) for r in out for i in [r["record_id"].split("-")[0]])
+
+
+def test_the_first_rows_text_stands_for_its_normal_form(spark, terms):
+    df = spark.createDataFrame([("3", "METOPROLOL", 7), ("1", "metoprolol", 9), ("2", "Metoprolol", 8), ("4", "lisinopril", 6)], "id string, drug string, n long")
+    for number, first in ((None, "metoprolol"), ("n", "METOPROLOL")):
+        asked = {}
+
+        def hits(keys, asked=asked):
+            asked |= {r["unit_key"]: r["value"] for r in keys.collect()}
+            return retrieve.exact_hits(keys, terms.names)
+
+        out = align.align(units.build_units(df, "drug", ["id"], [], P, number), terms, P, hits).collect()
+        assert asked == {"metoprolol": first, "lisinopril": "lisinopril"} and {r["decision"] for r in out} == {"MAPPED"}
+
+
+def test_a_streams_rows_are_written_without_what_their_cases_share(spark, terms, tmp_path):
+    exact = lambda asked: retrieve.exact_hits(asked, terms.names)
+    root = str(tmp_path)
+    df = spark.createDataFrame([(f"{i}-{k}", v, r) for k in range(20) for i, v, r in ROWS], "id string, drug string, route string")
+    df.repartition(2).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    streaming.align_stream(stream, terms, P, f"{root}/out", f"{root}/ck", "drug", ["id"], ["route"], exact).awaitTermination()
+    rows, cases = spark.read.parquet(f"{root}/out/decisions"), spark.read.parquet(f"{root}/out/cases")
+    assert "candidates" not in rows.columns and rows.count() == df.count()
+    assert cases.count() == cases.select("batch", "case_key").distinct().count() <= 2 * 7
+    want = align.align(units.build_units(df, "drug", ["id"], ["route"], P), terms, P, exact)
+    got = streaming.stream_decisions(spark, f"{root}/out").drop("batch")
+    assert sorted(got.columns) == sorted(want.columns)
+    shown = lambda x: sorted(r[0] for r in x.select(F.to_json(F.struct(*sorted(want.columns)))).collect())
+    assert shown(got) == shown(want)

@@ -53,3 +53,10 @@ def test_json_strings_equal_pythons(spark):
     texts = ["", "a", 'a"b', "\\", '\\"', '{"a":"b\\n"}', "x\n", 'é"', "😀\\", "\x7f", "\x00a", 'tab\t"']
     rows = spark.createDataFrame([(x,) for x in texts], "v string").select("v", ids.json_string(F.col("v")).alias("j")).collect()
     assert [r.j for r in rows] == [json.dumps(r.v) for r in rows]
+
+
+def test_canonical_json_is_pythons(spark):
+    texts = ["plain", 'a"b\\c/d', "tab\tline\nbell\x07\x1f", "del\x7f", "\\u00e9 written out", "é€ \U0001f600", "", None, "\x00", " "]
+    df = spark.createDataFrame([(a, b) for a in texts for b in texts], "b string, a string")
+    for r in df.select("a", "b", ids.canonical_json({"x.b": F.col("b"), "a": F.col("a")}).alias("j")).collect():
+        assert r["j"] == json.dumps({"a": r["a"], "x.b": r["b"]}, sort_keys=True, separators=(",", ":"))
