@@ -264,3 +264,24 @@ def test_a_streams_rows_are_written_without_what_their_cases_share(spark, terms,
     assert sorted(got.columns) == sorted(want.columns)
     shown = lambda x: sorted(r[0] for r in x.select(F.to_json(F.struct(*sorted(want.columns)))).collect())
     assert shown(got) == shown(want)
+
+
+def test_ties_beyond_the_best_are_not_sorted_again():
+    """Names as good as the last of the best change them only by smaller concepts, or a greater name of theirs."""
+    names, own = [f"hot bolt {i:03d} mg" for i in range(300)], "hot bolt mg"
+    told = [[f"c{(7 * i) % 300:03d}", f"c{(7 * i + 1) % 300:03d}"] for i in range(300)]
+
+    class Counted(str):
+        sorts = 0
+
+        def __lt__(self, other):
+            Counted.sorts += 1
+            return str.__lt__(self, other)
+
+    best = {}
+    for name, concepts in zip(names, told, strict=True):
+        for c in concepts:
+            best[c] = max(best.get(c, (0.0, "")), (1.0, name))
+    want = sorted(best.items(), key=lambda x: (-x[1][0], x[0]))[:10]
+    got = retrieve._best(own, names, __import__("numpy").ones(300), lambda i: [Counted(c) for c in told[i]], 10, {})
+    assert sorted(got.items()) == sorted(want) and Counted.sorts < 3000
